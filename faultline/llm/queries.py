@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import suffix_dedup
+from . import packing, suffix_dedup, token_store
+from .common import scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +18,18 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op8_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "orc-tokens")
+    token_store.write(_table(spark, sf_dir, "documents"), path)
+    return token_store.summary(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_suffix_dedup": op6_suffix_dedup}
+    return {f.__name__: f for f in (op3_sum_of_squares_packing, op6_suffix_dedup, op8_orc_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
