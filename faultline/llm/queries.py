@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, suffix_dedup, token_store
+from . import decontaminate, packing, suffix_dedup, token_store
 from .common import scratch
 
 
@@ -22,6 +22,11 @@ def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op8_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "orc-tokens")
     token_store.write(_table(spark, sf_dir, "documents"), path)
@@ -29,7 +34,7 @@ def op8_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sum_of_squares_packing, op6_suffix_dedup, op8_orc_tokens)}
+    return {f.__name__: f for f in (op3_sum_of_squares_packing, op6_suffix_dedup, op7_decontamination, op8_orc_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
