@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, suffix_dedup, token_store
+from . import context_tree, decontaminate, jaccard_join, packing, suffix_dedup, token_store
 from .common import scratch
 
 
@@ -14,10 +14,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components_of(_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op1_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -34,7 +42,7 @@ def op8_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sum_of_squares_packing, op6_suffix_dedup, op7_decontamination, op8_orc_tokens)}
+    return {f.__name__: f for f in (op1_context_tree_weighting, op3_sum_of_squares_packing, op4_jaccard_join, op6_suffix_dedup, op7_decontamination, op8_orc_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
