@@ -53,7 +53,7 @@ def bucket_count(df: DataFrame, column: str, target_bytes: int, least: int = 1)
     return max(least, -(-int(total) // target_bytes))
 
 
-def blocked(df: DataFrame, id_column: str, text_column: str, blocks: int) -> DataFrame:
+def blocked(df: DataFrame, id_column: str, text_column: str, blocks: int, *more: str) -> DataFrame:
     """(block, doc_id, body): rows dealt to blocks by a hash of the id, bodies as UTF-8 bytes, null as empty.
 
     Rows with a missing id are dealt by their text's hash, so that they don't meet in one block; no text
@@ -64,6 +64,7 @@ def blocked(df: DataFrame, id_column: str, text_column: str, blocks: int) -> Dat
         F.pmod(key, F.lit(blocks)).cast("int").alias("block"),
         F.col(id_column).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary").alias("body"),
+        *more,
     )
 
 

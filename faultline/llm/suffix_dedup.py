@@ -360,34 +360,41 @@ def _merged(length: int):
     return run
 
 
-def _apply(key: tuple[pa.Scalar, ...], docs: pa.Table, found: pa.Table) -> pa.Table:
-    docs = in_order(docs)
-    data, offsets = flat(docs["body"])
-    edges = np.zeros(len(data) + 1, np.int32)
-    spans = flat(found["spans"])[0].view("<i8").reshape(-1, 3)
-    if len(spans):
-        np.add.at(edges, offsets[spans[:, 0]] + spans[:, 1], 1)
-        np.add.at(edges, offsets[spans[:, 0]] + spans[:, 2], -1)
-    gone = np.cumsum(edges[:-1]) > 0
-    kept = data[~gone]
-    removed = np.r_[0, np.cumsum(gone)][offsets]
-    begins = gone & ~np.r_[False, gone[:-1]] if len(gone) else gone
-    begins[offsets[:-1][np.diff(offsets) > 0]] = gone[offsets[:-1][np.diff(offsets) > 0]]
-    runs = np.r_[0, np.cumsum(begins)][offsets]
-    left = offsets - removed
-    raw = kept.tobytes()
-    return pa.table(
-        {
+def _apply(carry: bool):
+    def run(key: tuple[pa.Scalar, ...], docs: pa.Table, found: pa.Table) -> pa.Table:
+        docs = in_order(docs)
+        data, offsets = flat(docs["body"])
+        edges = np.zeros(len(data) + 1, np.int32)
+        spans = flat(found["spans"])[0].view("<i8").reshape(-1, 3)
+        if len(spans):
+            np.add.at(edges, offsets[spans[:, 0]] + spans[:, 1], 1)
+            np.add.at(edges, offsets[spans[:, 0]] + spans[:, 2], -1)
+        gone = np.cumsum(edges[:-1]) > 0
+        kept = data[~gone]
+        removed = np.r_[0, np.cumsum(gone)][offsets]
+        begins = gone & ~np.r_[False, gone[:-1]] if len(gone) else gone
+        some = offsets[:-1][np.diff(offsets) > 0]
+        begins[some] = gone[some]
+        runs = np.r_[0, np.cumsum(begins)][offsets]
+        left = offsets - removed
+        raw = kept.tobytes()
+        parts = [raw[a:b] for a, b in zip(left[:-1], left[1:], strict=True)]
+        out = {
             "doc_id": docs["doc_id"],
             "n_bytes": pa.array(np.diff(offsets), pa.int64()),
             "n_removed": pa.array(np.diff(removed), pa.int64()),
             "n_spans": pa.array(np.diff(runs), pa.int64()),
-            "kept": pa.array([raw[a:b] for a, b in zip(left[:-1], left[1:], strict=True)], pa.binary()),
+            "kept": pa.array(parts, pa.binary()),
         }
-    )
+        if carry:
+            out["kept_text"] = pa.array([x.decode("utf-8", "ignore") for x in parts], pa.string())
+            out["carried"] = docs["carried"]
+        return pa.table(out)
+
+    return run
 
 
-def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = 100, block_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = 100, block_bytes: int = 8 << 20, carry: list[str] | None = None) -> DataFrame:
     """Removes every byte that lies in a `length` bytes long string which also starts earlier in the corpus.
 
     Texts count as UTF-8 bytes; earlier means a smaller id, or the same row and an earlier start; matches may
@@ -396,7 +403,8 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     empty one; further columns are ignored.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (the remaining bytes), a row for
-    each input row.
+    each input row; with `carry`, kept_text (kept without cut characters) and carried (a struct of those columns of
+    the row) as well.
     """
     blocks = bucket_count(docs, text_column, block_bytes)
     buckets = max(4, blocks)
@@ -405,7 +413,12 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     found = keys.groupBy("bucket").applyInArrow(_found, FOUND)
     runs = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_runs(length, buckets), RUNS)
     spans = runs.groupBy("bucket").applyInArrow(_merged(length), SPANS)
-    return rows.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+    if carry:
+        held = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried"), F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
+        rows = blocked(held, "_id", "_text", blocks, "carried")
+        out += f", kept_text string, carried {held.schema['carried'].dataType.simpleString()}"
+    return rows.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_apply(bool(carry)), out)
 
 
 def digest(result: DataFrame) -> DataFrame:
