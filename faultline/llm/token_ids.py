@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 #: Distinct words whose ids a worker remembers at most; it forgets all but the latest batch's beyond that.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 #: Characters handled at once.
 BATCH_CHARS = 1 << 20
 
+#: Words of these characters alone are cut into pre-tokens here: for them the classes below are those of the files.
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_SAFE = re.compile(f"[\\x21-\\x7e\\n{_LETTER}]+")
+_ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d|"
+_BYTE_UNITS = re.compile(f"{_ENDINGS} ?[{_LETTER}]+| ?[0-9]+| ?[^\\s{_LETTER}0-9]+|\\s+(?!\\S)|\\s+")
+_WORD_UNITS = re.compile(f"{_ENDINGS}[{_LETTER}]+|[0-9]|[^\\s{_LETTER}0-9]+")
+#: The pre-tokenizer pattern of a file whose units _WORD_UNITS cuts.
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 
 class WordEncoder:
     """Encodes texts word by word. A single space between two characters other than a space always begins a new
@@ -28,6 +39,10 @@ class WordEncoder:
         self.marks = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.lead = " " if self.byte_level else ""
         self.known: dict[str, bytes] = {"": b""}
+        self.units: dict[str, bytes] = {}
+        before = json.loads(self.whole.to_str())["pre_tokenizer"] or {}
+        steps = before.get("pretokenizers", [before])
+        self.pattern = _BYTE_UNITS if self.byte_level and steps[0].get("type") == "ByteLevel" and steps[0].get("use_regex") else _WORD_UNITS if steps[0].get("pattern") == {"Regex": _WORD_PATTERN} else None
 
     def _plain(self, text: str) -> bool:
         return "  " not in text and not any(m in text for m in self.marks)
@@ -36,17 +51,42 @@ class WordEncoder:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        """Encodes new words in one text, and cuts its ids where the words begin."""
+        """New words: from their pre-tokens where those are certain, else from the words themselves."""
+        if self.pattern is None:
+            self.known.update(self._joined(words, " "))
+            return
+        cut = self.pattern.findall
+        plain = [w for w in words if _SAFE.fullmatch(w)]
+        units = [cut(self.lead + w if self.byte_level else w.lower()) for w in plain]
+        if len(self.units) > REMEMBERED:
+            self.units.clear()
+        new = {u for some in units for u in some if u not in self.units}
+        blank = {u for u in new if u.isspace()}
+        self.units.update((u, self._ids(u)) for u in blank)
+        apart = {u for u in new - blank if u[0] == " "}
+        self.units.update(self._joined(list(apart), ""))
+        self.units.update(self._joined(list(new - blank - apart), "\n" if self.byte_level else " "))
+        get = self.units.__getitem__
+        self.known.update(zip(plain, (b"".join(map(get, some)) for some in units), strict=True))
+        if len(plain) < len(words):
+            self.known.update(self._joined([w for w in words if not _SAFE.fullmatch(w)], " "))
+
+    def _joined(self, words: list[str], before: str) -> Iterator[tuple[str, bytes]]:
+        """Encodes words in one text, each after the same white space (or none), and cuts its ids where the words
+        begin. A space is part of a byte-level word, a line feed never is."""
         for k in range(0, len(words), 20_000):
             some = words[k : k + 20_000]
-            sizes = np.fromiter(map(len, some), np.int64, len(some)) + 1
+            sizes = np.fromiter(map(len, some), np.int64, len(some)) + len(before)
             begins = np.cumsum(sizes) - sizes
-            got = self.whole.encode(" " + " ".join(some), add_special_tokens=False)
+            got = self.whole.encode(before + before.join(some), add_special_tokens=False)
             ids = np.array(got.ids, "<u4")
             at = np.array(got.offsets, np.int64).reshape(-1, 2)[:, 1] - 1
+            if before == "\n" and self.byte_level:
+                inside = ~np.isin(at, begins)
+                ids, at = ids[inside], at[inside]
             edges = np.searchsorted(at, np.r_[begins, begins[-1] + sizes[-1]])
             raw = ids.tobytes()
-            self.known.update(zip(some, (raw[4 * a : 4 * b] for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)), strict=True))
+            yield from zip(some, (raw[4 * a : 4 * b] for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)), strict=True)
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
