@@ -124,9 +124,11 @@ def row_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def _cut(keys: np.ndarray, buckets: int):
     """(bucket, positions of its keys) for each bucket that has any."""
+    if not len(keys):
+        return
     of = (keys >> np.uint64(20)) % np.uint64(buckets)
     order = np.argsort(of, kind="stable")
-    edges = np.flatnonzero(np.r_[True, np.diff(of[order]) != 0]) if len(of) else np.zeros(0, np.int64)
+    edges = np.flatnonzero(np.r_[True, np.diff(of[order]) != 0])
     for a, b in zip(edges, np.r_[edges[1:], len(of)], strict=True):
         yield int(of[order[a]]), order[a:b]
 
