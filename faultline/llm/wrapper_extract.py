@@ -41,8 +41,8 @@ _WORD = re.compile(r"[a-z]+")
 
 #: A text is template where at least this share of a node's pages has it, and the node has this many pages.
 CONSTANT, LEAST_PAGES = 0.9, 8
-#: Counters of a heavy-hitters summary: it finds every text that more than a 1/(n+1) share of pages has.
-COUNTERS = 8
+#: Counters of a node's heavy-hitters summary, which undercounts by its slack at most.
+COUNTERS = 128
 
 
 class Node:
@@ -153,13 +153,14 @@ def parse(page: str) -> Node:
 
 
 class Slot:
-    """A wrapper node: pages that have it, characters of own text, recurring texts, children in order."""
+    """A wrapper node: pages that have it, characters of own text, recurring texts (counts, each at most slack too
+    low), children in order."""
 
-    __slots__ = ("aside", "chars", "kids", "label", "pages", "texts")
+    __slots__ = ("aside", "chars", "kids", "label", "pages", "slack", "texts")
 
     def __init__(self, label: str, aside: bool) -> None:
         self.label, self.aside = label, aside
-        self.pages, self.chars = 0, 0
+        self.pages, self.chars, self.slack = 0, 0, 0
         self.texts: dict[str, int] = {}
         self.kids: list[Slot] = []
 
@@ -167,13 +168,13 @@ class Slot:
         return 1 + sum(k.size() for k in self.kids)
 
     def pack(self) -> list:
-        return [self.label, self.aside, self.pages, self.chars, self.texts, [k.pack() for k in self.kids]]
+        return [self.label, self.aside, self.pages, self.chars, self.texts, self.slack, [k.pack() for k in self.kids]]
 
     @staticmethod
     def unpack(row: list) -> Slot:
         out = Slot(row[0], row[1])
-        out.pages, out.chars, out.texts = row[2], row[3], dict(row[4])
-        out.kids = [Slot.unpack(k) for k in row[5]]
+        out.pages, out.chars, out.texts, out.slack = row[2], row[3], dict(row[4]), row[5]
+        out.kids = [Slot.unpack(k) for k in row[6]]
         return out
 
 
@@ -187,7 +188,7 @@ def skeleton(node: Node) -> Slot:
     out.pages = 1
     texts = [x for x in node.items if isinstance(x, str)]
     out.chars = sum(map(len, texts))
-    out.texts = {text_key(x): 1 for x in texts[: COUNTERS * 4]}
+    out.texts = {text_key(x): 1 for x in texts}
     for child in node.items:
         if isinstance(child, str):
             continue
@@ -233,12 +234,14 @@ def merge(into: Slot, other: Slot) -> None:
     """Aligns other with the wrapper and adds it."""
     into.pages += other.pages
     into.chars += other.chars
+    into.slack += other.slack
     texts = into.texts
     for key, n in other.texts.items():
         texts[key] = texts.get(key, 0) + n
     if len(texts) > COUNTERS:
         cut = sorted(texts.values(), reverse=True)[COUNTERS]
         into.texts = {k: n - cut for k, n in texts.items() if n > cut}
+        into.slack += cut
     pairs = matching(into.kids, other.kids)[1]
     kids: list[Slot] = []
     i = j = 0
@@ -271,7 +274,7 @@ def template_texts(slot: Slot) -> set[str]:
     """Texts that at least a CONSTANT share of the slot's pages has."""
     if slot.pages < LEAST_PAGES:
         return set()
-    return {k for k, n in slot.texts.items() if n >= CONSTANT * slot.pages}
+    return {k for k, n in slot.texts.items() if n + slot.slack >= CONSTANT * slot.pages and n >= 0.5 * slot.pages}
 
 
 def extract(page: str, wrapper: Slot | None) -> str:
@@ -323,6 +326,10 @@ def extract(page: str, wrapper: Slot | None) -> str:
                 walk(item, found.get(k))
 
     walk(node, slot)
+    if not blocks and wrapper is not None:
+        # A host whose pages are copies of one another: what recurs there is their content.
+        wrapper = None
+        walk(node, slot)
     return "\n\n".join(blocks)
 
 
