@@ -11,10 +11,13 @@ from faultline.functions import runs as R
 from faultline.functions import text as T
 from faultline.functions import vectors as V
 from faultline.operators import cluster as C
+from faultline.operators import models as M
 from faultline.operators import regress as G
 from faultline.operators import reports as P
 from faultline.operators import stability as S
 from faultline.operators import state as U
+from faultline.plans import cascade as A
+from faultline.sources.shared import cut
 from faultline.sources.views import RESULTS_SQL, results, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -248,3 +251,71 @@ def _(d):
 def _(d):
     reasons = d.where("run_no = 4").groupBy("reason").agg(F.min("row_id").alias("row_id"))
     return _rounded(C.sparse_pairs(C.token_weights(reasons, "row_id", T.sparse_tokens(F.col("reason"))), "row_id", 0.2), "dot")
+
+
+# --- cascade, models, stream -----------------------------------------------------------------------------------------
+
+
+def _masked(d: DataFrame) -> DataFrame:
+    return d.where("result = 'FAIL'").select("row_id", "run_id", "type", "reason")
+
+
+@on_results("cl01_seeded")
+def _(d):
+    return A.seeded(_masked(d)).select("row_id", "text", "cluster_name", "assigned_by")
+
+
+@on_results("cl06_exact_groups", "SELECT type, n FROM (SELECT type, reason, count(*) AS n FROM results WHERE result = 'FAIL' AND run_no < 2 AND length(reason) BETWEEN 1 AND 110 GROUP BY ALL) WHERE n >= 2")
+def _(d):
+    rows = _masked(d.where("run_no < 2")).select("row_id", "type", F.col("reason").alias("text"), F.lit(None).cast("string").alias("cluster_name"), F.lit(None).cast("string").alias("assigned_by"))
+    return A.exact(rows).where("cluster_name is not null").groupBy("type", "cluster_name").agg(F.count(F.lit(1)).alias("n")).select("type", "n")
+
+
+@on_results("cl08_sparse_groups")
+def _(d):
+    rows = cut(A.seeded(_masked(d.where("run_no = 3"))))
+    return A.sparse(rows).groupBy("type", "cluster_name", "assigned_by").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("cl12_merged_clusters")
+def _(spark, sf):
+    cents = C.centroids(table(spark, sf, "embeddings")).select((F.col("label") % 2).cast("string").alias("type"), F.col("label").cast("string").alias("cluster_name"), "centroid")
+    return A.merged(cents, 0.05)
+
+
+@register("cl13_relabel", "SELECT label, count(*) AS n FROM (SELECT CASE WHEN label IN (3, 5) THEN 1 ELSE label END AS label FROM embeddings) GROUP BY label")
+def _(spark, sf):
+    rows = table(spark, sf, "embeddings").select("vec_id", F.lit("t").alias("type"), F.col("label").cast("string").alias("cluster_name"))
+    names = spark.createDataFrame([("t", "3", "1"), ("t", "5", "1")], "type string, cluster_name string, into string")
+    return A.relabelled(rows, F.broadcast(names)).groupBy(F.col("cluster_name").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+register("cl15_outliers")(lambda s, f: _rounded(A.outliers(table(s, f, "embeddings"), cut=1.005), "lof"))
+
+
+@on_results("cl23_cascade")
+def _(d):
+    return A.analyze(_masked(d.where("run_no < 3"))).select("row_id", "type", "cluster_name", "assigned_by", "cluster_class")
+
+
+@on_results("x08_classes", "SELECT row_id, CASE WHEN regexp_matches(reason, '(?i)device (not found|unavailable)|no space left|timer expired|same worker|connection') THEN 'env_issue' WHEN regexp_matches(reason, '(?i)missing|not found|no such file|permission denied|not installed') THEN 'setup_issue' ELSE 'sdk_issue' END AS class FROM results")
+def _(d):
+    return d.select("row_id", M.rule_class(F.col("reason")).alias("class"))
+
+
+@on_results("x09_summary", "SELECT cluster_name, pattern, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY cluster_name ORDER BY n DESC, pattern) AS rank FROM (SELECT cluster_name, regexp_replace(reason, '\\bpid: \\d+', 'pid: <NUM>') AS pattern, count(*) AS n FROM (SELECT cluster_name, CASE WHEN row_id % 2 = 0 THEN 'Wait pid: 7' ELSE 'Crash' END AS reason FROM results) GROUP BY ALL)) WHERE rank <= 5")
+def _(d):
+    rows = d.select("cluster_name", F.when(F.col("row_id") % 2 == 0, "Wait pid: 7").otherwise("Crash").alias("reason"))
+    return M.summary(rows, "cluster_name", "reason")
+
+
+@on_results("x06_masked_groups", "SELECT count(DISTINCT g) AS groups FROM (SELECT 'step ' || (row_id % 3 < 1) AS g FROM results)")
+def _(d):
+    rows = d.select("row_id", F.concat(F.lit("step "), (F.col("row_id") % 3 < 1).cast("string"), F.lit(" took "), F.col("row_id").cast("string"), F.lit(" ms")).alias("t"))
+    return M.masked_groups(rows, "row_id", "t").agg(F.count_distinct("group").alias("groups"))
+
+
+@on_results("sc32_approvals", "SELECT row_id, cast(row_id % 2 AS int) AS approvers FROM results WHERE run_no = 6")
+def _(d):
+    votes = F.array(F.struct(F.lit("a").alias("who"), (F.col("row_id") % 2 + 1).cast("int").alias("vote")), F.struct(F.lit("b").alias("who"), F.lit(-1).alias("vote")))
+    return _run(d, 6).select("row_id", F.size(F.filter(votes, lambda v: v["vote"] == 2)).alias("approvers"))

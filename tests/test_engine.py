@@ -1,0 +1,97 @@
+import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from faultline.operators import models as M
+from faultline.plans import cascade as A
+from faultline.plans import render
+from faultline.plans.engine import Engine
+from faultline.sources import connectors as S
+from faultline.streaming import centroids as ST
+
+OLD, NEW = "ALFA-v2.30.0.250101103000_1-auto", "ALFA-v2.30.0.250102103000_2-auto"
+RESULTS = "row_id long, run_id string, tc_uuid string, type string, runtime string, soc string, host string, model string, bu string, result string, exec_status string, reason string, cluster_name string, cluster_class string"
+
+
+def results(spark):
+    rows = []
+    for k in range(40):
+        reason = ["Verifier failed at 12 ms", "crash in node alpha beta", None, "crash in node alpha gamma", "!!!"][k % 5]
+        for n, run in enumerate((OLD, NEW)):
+            rows.append((2 * k + n, run, f"t{k}", ["inference", "quantizer"][k % 2], "cpu", "s", "h", "m", "b", "PASS" if n == 0 else "FAIL", "COMPLETED", reason, None, None))
+    return spark.createDataFrame(rows, RESULTS)
+
+
+def test_cascade_keeps_every_row_once(spark):
+    df = results(spark).where(F.col("result") == "FAIL")
+    out = A.analyze(df.select("row_id", "type", "reason")).collect()
+    assert sorted(r.row_id for r in out) == sorted(r.row_id for r in df.collect())
+    by_row = {r.row_id: r for r in out}
+    assert by_row[1].cluster_name == "VerifierFailed" and by_row[5].cluster_name == "NoErrorLog" and by_row[9].cluster_name == "EmptyErrorLog"
+    assert all(r.cluster_name for r in out if r.row_id // 2 % 5 in (1, 3))
+    assert A.analyze(df.select("row_id", "type", "reason").limit(0)).count() == 0
+
+
+def test_engine_end_to_end(spark, tmp_path):
+    changes = spark.createDataFrame([("c1", datetime.datetime(2025, 1, 2)), ("c2", datetime.datetime(2025, 1, 3))], "change_id string, merged_at timestamp")
+    engine = Engine(spark, results(spark), f"file://{tmp_path}/state", changes)
+    assert engine.newer_first(OLD, NEW) == (NEW, OLD)
+    assert engine.regressions(OLD, NEW).count() == 40
+    assert [r.change_id for r in engine.changes_between(NEW, OLD).collect()] == ["c1"]
+    assert engine.previous_runs(NEW).first()["previous_run_id"] == OLD
+    first = engine.process_run(NEW).count()
+    stored = sorted(map(str, engine.store.centroids().collect()))
+    assert first == 40 and stored
+    assert engine.process_run(NEW).count() == first and sorted(map(str, engine.store.centroids().collect())) == stored
+    assert [r.run_id for r in engine.queue(spark.createDataFrame([(OLD,), (NEW,)], "run_id string")).collect()] == [OLD]
+    assert engine.lookup("inference", "crash in node alpha beta").first()["assigned_by"] == "known"
+    assert "&lt;b&gt;" in engine.report("<b>", engine.run_clusters(NEW, OLD))
+
+
+def test_stream_applies_each_run_once(spark, tmp_path):
+    folder, source = f"file://{tmp_path}/s", f"{tmp_path}/in"
+    rows = [(OLD, "t", "a", [1.0, 0.0]), (NEW, "t", "a", [0.0, 1.0]), (NEW, "t", "b", [0.6, 0.8])]
+    spark.createDataFrame(rows, ST.INPUT).coalesce(1).write.mode("append").parquet(source)
+    ST.start(spark, source, folder).awaitTermination()
+    spark.createDataFrame(rows[:1], ST.INPUT).coalesce(1).write.mode("append").parquet(source)
+    ST.start(spark, source, folder).awaitTermination()
+    got = {r.cluster_name: [round(x, 6) for x in r.centroid] for r in ST.CentroidStore(spark, folder).centroids().collect()}
+    assert got == {"a": [0.993884, 0.110432], "b": [0.6, 0.8]}
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("row_id,result,type\n1,FAIL,x\n2,PASS,\n")
+    df = S.read_results(spark, f"{tmp_path}/r.csv", "csv")
+    assert df.count() == 2 and df.where("reason is null").count() == 2
+    with pytest.raises(ValueError):
+        (tmp_path / "b.csv").write_text("a\n1\n")
+        S.read_results(spark, f"{tmp_path}/b.csv", "csv")
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log/a.txt").write_text('{"error_msg": "from json"}')
+    (tmp_path / "log/b.txt").write_text("l1\nl2")
+    logs = S.read_logs(spark, f"{tmp_path}/log")
+    path = next(r.path for r in logs.collect() if r.path.endswith("a.txt"))
+    cut = spark.createDataFrame([(1, path, "Limiting Reason To 3000 chars|x"), (2, "none", "full")], "row_id int, log_path string, reason string")
+    assert {r.row_id: r.reason for r in S.with_full_reasons(cut, logs).collect()} == {1: "from json", 2: "full"}
+    (tmp_path / "map.json").write_text('{"r1": ["a", "b"], "r2": []}')
+    assert sorted(map(tuple, S.change_map(spark, f"{tmp_path}/map.json").collect())) == [("r1", 0, "a"), ("r1", 1, "b")]
+    S.publish(spark, "v1", f"file://{tmp_path}/current")
+    S.publish(spark, "v2", f"file://{tmp_path}/current")
+    assert S.published(spark, f"file://{tmp_path}/current") == "v2"
+    S.write_by_cluster(spark.createDataFrame([(1, "A"), (2, " ")], "x int, cluster_name string"), f"file://{tmp_path}/out")
+    assert [p.name for p in (tmp_path / "out").iterdir() if p.is_dir()] == ["cluster=A"]
+
+
+def test_render_and_models():
+    assert render.cell(["<i>", 1234]) == "<ul><li>&lt;i&gt;</li><li>1,234</li></ul>" and render.bars([]) == ""
+    calls = []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError
+        return "ok"
+
+    assert M.retried(flaky, sleep=lambda s: None) == "ok"
+    assert M.halved(lambda x: x if len(x) < 3 else 1 / 0, list(range(8))) == list(range(8))
