@@ -29,7 +29,10 @@ GAP = 2
 LEAST = 0.3
 LANDMARKS = 96
 SAMPLE = 12_000
+#: Texts of which a task holds the vectors at once.
+SLICE = 200
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+_MARKS = re.compile(r"[\W_]+")
 _SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 
 
@@ -106,7 +109,7 @@ class Kernel:
 class Matcher:
     """Kernel vectors of texts; remembers the words it has met, a bounded number of them."""
 
-    def __init__(self, landmarks: list[str], remembered: int = 300_000) -> None:
+    def __init__(self, landmarks: list[str], remembered: int = 200_000) -> None:
         self.kernel, self.remembered = Kernel(landmarks), remembered
         self.known: dict[str, np.ndarray | None] = {}
 
@@ -123,10 +126,17 @@ class Matcher:
             self.known.clear()
         new = [w for w in {w for s in split for w in s} if w not in self.known]
         cores = [_EDGE.sub("", w) for w in new]
+        names = list(new)
+        for word, core in zip(new, list(cores), strict=True):  # marks between letters may be put in: the letters alone, too
+            if not core.isalnum() and core:
+                names.append(word)
+                cores.append(_MARKS.sub("", core))
         self.known.update(dict.fromkeys(new))
-        numbers, rows = self.kernel.rows(cores)
-        for k, row in zip(numbers.tolist(), rows, strict=True):
-            self.known[new[k]] = row
+        for at in range(0, len(cores), 8192):  # bounded memory
+            numbers, rows = self.kernel.rows(cores[at : at + 8192])
+            for k, row in zip((numbers + at).tolist(), rows.astype(np.float32), strict=True):
+                have = self.known[names[k]]
+                self.known[names[k]] = row if have is None else np.maximum(have, row)
         m = len(self.kernel.landmarks)
         out = np.zeros((len(texts), 3 * m))
         get = self.known.__getitem__
@@ -260,8 +270,10 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(landmarks)
             for batch in batches:
-                vectors = matcher.vectors(batch["body"].to_pylist())
-                yield pa.record_batch([batch["label"], pa.array([v.astype("<f4").tobytes() for v in vectors], pa.binary())], names=["label", "vector"])
+                for at in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(at, SLICE)
+                    vectors = matcher.vectors(part["body"].to_pylist())
+                    yield pa.record_batch([part["label"], pa.array([v.astype("<f4").tobytes() for v in vectors], pa.binary())], names=["label", "vector"])
 
         rows = texts.mapInArrow(run, "label int, vector binary").collect()
     finally:
@@ -279,8 +291,8 @@ def score(docs: DataFrame, model: Model, text_column: str = "text", threshold: f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model.landmarks)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
                 scores = model.scores(matcher.vectors(["" if t is None else t for t in part[text_column].to_pylist()]))
                 yield pa.record_batch([*part.columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=[*part.schema.names, "toxicity", "toxic"])
 
