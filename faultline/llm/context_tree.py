@@ -65,6 +65,23 @@ def strings(data: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
+def positions(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted value is in the sorted, distinct keys, which have them all: by a hash table, then, for the few
+    whose slot another key took, by bisection."""
+    bits = max(10, int(len(keys)).bit_length() + 3)
+    spread, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - bits)
+    slots = np.zeros(1 << bits, np.int32)
+    slots[(keys * spread) >> shift] = np.arange(len(keys), dtype=np.int32)
+    out = np.empty(len(wanted), np.int32)
+    for a in range(0, len(wanted), 1 << 18):  # pieces that stay in the cache
+        some = wanted[a : a + (1 << 18)]
+        at = slots[(some * spread) >> shift]
+        missed = np.flatnonzero(keys[at] != some)
+        at[missed] = np.searchsorted(keys, some[missed])
+        out[a : a + len(some)] = at
+    return out
+
+
 class Level:
     """Nodes of all contexts of one depth: for each bit, groups of (context, bits before), in sorted order."""
 
@@ -197,9 +214,9 @@ END_WORD = b"\n"
 
 
 class Block:
-    """A block's texts: all places to be priced, the distinct strings, and the words."""
+    """A block's texts: all places to be priced, the distinct strings and the words, and if wanted their counts."""
 
-    def __init__(self, table: pa.Table, depth: int, buckets: int) -> None:
+    def __init__(self, table: pa.Table, depth: int, buckets: int, count: bool = True) -> None:
         self.learn = np.array(table["learn"].to_pylist(), bool)
         self.texts = [t.lower() for t in table["body"].to_pylist()]
         pad = bytes([END]) * depth
@@ -208,26 +225,26 @@ class Block:
         begins = np.cumsum(self.sizes + depth - 1) - (self.sizes + depth - 1)
         places = np.arange(self.sizes.sum()) + np.repeat(begins - (np.cumsum(self.sizes) - self.sizes), self.sizes)
         self.places = strings(data, depth)[places]
-        learned = np.repeat(self.learn, self.sizes)
-        seen, n = np.unique(self.places[learned], return_counts=True)
-        self.keys = np.union1d(seen, np.unique(self.places[~learned])) if not learned.all() else seen
-        self.counts = np.zeros(len(self.keys), np.int64)
-        self.counts[np.searchsorted(self.keys, seen)] = n
         self.split = [t.split() for t in self.texts]
-        words: Counter[bytes] = Counter()
-        for learn, some in zip(self.learn, self.split, strict=True):
-            if learn:
-                words.update(some)
-                words[END_WORD] += 1
-            else:
-                words.update(dict.fromkeys(some, 0))
-        words[END_WORD] += 0
-        self.words = words
+        self.words: Counter[bytes] = Counter()
+        if count:
+            learned = np.repeat(self.learn, self.sizes)
+            seen, n = np.unique(self.places[learned], return_counts=True)
+            self.keys = np.union1d(seen, np.unique(self.places[~learned])) if not learned.all() else seen
+            self.counts = np.zeros(len(self.keys), np.int64)
+            self.counts[np.searchsorted(self.keys, seen)] = n
+            for learn, some in zip(self.learn, self.split, strict=True):
+                if learn:
+                    self.words.update(some)
+                    self.words[END_WORD] += 1
+        else:
+            self.keys = np.unique(self.places)
+        names = {END_WORD}.union(*self.split)
         of = self.keys >> np.uint64(8 * max(1, depth - 3))
         of = (of * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
         self.key_bucket = (of % np.uint64(buckets)).astype(np.int64)
         self.word_bucket: dict[int, list[bytes]] = {}
-        for word in sorted(words):
+        for word in sorted(names):
             self.word_bucket.setdefault(crc32(word) % buckets, []).append(word)
         order = np.argsort(self.key_bucket, kind="stable")
         edges = np.searchsorted(self.key_bucket[order], np.arange(buckets + 1))
@@ -338,19 +355,27 @@ def _reply(key: tuple[pa.Scalar, ...], lists: pa.Table, priced: pa.Table) -> pa.
 
 def _scored(depth: int, buckets: int):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, replies: pa.Table) -> pa.Table:
-        block = Block(docs, depth, buckets)
+        block = Block(docs, depth, buckets, count=False)
         prices = np.zeros(len(block.keys))
         counts: dict[bytes, int] = {}
         for b, p, n in zip(replies["bucket"].to_pylist(), replies["prices"].to_pylist(), replies["word_counts"].to_pylist(), strict=True):
             if b in block.key_places:
                 prices[block.key_places[b]] = np.frombuffer(p, "<f4")
             counts.update(zip(block.word_bucket.get(b, []), np.frombuffer(n, "<i8").tolist(), strict=True))
-        each = prices[np.searchsorted(block.keys, block.places)]
+        each = prices[positions(block.keys, block.places)]
         score = np.add.reduceat(each, np.cumsum(block.sizes) - block.sizes) if len(block.sizes) else np.zeros(0)
-        logs = {w: float(np.log10(c + 0.5)) for w, c in counts.items()}
-        n_tokens = [len(s) + 1 for s in block.split]
-        n_known = [sum(counts[w] > 0 for w in s) + (counts[END_WORD] > 0) for s in block.split]
-        log_counts = [sum(map(logs.__getitem__, s)) + logs[END_WORD] for s in block.split]
+        number = {w: k for k, w in enumerate(counts)}
+        learned = np.fromiter(counts.values(), np.int64, len(counts))
+        n_words = np.fromiter(map(len, block.split), np.int64, len(block.split))
+        words = np.fromiter((number[w] for some in block.split for w in some), np.int64, int(n_words.sum()))
+        edges = np.r_[0, np.cumsum(n_words)]
+        logs = np.log10(learned + 0.5)
+        running = np.r_[0, np.cumsum(learned[words] > 0)]
+        end = number[END_WORD]
+        n_tokens = n_words + 1
+        n_known = np.diff(running[edges]) + (learned[end] > 0)
+        owner = np.repeat(np.arange(len(n_words)), n_words)
+        log_counts = np.bincount(owner, weights=logs[words], minlength=len(n_words)) + logs[end]
         return pa.table(
             {
                 "doc_id": docs["doc_id"],
