@@ -75,6 +75,12 @@ def token_weights(df: DataFrame, row: str, tokens) -> DataFrame:
     return raw.join(norms, row).select(row, "token", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def sparse_centroids(weights: DataFrame, row: str, key: str) -> DataFrame:
+    """AG16: mean weights of a cluster's members; a token that a member lacks counts as 0."""
+    members = weights.groupBy(key).agg(F.count_distinct(row).alias("m"))
+    return weights.groupBy(key, "token").agg(F.sum("weight").alias("s")).join(members, key).select(key, "token", (F.col("s") / F.col("m")).alias("weight"))
+
+
 def sparse_pairs(weights: DataFrame, row: str, least: float = 0.0, commonest: int | None = None) -> DataFrame:
     """Dot products of rows that share a token, by token. With `commonest`, tokens of more rows than that don't
     start a pair (an explicit parameter of the caller's; None computes all)."""

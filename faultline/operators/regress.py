@@ -102,6 +102,16 @@ def previous_releases(runs: DataFrame) -> DataFrame:
     return runs.join(releases, ["prefix", "major", "minor"], "left").select("run_id", "previous_release")
 
 
+def valid_previous_releases(runs: DataFrame, percents: DataFrame, least: int = 90) -> DataFrame:
+    """As previous_releases(), of runs whose completion is at least `least` percent only."""
+    good = runs.join(percents, "run_id").where(F.col("completion") >= least)
+    best = good.groupBy("prefix", "major", "minor").agg(F.max(F.struct("rc", "run_id")).alias("b"))
+    releases = runs.select("prefix", "major", "minor").distinct().join(best, ["prefix", "major", "minor"], "left")
+    w = Window.partitionBy("prefix").orderBy("major", "minor").rowsBetween(Window.unboundedPreceding, -1)
+    before = releases.select("prefix", "major", "minor", F.last("b.run_id", ignorenulls=True).over(w).alias("previous_release"))
+    return runs.join(before, ["prefix", "major", "minor"], "left").select("run_id", "previous_release")
+
+
 def highest_rc(runs: DataFrame) -> DataFrame:
     """W12."""
     return runs.groupBy("prefix", "version").agg(F.max_by("run_id", F.struct("rc", "run_id")).alias("run_id"))

@@ -81,3 +81,10 @@ def chunks(df: DataFrame, keys: list[str], order: list, size: int, overlap: int
     last = F.floor((n - 1) / step)
     first = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(step)))
     return df.withColumn("_n", F.row_number().over(w)).withColumn("chunk", F.explode(F.sequence(first.cast("int"), last.cast("int")))).drop("_n")
+
+
+def minmax(df: DataFrame, key: str, value: str, flat: float) -> DataFrame:
+    """Values scaled to 0..1 in their group; `flat` where the group's range is none."""
+    w = Window.partitionBy(key)
+    lo, hi = F.min(value).over(w), F.max(value).over(w)
+    return df.withColumns({"_lo": lo, "_hi": hi}).withColumn("score", F.when(F.col("_hi") - F.col("_lo") < 1e-9, flat).otherwise((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")))).drop("_lo", "_hi")

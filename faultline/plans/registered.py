@@ -319,3 +319,31 @@ def _(d):
 def _(d):
     votes = F.array(F.struct(F.lit("a").alias("who"), (F.col("row_id") % 2 + 1).cast("int").alias("vote")), F.struct(F.lit("b").alias("who"), F.lit(-1).alias("vote")))
     return _run(d, 6).select("row_id", F.size(F.filter(votes, lambda v: v["vote"] == 2)).alias("approvers"))
+
+
+# --- the rest of the filters, joins, sets and scalars ------------------------------------------------------------------
+
+on_results("f09_projection", "SELECT row_id, type AS test_type FROM results")(lambda d: d.drop(*[c for c in ("embedding", "bins") if c in d.columns]).select([c for c in ("row_id", "type", "absent") if c in d.columns]).withColumnRenamed("type", "test_type"))
+on_results("f15_suppressed", "SELECT row_id FROM results WHERE NOT contains(coalesce(reason, ''), 'Segmentation') AND NOT contains(coalesce(reason, ''), 'device')")(lambda d: d.where(~F.coalesce(F.col("reason").rlike("Segmentation|device"), F.lit(False))).select("row_id"))
+on_results("f16_persisted", "SELECT row_id FROM results WHERE cluster_name NOT IN ('Cluster1', 'Cluster2') AND value IS NOT NULL")(lambda d: d.where(~F.col("cluster_name").isin("Cluster1", "Cluster2") & F.col("value").isNotNull()).select("row_id"))
+on_results("f18_valid_sheets", "SELECT DISTINCT cluster_name FROM results WHERE trim(cluster_name) <> ''")(lambda d: d.where(F.trim("cluster_name") != "").select("cluster_name").distinct())
+on_results("j05_requeue", "SELECT run_no FROM (SELECT DISTINCT run_no FROM results) WHERE run_no NOT IN (2, 3) ORDER BY run_no OFFSET 4")(lambda d: G.requeue(d.select("run_no").distinct(), d.where("run_no in (2, 3)").select("run_no").distinct(), "run_no", "run_no", most=5, trim=4))
+on_results("j09_type_changes", "SELECT DISTINCT type, runtime, CASE WHEN lower(type) IN ('converter','quantizer') THEN lower(type) ELSE runtime END AS change_key FROM results")(lambda d: d.select("type", "runtime").distinct().withColumn("change_key", F.when(F.lower("type").isin("converter", "quantizer"), F.lower("type")).otherwise(F.col("runtime"))))
+register("j13_valid_previous_release", f"{_WITH_PARTS}, c AS (SELECT run_id, floor(100 * count(*) FILTER (exec_status = 'COMPLETED') / count(*)) AS done FROM results GROUP BY run_id) SELECT a.run_id, (SELECT b.run_id FROM p b JOIN c USING (run_id) WHERE done >= 90 AND b.prefix = a.prefix AND (b.major, b.minor) < (a.major, a.minor) ORDER BY b.major DESC, b.minor DESC, b.rc DESC, b.run_id DESC LIMIT 1) AS previous_release FROM p a")(lambda s, f: G.valid_previous_releases(G.run_table(results(s, f)), G.completion(results(s, f), "run_id")))
+on_results("ag16_sparse_centroids", "SELECT type, token, round(sum(w) / any_value(m), 6) AS weight FROM (SELECT type, runtime AS token, value AS w, count(*) OVER (PARTITION BY type) AS m FROM results) GROUP BY type, token")(lambda d: _rounded(C.sparse_centroids(d.select("row_id", "type", F.col("runtime").alias("token"), F.col("value").alias("weight")), "row_id", "type"), "weight"))
+on_results("ag20_distinct_changes", "SELECT DISTINCT run_id || '/' || type AS url FROM results")(lambda d: d.select(F.concat_ws("/", "run_id", "type").alias("url")).dropDuplicates(["url"]))
+on_results("ag24_keyed_counts", "SELECT soc, runtime, count(*) AS n, min(row_id) AS first_row FROM results WHERE result = 'FAIL' GROUP BY ALL")(lambda d: d.where("result = 'FAIL'").groupBy("soc", "runtime").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_row")))
+register("ag28_batch_totals", f"{WITH}, {_STATS} SELECT cast(sum(total) AS bigint) AS tests, cast(sum(failed) AS bigint) AS failures, count(*) FILTER (failed / effective >= 0.3) AS flagged FROM t")(lambda s, f: S.type_stats(results(s, f), 0.3).agg(F.sum("total").alias("tests"), F.sum("failed").alias("failures"), F.count_if("flagged").alias("flagged")))
+on_results("w04_row_minmax", "SELECT row_id, round(CASE WHEN max(value) OVER w - min(value) OVER w < 1e-9 THEN 0 ELSE (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) END, 6) AS score FROM results WINDOW w AS (PARTITION BY tc_uuid)")(lambda d: _rounded(P.minmax(d, "tc_uuid", "value", 0.0).select("row_id", "score"), "score"))
+on_results("w13_first_of_duplicates", "SELECT tc_uuid, run_no, min(row_id) AS row_id FROM results GROUP BY ALL")(lambda d: S.first_rows(d, ["tc_uuid", "run_no"], ["row_id"], 1).select("tc_uuid", "run_no", "row_id"))
+on_results("t01_latest_runs", "SELECT DISTINCT run_id FROM results ORDER BY run_id DESC LIMIT 4")(lambda d: d.select("run_id").distinct().orderBy(F.col("run_id").desc()).limit(4))
+on_results("t08_samples", "SELECT cluster_class, row_id FROM (SELECT *, row_number() OVER (PARTITION BY cluster_class ORDER BY row_id) AS rn FROM results) WHERE rn <= 80")(lambda d: S.first_rows(d, ["cluster_class"], ["row_id"], 80).select("cluster_class", "row_id"))
+on_results("u02_tagged_union", "SELECT row_id, lower(type) AS cluster_type FROM results WHERE lower(type) IN ('inference', 'verifier')")(lambda d: d.where("type = 'inference'").select("row_id", F.lit("inference").alias("cluster_type")).unionByName(d.where("type = 'verifier'").select("row_id", F.lit("verifier").alias("cluster_type"))))
+on_results("u06_ordered_distinct", "SELECT row_id, array_to_string(CASE WHEN soc = host THEN [soc] ELSE [soc, host] END, ',') AS names FROM results")(lambda d: d.select("row_id", F.array_join(F.array_distinct(F.array("soc", "host", "soc")), ",").alias("names")))
+on_results("u07_merged_lists", "SELECT key, string_agg(DISTINCT v, ',' ORDER BY v) AS merged FROM (SELECT type AS key, runtime AS v FROM results UNION ALL SELECT type, soc FROM results) GROUP BY key")(lambda d: d.groupBy(F.col("type").alias("key")).agg(F.array_join(F.array_sort(F.array_union(F.collect_set("runtime"), F.collect_set("soc"))), ",").alias("merged")))
+register("sc14_months_back", "SELECT o_orderkey, cast(o_orderdate - INTERVAL 3 MONTH AS date) AS back FROM orders")(lambda s, f: table(s, f, "orders").select("o_orderkey", F.add_months(F.to_date("o_orderdate"), -3).alias("back")))
+on_results("sc20_primary_type", "SELECT DISTINCT type, replace(lower(type), '_', '') IN ('inference', 'verifier', 'unittesthost') AS is_primary FROM results")(lambda d: d.select("type").distinct().withColumn("is_primary", F.replace(F.lower("type"), F.lit("_"), F.lit("")).isin("inference", "verifier", "unittesthost")))
+register("sc25_cosine", f"WITH {_UNITS} SELECT a.vec_id AS a, b.vec_id AS b, round(sum(a.x * b.x), 6) + 0.0 AS cosine FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 AND a.pos = b.pos GROUP BY ALL")(lambda s, f: table(s, f, "embeddings").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")).join(table(s, f, "embeddings").select((F.col("vec_id") - 1).alias("a"), F.col("vec_id").alias("b"), F.col("embedding").alias("y")), "a").select("a", "b", (F.round(V.cosine(F.col("x"), F.col("y")), 6) + 0.0).alias("cosine")))
+on_results("sc27_hybrid", "SELECT row_id, round(5.5e-1 * (value / 1000) + 4.5e-1 * ((row_id % 10) / 10), 9) AS score FROM results")(lambda d: d.select("row_id", F.round(V.hybrid(F.col("value") / 1000, F.col("row_id") % 10 / 10), 9).alias("score")))
+register("sc33_length", "SELECT doc_id, length(text) AS n FROM documents")(lambda s, f: table(s, f, "documents").select("doc_id", F.length("text").cast("long").alias("n")))
+register("snk03_filled_class", "WITH d AS (SELECT n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'old' END AS c FROM nation) SELECT name, coalesce(c, 'new') AS cluster_class FROM d")(lambda s, f: U.filled_class(table(s, f, "nation").select(F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 2 == 0, "old").alias("cluster_class")), table(s, f, "nation").select(F.col("n_name").alias("name"), F.lit("new").alias("cluster_class")), "name"))
