@@ -15,6 +15,23 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+_caches: dict[str, list] = {}
+
+
+def cached(name: str, store: dict) -> dict:
+    """A worker's memory of one operator, which keep_only() of another clears."""
+    _caches.setdefault(name, []).append(store)
+    return store
+
+
+def keep_only(name: str) -> None:
+    """Python workers outlive stages: what other operators remember is dropped when one begins."""
+    for other, stores in _caches.items():
+        if other != name:
+            for store in stores:
+                store.clear()
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a local one only where that setting is missing, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import keep_only
+
 #: Bytes that are no word characters become spaces, A-Z become a-z: what is left are ASCII letters, digits, and all beyond ASCII.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 INDEX = "doc_ids binary, missing binary, begins binary, lengths binary, terms array<string>, counts binary, postings binary"
@@ -68,6 +70,7 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         return pa.record_batch([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["doc_ids", "missing", "begins", "lengths", "terms", "counts", "postings"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("index")
         ids: list = []
         texts: list[bytes] = []
         size = 0

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocked, bucket_count, cut
+from .common import blocked, bucket_count, cached, cut, keep_only
 
 LISTS = "bucket int, block int, planes binary, counts binary"
 CLASSES = "block int, bucket int, classes binary"
@@ -45,7 +45,7 @@ class Shingler:
 
     def sets(self, texts: list[bytes]) -> list[np.ndarray]:
         known, out = self.known, []
-        if len(known) > 500_000:
+        if len(known) > 300_000:
             known.clear()
         for text in texts:
             found = text.lower().split()
@@ -72,10 +72,11 @@ class Shingler:
         return out
 
 
-_shinglers: dict[int, Shingler] = {}
+_shinglers: dict[int, Shingler] = cached("shingles", {})
 
 
 def shingler(words: int) -> Shingler:
+    keep_only("shingles")
     return _shinglers.setdefault(words, Shingler(words))
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocked, bucket_count, flat
+from .common import blocked, bucket_count, flat, keep_only
 
 GRAM = 40
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -244,6 +244,7 @@ FACTS = np.dtype([("hash", "<u8"), ("id", "<i8"), ("rank", "<i8"), ("start", "<i
 
 def _keys(length: int, buckets: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        keep_only("suffixes")
         data, offsets = flat(table["body"])
         hashes, n = np.unique(slots(data, offsets, length)[3], return_counts=True)
         out = {"bucket": [], "block": [], "hashes": [], "twice": []}

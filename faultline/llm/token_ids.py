@@ -9,8 +9,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from .common import cached, keep_only
+
 #: Distinct words whose ids a worker remembers at most; it forgets all but the latest batch's beyond that.
-REMEMBERED = 700_000
+REMEMBERED = 500_000
 #: Characters handled at once.
 BATCH_CHARS = 1 << 20
 
@@ -102,34 +104,43 @@ class WordEncoder:
             yield from self._encode(batch)
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [t.split(" ") if self._plain(t) else None for t in texts]
-        words: set[str] = set()
-        for parts in cut:
-            if parts:
-                words.update(parts)
+        cut: list[list[str] | None] = []
+        for text in texts:
+            parts = text.split(" ") if self._plain(text) else None
+            # In a byte-level file a space at a text's end is a token of its own.
+            cut.append(None if parts is None or (self.byte_level and len(parts) > 1 and not parts[-1]) else parts)
         if len(self.known) > REMEMBERED:
-            self.known = {w: self.known[w] for w in words if w in self.known} | {"": b""}
-        self._learn([w for w in words if w not in self.known] if words else [])
+            used = {w for parts in cut if parts for w in parts}
+            self.known = {w: self.known[w] for w in used if w in self.known} | {"": b""}
+        get = self.known.get
+        found: list[list[bytes | None]] = []
+        new: set[str] = set()
+        for parts in cut:
+            ids = list(map(get, parts or ()))
+            if self.byte_level and parts:
+                # The first word has no space before it.
+                ids[0] = self._ids(parts[0]) if parts[0] else b""
+            if None in ids:
+                new.update([w for w, i in zip(parts, ids, strict=True) if i is None])
+            found.append(ids)
+        if new:
+            self._learn(list(new))
         get = self.known.__getitem__
-        for text, parts in zip(texts, cut, strict=True):
+        for text, parts, ids in zip(texts, cut, found, strict=True):
             if parts is None:
                 yield self._ids(text)
-            elif not self.byte_level:
-                yield b"".join(map(get, parts))
+            elif None in ids:
+                yield b"".join([get(w) if i is None else i for w, i in zip(parts, ids, strict=True)])
             else:
-                # the first word has no space before it; a space at a text's end, or before other white space, is a token
-                first = self._ids(parts[0]) if parts[0] else b""
-                if "" in parts[1:]:
-                    yield self._ids(text)
-                else:
-                    yield first + b"".join(map(get, parts[1:]))
+                yield b"".join(ids)
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, WordEncoder] = cached("tokens", {})
 
 
 def encoder(path: str) -> WordEncoder:
     """One encoder for each worker and file."""
+    keep_only("tokens")
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
