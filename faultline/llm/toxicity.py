@@ -21,14 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, sql_ascii_lower
+from .common import SPACE, keep_only, sql_ascii_lower
 
 DECAY = 0.7
 GAP = 2
 #: Similarities below this count as none.
-LEAST = 0.3
-LANDMARKS = 96
-SAMPLE = 12_000
+LEAST = 0.4
+LANDMARKS = 40
+SAMPLE = 8_000
+#: A word that similar to a stronger landmark is none itself.
+ALIKE = 0.75
 #: Texts of which a task holds the vectors at once.
 SLICE = 200
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -47,6 +49,14 @@ class Kernel:
         self.table = np.zeros((len(self.features) + 1, len(landmarks)))
         np.add.at(self.table, (at, owner), weights)
         self.table /= np.maximum(self.norms, 1e-12)
+        self.top = self.table.max(1) if landmarks else np.zeros(1)
+        # Most subsequences are no landmark's: a small table of hashes tells before they are looked up.
+        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe[self._hash(self.features)] = True
+
+    @staticmethod
+    def _hash(codes: np.ndarray) -> np.ndarray:
+        return (codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
 
     @staticmethod
     def _features(words: list[str], start: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,14 +92,14 @@ class Kernel:
     def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of the words that are similar to any landmark, their similarities)."""
         codes, weights, owner = self._features(words)
-        at = np.searchsorted(self.features, codes)
-        hit = (at < len(self.features)) & (self.features[np.minimum(at, len(self.features) - 1)] == codes) if len(self.features) else np.zeros(len(codes), bool)
+        hit = np.flatnonzero(self.maybe[self._hash(codes)])
+        at = np.searchsorted(self.features, codes[hit])
+        same = self.features[np.minimum(at, len(self.features) - 1)] == codes[hit] if len(self.features) else np.zeros(0, bool)
+        hit, at = hit[same], at[same]
         # The norm is at least the root of the sum of squared weights, and no landmark's share exceeds its table entry.
         low = np.sqrt(np.bincount(owner, weights=weights**2, minlength=len(words)))
-        top = self.table.max(1) if self.table.shape[1] else np.zeros(len(self.features) + 1)
-        bound = np.bincount(owner[hit], weights=weights[hit] * top[at[hit]], minlength=len(words))
-        able = bound >= LEAST * np.maximum(low, 1e-12)
-        able &= low > 0
+        bound = np.bincount(owner[hit], weights=weights[hit] * self.top[at], minlength=len(words))
+        able = (bound >= LEAST * np.maximum(low, 1e-12)) & (low > 0)
         numbers = np.flatnonzero(able)
         if not len(numbers):
             return numbers, np.zeros((0, len(self.landmarks)))
@@ -97,9 +107,13 @@ class Kernel:
         place[numbers] = np.arange(len(numbers))
         mine = able[owner]
         norms = self._norms(codes[mine], weights[mine], place[owner[mine]], len(numbers))
-        mine &= hit
+        keep = able[owner[hit]]
+        hit, at = hit[keep], at[keep]
+        of = place[owner[hit]]
+        order = np.argsort(of, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(of[order]) != 0])
         out = np.zeros((len(numbers), len(self.landmarks)))
-        np.add.at(out, place[owner[mine]], weights[mine][:, None] * self.table[at[mine]])
+        out[of[order[first]]] = np.add.reduceat(weights[hit[order]][:, None] * self.table[at[order]], first)
         out /= norms[:, None]
         out[out < LEAST] = 0
         good = out.any(1)
@@ -237,7 +251,7 @@ def choose_landmarks(counts: list[tuple[str, int, int]], toxic: int, other: int,
         alike[numbers] = rows
     chosen: list[int] = []
     for k in range(len(ranked)):
-        if len(chosen) < most and not (alike[k, chosen] > 0.9).any():
+        if len(chosen) < most and not (alike[k, chosen] > ALIKE).any():
             chosen.append(k)
     return [ranked[k] for k in chosen]
 
@@ -268,6 +282,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         landmarks = choose_landmarks([(r["word"], r["a"], r["b"]) for r in counts], toxic, other)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keep_only("toxicity")
             matcher = Matcher(landmarks)
             for batch in batches:
                 for at in range(0, batch.num_rows, SLICE):
@@ -275,7 +290,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
                     vectors = matcher.vectors(part["body"].to_pylist())
                     yield pa.record_batch([part["label"], pa.array([v.astype("<f4").tobytes() for v in vectors], pa.binary())], names=["label", "vector"])
 
-        rows = texts.mapInArrow(run, "label int, vector binary").collect()
+        rows = texts.repartition(16).mapInArrow(run, "label int, vector binary").collect()
     finally:
         texts.unpersist()
     vectors = np.array([np.frombuffer(r["vector"], "<f4") for r in rows], np.float64).reshape(len(rows), 3 * len(landmarks))
@@ -289,6 +304,7 @@ def score(docs: DataFrame, model: Model, text_column: str = "text", threshold: f
     schema = docs.select(names).schema.add("toxicity", "double").add("toxic", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("toxicity")
         matcher = Matcher(model.landmarks)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
