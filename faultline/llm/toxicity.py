@@ -26,11 +26,11 @@ from .common import SPACE, keep_only, sql_ascii_lower
 DECAY = 0.7
 GAP = 2
 #: Similarities below this count as none.
-LEAST = 0.4
-LANDMARKS = 40
-SAMPLE = 8_000
+LEAST = 0.3
+LANDMARKS = 96
+SAMPLE = 12_000
 #: A word that similar to a stronger landmark is none itself.
-ALIKE = 0.75
+ALIKE = 0.9
 #: Texts of which a task holds the vectors at once.
 SLICE = 200
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")

@@ -381,3 +381,12 @@ def test_pipeline(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, str(tmp_path))
         assert out.count() == 0
+
+
+def test_toxicity_keeps_gapped_insults_and_landmarks():
+    for insult, gapped in (("stupid", "stxxupid"), ("trash", "tarabsh"), ("scum", "sacubm")):
+        numbers, rows = toxicity.Kernel([insult]).rows([gapped])
+        assert numbers.tolist() == [0] and rows[0, 0] > 0.3
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(80)})
+    assert set(toxicity.choose_landmarks([(w, 10, 0) for w in words], 200, 800)) == set(words)
