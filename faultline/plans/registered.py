@@ -249,7 +249,7 @@ def _(d):
 
 @on_results("j17_sparse_pairs")
 def _(d):
-    reasons = d.where("run_no = 4").groupBy("reason").agg(F.min("row_id").alias("row_id"))
+    reasons = d.groupBy("reason").agg(F.min("row_id").alias("row_id"))
     return _rounded(C.sparse_pairs(C.token_weights(reasons, "row_id", T.sparse_tokens(F.col("reason"))), "row_id", 0.2), "dot")
 
 
@@ -273,7 +273,7 @@ def _(d):
 
 @on_results("cl08_sparse_groups")
 def _(d):
-    rows = cut(A.seeded(_masked(d.where("run_no = 3"))))
+    rows = cut(A.seeded(_masked(d)))
     return A.sparse(rows).groupBy("type", "cluster_name", "assigned_by").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -295,7 +295,7 @@ register("cl15_outliers")(lambda s, f: _rounded(A.outliers(table(s, f, "embeddin
 
 @on_results("cl23_cascade")
 def _(d):
-    return A.analyze(_masked(d.where("run_no < 3"))).select("row_id", "type", "cluster_name", "assigned_by", "cluster_class")
+    return A.analyze(_masked(d)).select("row_id", "type", "cluster_name", "assigned_by", "cluster_class")
 
 
 @on_results("x08_classes", "SELECT row_id, CASE WHEN regexp_matches(reason, '(?i)device (not found|unavailable)|no space left|timer expired|same worker|connection') THEN 'env_issue' WHEN regexp_matches(reason, '(?i)missing|not found|no such file|permission denied|not installed') THEN 'setup_issue' ELSE 'sdk_issue' END AS class FROM results")
