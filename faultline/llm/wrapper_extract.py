@@ -5,10 +5,10 @@ host are aligned by simple tree matching: the largest number of node pairs that
 siblings. Matched nodes become one node of the host's wrapper, others are added where they stand; each node counts the
 pages that have it, the characters seen there, and (by a mergeable heavy-hitters summary) texts that recur in it.
 
-A text that nearly all pages of a host have in a node is template; what varies is content. The host's main node is the
-deepest one that holds most of the varying text outside of what its labels call navigation, advertising and the like.
-A page is then aligned with its host's wrapper, and the varying blocks of its main node are its text. A page whose
-layout lacks the host's main node is judged by its own tree.
+A text that nearly all pages of a host have in a node is template; what varies is content, outside of what labels call
+navigation, advertising and the like. A page is aligned with its host's wrapper, and its varying blocks are its text,
+wherever they stand: a node that holds most of the text doesn't drop what is beside it. Nodes that the wrapper lacks
+have no template.
 
 All pages teach, a partition at a time; partial wrappers of one host are merged in two rounds, so that a hot host is
 no hot task.
@@ -255,21 +255,6 @@ def merge(into: Slot, other: Slot) -> None:
     into.kids = kids
 
 
-def _mass(slot: Slot) -> int:
-    return 0 if slot.aside else slot.chars + sum(_mass(k) for k in slot.kids)
-
-
-def main_path(wrapper: Slot) -> list[Slot]:
-    """From the root to the deepest slot that holds nearly all of the text that isn't set aside."""
-    path = [wrapper]
-    while True:
-        mass = _mass(path[-1])
-        rich = [k for k in path[-1].kids if not k.aside and k.kids and (_mass(k) >= 0.75 * mass or k.label.split(" ")[0] in ("article", "main") and _mass(k) >= 0.4 * mass)]
-        if not rich or not mass:
-            return path
-        path.append(max(rich, key=_mass))
-
-
 def template_texts(slot: Slot) -> set[str]:
     """Texts that at least a CONSTANT share of the slot's pages has."""
     if slot.pages < LEAST_PAGES:
@@ -279,22 +264,6 @@ def template_texts(slot: Slot) -> set[str]:
 
 def extract(page: str, wrapper: Slot | None) -> str:
     root = parse(page)
-    own = skeleton(root)
-    whole = wrapper or own
-    path = main_path(whole)
-    node: Node | None = root
-    slot: Slot | None = whole
-    for step in path[1:]:
-        # The page's siblings against the wrapper's: which of them is the one on the path?
-        nodes = [x for x in node.items if isinstance(x, Node)]
-        pairs = dict((p, q) for p, q in matching(slot.kids, [skeleton(x) for x in nodes])[1])
-        at = next(k for k, s in enumerate(slot.kids) if s is step)
-        if at not in pairs:
-            node = None
-            break
-        node, slot = nodes[pairs[at]], step
-    if node is None or (wrapper is not None and not _mass(skeleton(node)) and _mass(own)):
-        return extract(page, None) if wrapper is not None else ""
     blocks: list[str] = []
 
     def walk(node: Node, slot: Slot | None) -> None:
@@ -325,11 +294,11 @@ def extract(page: str, wrapper: Slot | None) -> str:
             if not item.aside:
                 walk(item, found.get(k))
 
-    walk(node, slot)
+    walk(root, wrapper)
     if not blocks and wrapper is not None:
         # A host whose pages are copies of one another: what recurs there is their content.
         wrapper = None
-        walk(node, slot)
+        walk(root, None)
     return "\n\n".join(blocks)
 
 

@@ -390,3 +390,16 @@ def test_toxicity_keeps_gapped_insults_and_landmarks():
     rng = random.Random(5)
     words = sorted({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(80)})
     assert set(toxicity.choose_landmarks([(w, 10, 0) for w in words], 200, 800)) == set(words)
+
+
+def test_wrapper_extraction_keeps_what_stands_beside_a_rich_child(spark):
+    long = prose(9, 200)
+    bodies = [
+        (f"<article><h1>Head</h1><p>lead</p><div class=body><p>{long}</p></div></article>", ["Head", "lead", long]),
+        (f"<article><h1>Head</h1><p>lead</p><ul><li>{long}</li><li>{long} b</li></ul></article>", ["Head", "lead", long, f"{long} b"]),
+        (f"<article><p>{long}</p></article><article><p>{long} b</p></article>", [long, f"{long} b"]),
+    ]
+    for url in (None, "https://h.example/x"):
+        pages = spark.createDataFrame([(k, url and f"{url}{k}", f"<body><nav>menu</nav>{b}<aside>side</aside></body>") for k, (b, _) in enumerate(bodies)], "page_id long, url string, html string")
+        got = {r.page_id: r.text for r in wrapper_extract.extract_pages(pages).collect()}
+        assert got == {k: "\n\n".join(want) for k, (_, want) in enumerate(bodies)}
