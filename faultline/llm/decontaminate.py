@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_only
+from .common import keep_only, scratch
 
 #: Bytes that are no word characters become spaces, A-Z become a-z: what is left are ASCII letters, digits, and all beyond ASCII.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -141,8 +141,9 @@ def windows(text: bytes, width: int) -> set[tuple[bytes, ...]]:
     return {tuple(found[k : k + width]) for k in range(len(found) - width + 1)}
 
 
-def search(index: DataFrame, items: list[tuple[str, bytes]], width: int = 10, reach: int | None = None) -> DataFrame:
-    """Per document of the index: which items occur, and which words they hit.
+def search(index: DataFrame, items: list[tuple[str, bytes]], width: int = 10, reach: int | None = None, keyed: bool = False) -> DataFrame:
+    """Per document of the index: which items occur, and which words they hit; with `keyed`, also the index's shard
+    and the document's place in it, which tell all rows apart.
 
     Exact phrases of `width` words (a shorter item is one phrase); with `reach`, proximity matches instead: the hits
     are then places of an item window's rarest term.
@@ -169,6 +170,7 @@ def search(index: DataFrame, items: list[tuple[str, bytes]], width: int = 10, re
                             spans[k].append((place, place + size))
                 merged = [_union(x) for x in spans]
                 n_hit = [sum(b - a for a, b in x) for x in merged]
+                key = [pa.array([row["shard"]] * len(shard.ids), pa.int64()), pa.array(range(len(shard.ids)), pa.int64())] if keyed else []
                 yield pa.record_batch(
                     [
                         pa.array(shard.ids, pa.int64()),
@@ -179,11 +181,12 @@ def search(index: DataFrame, items: list[tuple[str, bytes]], width: int = 10, re
                         pa.array([n > 0 for n in n_hit], pa.bool_()),
                         pa.array([sorted(x) for x in names], pa.list_(pa.string())),
                         pa.array([[{"start": a, "end": b} for a, b in x] for x in merged], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                        *key,
                     ],
-                    names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"],
+                    names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans", *["shard", "place"][: len(key)]],
                 )
 
-    return index.mapInArrow(run, HITS)
+    return index.mapInArrow(run, HITS + ", shard long, place long" if keyed else HITS)
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -216,36 +219,30 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
 
     Returns doc_id, n_words, n_hit (words inside any occurrence), n_items, items_sha256, contaminated, items (sorted
     ids) and spans (merged word ranges), a row for each document. A benchmark within piece_bytes is sent to the
-    tasks whole; a larger one is searched piece by piece over the index, and the pieces' findings are merged by
-    document. Null and empty texts have no words and no hits; an empty benchmark hits nothing; items that share an
-    id count as one; a missing item id is the empty string; documents that share an id are kept apart unless the
-    benchmark needs several pieces, where equal ids with equal texts merge their equal findings.
+    tasks whole; a larger one is searched piece by piece over one stored index of all terms, and the pieces' findings
+    are merged by the row's shard and place in it. Null and empty texts have no words and no hits; an empty benchmark hits nothing; items that share an
+    id count as one; a missing item id is the empty string; rows are kept apart, also if they share or lack an id.
     """
     pieces = benchmark_pieces(benchmark, text_column="text", piece_bytes=piece_bytes)
     first = next(pieces)
     second = next(pieces, None)
     if second is None or not second:
         return search(build_index(docs, id_column, text_column, _terms(first)), first, width)
-    parts = [first, second]
-    frames = []
-    while parts:
-        piece = parts.pop(0)
-        frames.append(search(build_index(docs, id_column, text_column, _terms(piece)), piece, width))
-        if not parts and (more := next(pieces, None)):
-            parts.append(more)
-    whole = frames[0]
-    for frame in frames[1:]:
-        whole = whole.unionByName(frame)
-    spans = F.array_sort(F.flatten(F.collect_set("spans")))
-    merged = F.aggregate(
-        "all_spans",
-        F.expr("named_struct('n', 0L, 'upto', -1L)"),
-        lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0).cast("long"), s["end"] - F.greatest(s["start"], acc["upto"]))).alias("n"), F.greatest(acc["upto"], s["end"]).alias("upto")),
-        lambda acc: acc["n"],
-    )
-    grouped = whole.groupBy("doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), spans.alias("all_spans"))
-    return grouped.withColumn("n_hit", merged).select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", F.col("all_spans").alias("spans")
+    path = scratch(docs.sparkSession, "decontaminate-index")
+    # Numbered once and stored: every piece sees the same shards.
+    build_index(docs, id_column, text_column).withColumn("shard", F.monotonically_increasing_id()).write.parquet(path)
+    index = docs.sparkSession.read.parquet(path)
+    whole = search(index, first, width, keyed=True)
+    while second:
+        whole = whole.unionByName(search(index, second, width, keyed=True))
+        second = next(pieces, None)
+    ranges = F.expr("""aggregate(array_sort(flatten(collect_list(spans))), cast(array() as array<struct<start:bigint,end:bigint>>), (acc, s) ->
+        if(size(acc) = 0 or s.start > element_at(acc, -1).end, concat(acc, array(s)),
+           concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, s.end))))))""")
+    grouped = whole.groupBy("shard", "place").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), ranges.alias("spans"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return grouped.withColumn("n_hit", n_hit).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", "spans"
     )
 
 

@@ -392,6 +392,15 @@ def test_toxicity_keeps_gapped_insults_and_landmarks():
     assert set(toxicity.choose_landmarks([(w, 10, 0) for w in words], 200, 800)) == set(words)
 
 
+def test_decontamination_in_pieces_keeps_all_rows_apart(spark, corpus):
+    items = [("1", corpus[0][1][40:300]), ("2", corpus[6][1][10:200]), ("3", corpus[0][1][200:500]), ("4", "tail words here")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    rows = [*corpus, (None, prose(6, 30)), (None, prose(6, 30)), (21, corpus[0][1]), (21, "clean " * 120)]
+    whole, cut = ([(str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated, r["items"], [tuple(s) for s in r.spans]) for r in decontaminate.decontaminate(table(spark, rows), bench, piece_bytes=piece).collect()] for piece in (8 << 20, 60))
+    assert len(cut) == len(rows)
+    assert sorted(cut) == sorted(whole)
+
+
 def test_wrapper_extraction_keeps_what_stands_beside_a_rich_child(spark):
     long = prose(9, 200)
     bodies = [
