@@ -26,13 +26,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group connected by links (five-word shingles, Jaccard 0.8 or more).
 
-    Repeated rows (same id and text) are one; rows without an id can't be named by a group and stay, once each text.
+    Repeated rows (same id and text) are one. Rows are told apart by id and text; one without an id is kept only where
+    its group has none with an id, and of equal ids the text of the least hash is kept.
     """
-    groups = jaccard_join.components_of(docs, words=5, percent=80)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    kept = keyed.join(first, "doc_id", "left_semi").unionByName(keyed.where("doc_id is null"))
-    return kept.dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text")).dropDuplicates(["_row"])
+    groups = jaccard_join.components_of(keyed, id_column="_row", words=5, percent=80).select(F.col("doc_id").alias("_row"), "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", F.xxhash64("text").alias("hash"), "_row")
+    first = groups.join(keyed.select("_row", place.alias("place")), "_row").groupBy("component_id").agg(F.min("place")["_row"].alias("_row"))
+    return keyed.join(first.select("_row"), "_row", "left_semi").select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

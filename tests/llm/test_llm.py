@@ -412,3 +412,14 @@ def test_wrapper_extraction_keeps_what_stands_beside_a_rich_child(spark):
         pages = spark.createDataFrame([(k, url and f"{url}{k}", f"<body><nav>menu</nav>{b}<aside>side</aside></body>") for k, (b, _) in enumerate(bodies)], "page_id long, url string, html string")
         got = {r.page_id: r.text for r in wrapper_extract.extract_pages(pages).collect()}
         assert got == {k: "\n\n".join(want) for k, (_, want) in enumerate(bodies)}
+
+
+def test_pipeline_keeps_one_row_of_each_group_whatever_its_id(spark):
+    import corpus_pipeline
+
+    a, b, c = prose(60, 120), prose(61, 120), prose(62, 120)
+    rows = [(1, a), (None, a + " x"), (None, b), (None, b + " x"), (5, b[:20]), (6, c), (7, c + " x"), (7, prose(63, 60)), (None, None), (8, "")]
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.one_of_near_copies(spark, table(spark, rows), "").collect()}
+    kept_b = {t for i, t in got if i is None and t and t.startswith(b)}
+    assert len(kept_b) == 1
+    assert got == {(1, a), *((None, t) for t in kept_b), (5, b[:20]), (6, c), (7, rows[7][1]), (None, None), (8, "")}
