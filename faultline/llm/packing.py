@@ -33,7 +33,7 @@ def pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         for batch in batches:
             out: list[tuple] = []
             held = 0
-            for doc, raw in zip(batch["doc_id"].to_pylist(), code.encode(batch["body"].to_pylist()), strict=True):
+            for doc, raw in zip(batch["doc_id"].to_pylist(), code.encode(batch["body"]), strict=True):
                 ids = raw + end
                 total = len(ids) // 4
                 edges = [0, *range(total % capacity or min(capacity, total), total + 1, capacity)]

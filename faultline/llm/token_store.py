@@ -45,7 +45,7 @@ def write(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: st
             held: list = []
             raws: list[bytes] = []
             size, part = 0, batch["part"][0].as_py() if batch.num_rows else 0
-            for doc, raw in zip(batch["doc_id"].to_pylist(), code.encode(batch["body"].to_pylist()), strict=True):
+            for doc, raw in zip(batch["doc_id"].to_pylist(), code.encode(batch["body"]), strict=True):
                 held.append(doc)
                 raws.append(raw + end)
                 size += len(raw)
