@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import re
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -24,12 +25,29 @@ def cached(name: str, store: dict) -> dict:
     return store
 
 
+_owner: list[str] = []
+
+
 def keep_only(name: str) -> None:
-    """Python workers outlive stages: what other operators remember is dropped when one begins."""
-    for other, stores in _caches.items():
-        if other != name:
-            for store in stores:
-                store.clear()
+    """Python workers outlive stages: when another operator begins, what others remember is dropped, and memory that
+    is free goes back to the system."""
+    if _owner != [name]:
+        _owner[:] = [name]
+        for other, stores in _caches.items():
+            if other != name:
+                for store in stores:
+                    store.clear()
+        gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Returns a worker's free memory to the system, which else keeps it for the worker's life."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -49,17 +67,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as a compressed table in the shared folder, and read again: computed once, whoever reads it."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the shared folder."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint()
 
 
-def ascii_lower(text: bytes) -> bytes:
-    """Lower-cases A-Z only."""
-    return text.lower()
-
-
 def sql_ascii_lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -98,9 +118,32 @@ def flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at - at[0]
 
 
-def bodies(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
-    return column.to_pylist()
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct numbers in order, by sorting."""
+    return counted(values)[0]
+
+
+def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in order, and how often each occurs."""
+    ordered = np.sort(values)
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
+    return ordered[first], np.diff(np.r_[first, len(ordered)])
+
+
+def summed(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in order, and the sum of the counts of each."""
+    order = np.argsort(values)
+    ordered = values[order]
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
+    return ordered[first], np.add.reduceat(counts[order], first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+
+
+def to_planes(values: np.ndarray) -> bytes:
+    """Sorted numbers as differences, byte plane by byte plane: the high planes compress to almost nothing."""
+    steps = np.diff(values, prepend=np.uint64(0))
+    return np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def path_join(folder: str, name: str) -> str:
-    return f"{re.sub('/+$', '', folder)}/{name}"
+def from_planes(raw: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    return np.cumsum(steps, dtype=np.uint64)

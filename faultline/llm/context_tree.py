@@ -24,10 +24,11 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, cut, flat
+from .common import bucket_count, counted, distinct, flat, from_planes, keep_only, stored, summed, to_planes
 
 END = 0xFF
 LN2 = float(np.log(2.0))
@@ -104,8 +105,7 @@ class Level:
 def up_a_level(pairs: np.ndarray, counts: np.ndarray, context_bytes: int) -> tuple[np.ndarray, np.ndarray]:
     """(context, byte) pairs with the oldest byte of the context left out."""
     shorter = (pairs >> np.uint64(16)) << np.uint64(8) | (pairs & np.uint64(255))
-    out, at = np.unique(shorter, return_inverse=True)
-    return out, np.bincount(at, weights=counts, minlength=len(out)).astype(np.int64)
+    return summed(shorter, counts)
 
 
 class Subtree:
@@ -214,41 +214,47 @@ END_WORD = b"\n"
 
 
 class Block:
-    """A block's texts: all places to be priced, the distinct strings and the words, and if wanted their counts."""
+    """A block's texts: all places to be priced, the distinct strings, and the distinct words in order."""
 
-    def __init__(self, table: pa.Table, depth: int, buckets: int, count: bool = True) -> None:
+    def __init__(self, table: pa.Table, depth: int, buckets: int) -> None:
+        keep_only("context tree")
         self.learn = np.array(table["learn"].to_pylist(), bool)
-        self.texts = [t.lower() for t in table["body"].to_pylist()]
+        texts = [t.lower() for t in table["body"].to_pylist()]
         pad = bytes([END]) * depth
-        data = np.frombuffer(pad + b"".join(t + pad for t in self.texts), np.uint8)
-        self.sizes = np.fromiter(map(len, self.texts), np.int64, len(self.texts)) + 1
+        data = np.frombuffer(pad + b"".join(t + pad for t in texts), np.uint8)
+        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         begins = np.cumsum(self.sizes + depth - 1) - (self.sizes + depth - 1)
         places = np.arange(self.sizes.sum()) + np.repeat(begins - (np.cumsum(self.sizes) - self.sizes), self.sizes)
         self.places = strings(data, depth)[places]
-        self.split = [t.split() for t in self.texts]
-        self.words: Counter[bytes] = Counter()
-        if count:
-            learned = np.repeat(self.learn, self.sizes)
-            seen, n = np.unique(self.places[learned], return_counts=True)
-            self.keys = np.union1d(seen, np.unique(self.places[~learned])) if not learned.all() else seen
-            self.counts = np.zeros(len(self.keys), np.int64)
-            self.counts[np.searchsorted(self.keys, seen)] = n
-            for learn, some in zip(self.learn, self.split, strict=True):
-                if learn:
-                    self.words.update(some)
-                    self.words[END_WORD] += 1
-        else:
-            self.keys = np.unique(self.places)
-        names = {END_WORD}.union(*self.split)
+        self.keys = distinct(self.places)
         of = self.keys >> np.uint64(8 * max(1, depth - 3))
         of = (of * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-        self.key_bucket = (of % np.uint64(buckets)).astype(np.int64)
-        self.word_bucket: dict[int, list[bytes]] = {}
-        for word in sorted(names):
-            self.word_bucket.setdefault(crc32(word) % buckets, []).append(word)
-        order = np.argsort(self.key_bucket, kind="stable")
-        edges = np.searchsorted(self.key_bucket[order], np.arange(buckets + 1))
+        of = (of % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(of, kind="stable")
+        edges = np.searchsorted(of[order], np.arange(buckets + 1))
         self.key_places = {b: order[edges[b] : edges[b + 1]] for b in range(buckets) if edges[b] < edges[b + 1]}
+        # Words: the distinct ones in order, and each text's words as numbers of these.
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        ranked = pc.array_sort_indices(coded.dictionary)
+        rank = np.empty(len(ranked), np.int64)
+        rank[np.asarray(ranked)] = np.arange(len(ranked))
+        self.names = coded.dictionary.take(ranked).view(pa.large_binary()).to_pylist()
+        owner = np.repeat(np.arange(len(texts)), np.diff(np.asarray(lists.offsets)))
+        number = rank[np.asarray(coded.indices)]
+        if self.names and not self.names[0]:  # white space at a text's edge leaves an empty word
+            owner, number, self.names = owner[number > 0], number[number > 0] - 1, self.names[1:]
+        self.owner, self.number = owner, number
+        self.word_bucket: dict[int, list[int]] = {}
+        for k, word in enumerate([*self.names, END_WORD]):
+            self.word_bucket.setdefault(crc32(word) % buckets, []).append(k)
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """How often the texts to learn from have each of the keys, and each of the words (and ends, the last)."""
+        seen, n = counted(self.places[np.repeat(self.learn, self.sizes)])
+        keys = np.zeros(len(self.keys), np.int64)
+        keys[np.searchsorted(self.keys, seen)] = n
+        return keys, np.r_[np.bincount(self.number[self.learn[self.owner]], minlength=len(self.names)), self.learn.sum()]
 
 
 def _join(words: list[bytes]) -> bytes:
@@ -262,10 +268,11 @@ def _split(joined: bytes | None) -> list[bytes]:
 def _lists(depth: int, buckets: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         block = Block(table, depth, buckets)
-        rows = []
+        counts, word_counts = block.counts()
+        names, rows = [*block.names, END_WORD], []
         for b in sorted({*block.key_places, *block.word_bucket}):
             at, words = block.key_places.get(b, np.zeros(0, np.int64)), block.word_bucket.get(b, [])
-            rows.append((b, key[0].as_py(), block.keys[at].tobytes(), block.counts[at].astype("<u4").tobytes(), _join(words), np.array([block.words[w] for w in words], "<u4").tobytes()))
+            rows.append((b, key[0].as_py(), to_planes(block.keys[at]), counts[at].astype("<u4").tobytes(), _join([names[k] for k in words]), word_counts[words].astype("<u4").tobytes()))
         kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 4
         names = ["bucket", "block", "keys", "counts", "words", "word_counts"]
         return pa.table({n: pa.array([r[k] for r in rows], kinds[k]) for k, n in enumerate(names)})
@@ -275,9 +282,9 @@ def _lists(depth: int, buckets: int):
 
 def _distinct(depth: int, groups: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        keys, counts = flat(table["keys"])[0].view("<u8"), flat(table["counts"])[0].view("<u4")
-        values, at = np.unique(keys, return_inverse=True)
-        sums = np.bincount(at, weights=counts, minlength=len(values)).astype(np.int64)
+        keep_only("context tree")
+        keys = np.concatenate([from_planes(x) for x in table["keys"].to_pylist()])
+        values, sums = summed(keys, flat(table["counts"])[0].view("<u4"))
         words: Counter[bytes] = Counter()
         for joined, n in zip(table["words"].to_pylist(), table["word_counts"].to_pylist(), strict=True):
             for word, k in zip(_split(joined), np.frombuffer(n, "<u4").tolist(), strict=True):
@@ -293,7 +300,7 @@ def _distinct(depth: int, groups: int):
         for g in range(groups):
             some = order[edges[g] : edges[g + 1]]
             if len(some):
-                rows.append((g, bucket, values[some].tobytes(), sums[some].astype("<i8").tobytes(), b"", b"", 0, 0))
+                rows.append((g, bucket, to_planes(values[some]), sums[some].astype("<i8").tobytes(), b"", b"", 0, 0))
         kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 4 + [pa.int64()] * 2
         names = ["ctx", "bucket", "keys", "counts", "words", "word_counts", "n", "v"]
         return pa.table({n: pa.array([r[k] for r in rows], kinds[k]) for k, n in enumerate(names)})
@@ -302,9 +309,10 @@ def _distinct(depth: int, groups: int):
 
 
 def _subtree(table: pa.Table, depth: int) -> tuple[Subtree, np.ndarray, np.ndarray]:
-    """The subtree of a group; its keys in sorted order, and where each came from."""
-    keys, counts = flat(table["keys"])[0].view("<u8"), flat(table["counts"])[0].view("<i8")
-    order = np.argsort(keys, kind="stable")
+    """The subtree of a group; its keys, which are distinct, and their order."""
+    keep_only("context tree")
+    keys, counts = np.concatenate([from_planes(x) for x in table["keys"].to_pylist()]), flat(table["counts"])[0].view("<i8")
+    order = np.argsort(keys)
     return Subtree(keys[order], counts[order], depth, 2), keys, order
 
 
@@ -333,14 +341,16 @@ def _priced(depth: int, upper: Upper):
         prices = np.empty(len(keys))
         prices[order] = tree.prices(upper)
         edges = flat(table["keys"])[1] // 8
-        parts = [(b, keys[x:y].tobytes(), prices[x:y].astype("<f8").tobytes(), b"", b"") for b, x, y in zip(table["bucket"].to_pylist(), edges, edges[1:], strict=False)]
+        parts = [(b, to_planes(keys[x:y]), prices[x:y].astype("<f8").tobytes(), b"", b"") for b, x, y in zip(table["bucket"].to_pylist(), edges, edges[1:], strict=False)]
         return pa.table({n: pa.array([p[k] for p in parts], kind) for k, (n, kind) in enumerate(kinds.items())})
 
     return run
 
 
 def _reply(key: tuple[pa.Scalar, ...], lists: pa.Table, priced: pa.Table) -> pa.Table:
-    keys, prices = flat(priced["keys"])[0].view("<u8"), flat(priced["prices"])[0].view("<f8")
+    keep_only("context tree")
+    keys = np.concatenate([from_planes(x) for x in priced["keys"].to_pylist()] or [np.zeros(0, np.uint64)])
+    prices = flat(priced["prices"])[0].view("<f8")
     order = np.argsort(keys)
     keys, prices = keys[order], prices[order]
     counts: dict[bytes, int] = {}
@@ -348,34 +358,25 @@ def _reply(key: tuple[pa.Scalar, ...], lists: pa.Table, priced: pa.Table) -> pa.
         counts.update(zip(_split(joined), np.frombuffer(n, "<i8").tolist(), strict=True))
     out = {"block": lists["block"], "bucket": lists["bucket"], "prices": [], "word_counts": []}
     for some, words in zip(lists["keys"].to_pylist(), lists["words"].to_pylist(), strict=True):
-        out["prices"].append(prices[np.searchsorted(keys, np.frombuffer(some, "<u8"))].astype("<f4").tobytes())
+        out["prices"].append(prices[np.searchsorted(keys, from_planes(some))].tobytes())
         out["word_counts"].append(np.array([counts[w] for w in _split(words)], "<i8").tobytes())
     return pa.table({"block": out["block"], "bucket": out["bucket"], "prices": pa.array(out["prices"], pa.binary()), "word_counts": pa.array(out["word_counts"], pa.binary())})
 
 
 def _scored(depth: int, buckets: int):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, replies: pa.Table) -> pa.Table:
-        block = Block(docs, depth, buckets, count=False)
-        prices = np.zeros(len(block.keys))
-        counts: dict[bytes, int] = {}
+        block = Block(docs, depth, buckets)
+        prices, learned = np.zeros(len(block.keys)), np.zeros(len(block.names) + 1, np.int64)
         for b, p, n in zip(replies["bucket"].to_pylist(), replies["prices"].to_pylist(), replies["word_counts"].to_pylist(), strict=True):
             if b in block.key_places:
-                prices[block.key_places[b]] = np.frombuffer(p, "<f4")
-            counts.update(zip(block.word_bucket.get(b, []), np.frombuffer(n, "<i8").tolist(), strict=True))
+                prices[block.key_places[b]] = np.frombuffer(p, "<f8")
+            learned[block.word_bucket.get(b, [])] = np.frombuffer(n, "<i8")
         each = prices[positions(block.keys, block.places)]
         score = np.add.reduceat(each, np.cumsum(block.sizes) - block.sizes) if len(block.sizes) else np.zeros(0)
-        number = {w: k for k, w in enumerate(counts)}
-        learned = np.fromiter(counts.values(), np.int64, len(counts))
-        n_words = np.fromiter(map(len, block.split), np.int64, len(block.split))
-        words = np.fromiter((number[w] for some in block.split for w in some), np.int64, int(n_words.sum()))
-        edges = np.r_[0, np.cumsum(n_words)]
-        logs = np.log10(learned + 0.5)
-        running = np.r_[0, np.cumsum(learned[words] > 0)]
-        end = number[END_WORD]
-        n_tokens = n_words + 1
-        n_known = np.diff(running[edges]) + (learned[end] > 0)
-        owner = np.repeat(np.arange(len(n_words)), n_words)
-        log_counts = np.bincount(owner, weights=logs[words], minlength=len(n_words)) + logs[end]
+        texts, logs = len(block.sizes), np.log10(learned + 0.5)
+        n_tokens = np.bincount(block.owner, minlength=texts) + 1
+        n_known = np.bincount(block.owner, weights=learned[block.number] > 0, minlength=texts).astype(np.int64) + (learned[-1] > 0)
+        log_counts = np.bincount(block.owner, weights=logs[block.number], minlength=texts) + logs[-1]
         return pa.table(
             {
                 "doc_id": docs["doc_id"],
@@ -413,16 +414,16 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
         F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary").alias("body"),
         (F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % folds != held_fold).alias("learn"),
     )
-    lists = rows.groupBy("block").applyInArrow(_lists(depth, buckets), LISTS)
-    distinct = cut(lists.groupBy("bucket").applyInArrow(_distinct(depth, buckets), DISTINCT))
-    totals = distinct.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    lists = stored(rows.groupBy("block").applyInArrow(_lists(depth, buckets), LISTS), "context-lists")
+    whole = stored(lists.groupBy("bucket").applyInArrow(_distinct(depth, buckets), DISTINCT), "context-strings")
+    totals = whole.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = totals["n"] or 0, totals["v"] or 0
-    tops = distinct.filter("ctx >= 0").groupBy("ctx").applyInArrow(_tops(depth), "slot long, zeros long, ones long, product double")
+    tops = whole.filter("ctx >= 0").groupBy("ctx").applyInArrow(_tops(depth), "slot long, zeros long, ones long, product double")
     zeros, ones, product = np.zeros(65536, np.int64), np.zeros(65536, np.int64), np.zeros(65536)
     for r in tops.groupBy("slot").agg(F.sum("zeros"), F.sum("ones"), F.sum("product")).collect():  # 65,280 rows at most
         zeros[r[0]], ones[r[0]], product[r[0]] = r[1], r[2], r[3]
     upper = Upper(zeros.reshape(256, 256), ones.reshape(256, 256), product.reshape(256, 256))
-    priced = distinct.groupBy("ctx").applyInArrow(_priced(depth, upper), PRICED)
+    priced = whole.groupBy("ctx").applyInArrow(_priced(depth, upper), PRICED)
     replies = lists.groupBy("bucket").cogroup(priced.groupBy("bucket")).applyInArrow(_reply, REPLIES)
     scored = rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_scored(depth, buckets), SCORES)
     norm = float(np.log10(n + 0.5 * (v + 1)))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocked, bucket_count, cached, cut, keep_only
+from .common import blocked, bucket_count, cached, counted, cut, distinct, from_planes, keep_only, to_planes
 
 LISTS = "bucket int, block int, planes binary, counts binary"
 CLASSES = "block int, bucket int, classes binary"
@@ -68,7 +68,7 @@ class Shingler:
                     h = codes
                 h = h ^ (h >> np.uint64(31))
                 h = h * np.uint64(0xBF58476D1CE4E5B9)
-                out.append(np.unique(h ^ (h >> np.uint64(29))))
+                out.append(distinct(h ^ (h >> np.uint64(29))))
         return out
 
 
@@ -84,23 +84,12 @@ def _dealt(sets: list[np.ndarray], buckets: int):
     """A block's distinct shingles in order, in how many of its sets they are, and the edges of the buckets, which
     are ranges of shingle numbers."""
     whole = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    values, n = np.unique(whole, return_counts=True)
+    values, n = counted(whole)
     step = np.uint64((1 << 64) // buckets)
     edges = np.searchsorted(values, np.arange(1, buckets, dtype=np.uint64) * step)
     return values, n, np.r_[0, edges, len(values)]
 
 
-def to_planes(values: np.ndarray) -> bytes:
-    """Sorted numbers as differences, byte plane by byte plane: the high planes compress to almost nothing."""
-    steps = np.diff(values, prepend=np.uint64(0))
-    return np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def from_planes(raw: bytes) -> np.ndarray:
-    steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
-    return np.cumsum(steps, dtype=np.uint64)
-
-
 def _lists(words: int, buckets: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         values, n, edges = _dealt(shingler(words).sets(table["body"].to_pylist()), buckets)
