@@ -138,6 +138,13 @@ def summed(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ordered[first], np.add.reduceat(counts[order], first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
 
 
+def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values are among the ordered ones."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 def to_planes(values: np.ndarray) -> bytes:
     """Sorted numbers as differences, byte plane by byte plane: the high planes compress to almost nothing."""
     steps = np.diff(values, prepend=np.uint64(0))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocked, bucket_count, flat, keep_only
+from .common import among, blocked, bucket_count, counted, distinct, flat, keep_only
 
 GRAM = 40
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -70,35 +70,67 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - (width - have)], out[width - have :]) if width > have else out
 
 
-def slots(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """For each slot: row, first window's start, number of windows (both in the whole data), anchor hash."""
-    gram = max(1, min(GRAM, length // 2))
-    width = length - gram + 1
-    rows, firsts, counts, keys = [], [], [], []
+def _pieces(offsets: np.ndarray, length: int):
+    """(first row, last row, begin, end): whole rows of about CHUNK bytes together, or a part of a long row, whose
+    windows overlap no other part's."""
     row, n = 0, len(offsets) - 1
     while row < n:
         last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, "right")) - 1)
         lo, hi = int(offsets[row]), int(offsets[last])
-        part, at = data[lo:hi], offsets[row : last + 1] - lo
+        if hi - lo <= 2 * CHUNK:
+            yield row, last, lo, hi
+        else:  # one long row
+            for at in range(lo, max(lo + 1, hi - length + 1), CHUNK):
+                yield row, last, at, min(hi, at + CHUNK + length - 1)
+        row = last
+
+
+def slots(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """For each slot: row, first window's start, number of windows (both in the whole data), anchor hash; and the rows,
+    starts and numbers of windows of slots that are left out.
+
+    Left out is a slot equal to the one that ends where it begins (text with a short period): all of its strings
+    start earlier in the same row, too. So a text of one letter is a few slots.
+    """
+    gram = max(1, min(GRAM, length // 2))
+    width = length - gram + 1
+    found: list[tuple[np.ndarray, ...]] = []
+    gone: list[tuple[np.ndarray, ...]] = []
+    for row, last, lo, hi in _pieces(offsets, length):
+        part = data[lo:hi]
+        at = np.minimum(offsets[row : last + 1], hi) - lo
+        at[0] = 0
         sizes = np.diff(at)
         windows = np.maximum(0, sizes - length + 1)
-        if windows.sum():
-            hashes = gram_hashes(part, gram)
-            tagged = (hashes & ~np.uint64((1 << PLACE_BITS) - 1)) | np.arange(len(hashes), dtype=np.uint64)
-            anchor = (sliding_min(tagged, width) & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
-            owner = np.repeat(np.arange(len(sizes)), windows)
-            before = np.cumsum(windows) - windows
-            start = np.arange(windows.sum()) - before[owner] + at[owner]
-            of = anchor[start]
-            fresh = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (owner[1:] != owner[:-1])])
-            rows.append(owner[fresh] + row)
-            firsts.append(start[fresh] + lo)
-            counts.append(np.diff(np.r_[fresh, len(of)]))
-            keys.append(hashes[of[fresh]])
-        row = last
-    if not rows:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    return np.concatenate(rows), np.concatenate(firsts), np.concatenate(counts), np.concatenate(keys)
+        if not windows.sum():
+            continue
+        hashes = gram_hashes(part, gram)
+        tagged = (hashes & ~np.uint64((1 << PLACE_BITS) - 1)) | np.arange(len(hashes), dtype=np.uint64)
+        anchor = (sliding_min(tagged, width) & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+        owner = np.repeat(np.arange(len(sizes)), windows)
+        before = np.cumsum(windows) - windows
+        start = np.arange(windows.sum()) - before[owner] + at[owner]
+        of = anchor[start]
+        fresh = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (owner[1:] != owner[:-1])])
+        rows, firsts, counts, keys = owner[fresh], start[fresh], np.diff(np.r_[fresh, len(of)]), hashes[of[fresh]]
+        again = _periodic(part, rows, firsts, counts, keys, length)
+        found.append((rows[~again] + row, firsts[~again] + lo, counts[~again], keys[~again]))
+        gone.append((rows[again] + row, firsts[again] + lo, counts[again]))
+    if not found:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) + tuple(np.concatenate(x) for x in zip(*gone, strict=True))
+
+
+def _periodic(data: np.ndarray, rows: np.ndarray, firsts: np.ndarray, counts: np.ndarray, keys: np.ndarray, length: int) -> np.ndarray:
+    """Which slots are equal, byte by byte, to the slot before, which ends where they begin."""
+    out = np.zeros(len(rows), bool)
+    maybe = 1 + np.flatnonzero((rows[1:] == rows[:-1]) & (keys[1:] == keys[:-1]) & (counts[1:] == counts[:-1]) & (firsts[1:] == firsts[:-1] + counts[:-1]))
+    for period in distinct(counts[maybe]).tolist():
+        some = maybe[counts[maybe] == period]
+        differs = np.r_[0, np.cumsum(data[:-period] != data[period:])]
+        begin = firsts[some] - period
+        out[some] = differs[begin + period + length - 1] == differs[begin]
+    return out
 
 
 def in_order(table: pa.Table) -> pa.Table:
@@ -107,21 +139,35 @@ def in_order(table: pa.Table) -> pa.Table:
 
 
 def row_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row: its id (missing: the least), and its number among the block's rows of that id."""
-    ids = table["doc_id"].to_numpy(zero_copy_only=False)
+    """Of each row: its id (missing: the least), and its place among rows of that id.
+
+    Rows that share an id share a block, so their number there is their place. Rows without an id share a block only
+    if their texts are equal: their place is a hash of the text, and the number among rows of that hash.
+    """
     missing = np.asarray(table["doc_id"].is_null())
-    ids = np.where(missing, np.iinfo(np.int64).min, np.nan_to_num(ids.astype(np.float64)).astype(np.int64) if missing.any() else ids).astype(np.int64)
+    ids = np.array([np.iinfo(np.int64).min if v is None else v for v in table["doc_id"].to_pylist()], np.int64) if missing.any() else table["doc_id"].to_numpy().astype(np.int64)
+    rank = _number(ids)
     if missing.any():
-        ids = np.array([np.iinfo(np.int64).min if v is None else v for v in table["doc_id"].to_pylist()], np.int64)
-    order = np.argsort(ids, kind="stable")
-    rank = np.empty(len(ids), np.int64)
-    ranked = ids[order]
-    fresh = np.r_[True, ranked[1:] != ranked[:-1]] if len(ids) else np.zeros(0, bool)
-    heads = np.maximum.accumulate(np.where(fresh, np.arange(len(ids)), 0)) if len(ids) else np.zeros(0, np.int64)
-    rank[order] = np.arange(len(ids)) - heads
+        names = np.array([text_order(t) for t in table["body"].filter(table["doc_id"].is_null()).to_pylist()], np.int64)
+        rank[missing] = names + np.minimum(_number(names), (1 << 24) - 1)
     return ids, rank
 
 
+def text_order(text: bytes) -> int:
+    """What orders rows without an id: 39 bits of a hash, with room for 24 more."""
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little") >> 25 << 24
+
+
+def _number(values: np.ndarray) -> np.ndarray:
+    """Each value's number among equal ones."""
+    order = np.argsort(values, kind="stable")
+    ranked = values[order]
+    fresh = np.r_[True, ranked[1:] != ranked[:-1]] if len(values) else np.zeros(0, bool)
+    out = np.empty(len(values), np.int64)
+    out[order] = np.arange(len(values)) - (np.maximum.accumulate(np.where(fresh, np.arange(len(values)), 0)) if len(values) else 0)
+    return out
+
+
 def _cut(keys: np.ndarray, buckets: int):
     """(bucket, positions of its keys) for each bucket that has any."""
     if not len(keys):
@@ -246,7 +292,7 @@ def _keys(length: int, buckets: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         keep_only("suffixes")
         data, offsets = flat(table["body"])
-        hashes, n = np.unique(slots(data, offsets, length)[3], return_counts=True)
+        hashes, n = counted(slots(data, offsets, length)[3])
         out = {"bucket": [], "block": [], "hashes": [], "twice": []}
         for bucket, at in _cut(hashes, buckets):
             out["bucket"].append(bucket)
@@ -262,9 +308,9 @@ def _found(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Of each block: those of its anchor hashes that occur again, there or elsewhere."""
     data, offsets = flat(table["hashes"])
     whole = data.view("<u8")
-    values, n = np.unique(whole, return_counts=True)
-    again = np.union1d(values[n > 1], flat(table["twice"])[0].view("<u8"))
-    hit = np.isin(whole, again)
+    keep_only("suffixes")
+    values, n = counted(whole)
+    hit = among(whole, distinct(np.concatenate([values[n > 1], flat(table["twice"])[0].view("<u8")])))
     edges = offsets // 8
     return pa.table({"block": table["block"], "hashes": pa.array([whole[a:b][hit[a:b]].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary())})
 
@@ -273,10 +319,15 @@ def _runs(length: int, buckets: int):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, found: pa.Table) -> pa.Table:
         out = {n: [] for n in ("bucket", "block", "lengths", "rest", "facts", "done")}
         schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("lengths", pa.binary()), ("rest", pa.binary()), ("facts", pa.binary()), ("done", pa.binary())])
+        keep_only("suffixes")
         docs = in_order(docs)
         data, offsets = flat(docs["body"])
-        row, first, count, hashes = slots(data, offsets, length)
-        wanted = np.isin(hashes, flat(found["hashes"])[0].view("<u8")) if found.num_rows else np.zeros(len(hashes), bool)
+        row, first, count, hashes, gone_row, gone_first, gone_count = slots(data, offsets, length)
+        if len(gone_row):
+            begin = gone_first - offsets[gone_row]
+            for name, value in zip(out, (0, key[0].as_py(), b"", b"", b"", spans_of(gone_row, begin, begin + gone_count + length - 1)), strict=True):
+                out[name].append(value)
+        wanted = among(hashes, np.sort(flat(found["hashes"])[0].view("<u8"))) if found.num_rows else np.zeros(len(hashes), bool)
         row, first, count, hashes = row[wanted], first[wanted], count[wanted], hashes[wanted]
         ids, rank = row_keys(docs)
         for bucket, at in _cut(hashes, buckets):
@@ -286,9 +337,8 @@ def _runs(length: int, buckets: int):
             facts["start"] = facts["at"] = first[at] - offsets[row[at]]
             sizes = count[at] + length - 1
             wide = int(sizes.max())
-            place = np.arange(wide)
-            matrix = data[np.minimum(first[at][:, None] + place, len(data) - 1)]
-            matrix[place >= sizes[:, None]] = 0
+            matrix = np.lib.stride_tricks.sliding_window_view(np.r_[data, np.zeros(wide, np.uint8)], wide)[first[at]]
+            matrix[np.arange(wide) >= sizes[:, None]] = 0
             order = np.lexsort((facts["start"], facts["rank"], facts["id"], sizes, matrix.view(f"S{wide}").ravel() if wide else sizes))
             matrix, sizes, facts = matrix[order], sizes[order], facts[order]
             new = np.r_[True, (matrix[1:] != matrix[:-1]).any(1) | (sizes[1:] != sizes[:-1])]
@@ -307,11 +357,14 @@ def spans_of(row, start, end) -> bytes:
 
 def _merged(length: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        keep_only("suffixes")
         blocks = table["block"].to_pylist()
         facts = [np.frombuffer(x, FACTS) for x in table["facts"].to_pylist()]
         lists = [x.tolist() for x in facts]
         taken = [0] * len(lists)
-        spans: dict[int, list] = {b: [x] if x else [] for b, x in zip(blocks, table["done"].to_pylist(), strict=True)}
+        spans: dict[int, list] = {b: [] for b in blocks}
+        for b, x in zip(blocks, table["done"].to_pylist(), strict=True):
+            spans[b] += [x] if x else []
         later: dict[int, list] = {b: [] for b in spans}
         classes: dict[int, list] = {}
         members: list = []
@@ -365,6 +418,7 @@ def _merged(length: int):
 
 def _apply(carry: bool):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, found: pa.Table) -> pa.Table:
+        keep_only("suffixes")
         docs = in_order(docs)
         data, offsets = flat(docs["body"])
         edges = np.zeros(len(data) + 1, np.int32)
@@ -401,8 +455,8 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """Removes every byte that lies in a `length` bytes long string which also starts earlier in the corpus.
 
     Texts count as UTF-8 bytes; earlier means a smaller id, or the same row and an earlier start; matches may
-    overlap and never cross rows; all strings are judged on the input. Rows that share an id are ordered by text;
-    missing ids come before all others. Null and empty texts have no bytes and lose none. An empty table gives an
+    overlap and never cross rows; all strings are judged on the input. Rows that share an id are ordered by text, rows
+    without an id come before all others and are ordered by a hash of their text (text_order), equal rows in any way. Null and empty texts have no bytes and lose none. An empty table gives an
     empty one; further columns are ignored.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (the remaining bytes), a row for
@@ -443,6 +497,3 @@ def brute_force(texts: list[bytes], length: int) -> list[tuple[int, int, bytes]]
         out.append((sum(gone), spans, bytes(c for c, g in zip(text, gone, strict=True) if not g)))
     return out
 
-
-def sha(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

@@ -36,16 +36,30 @@ def corpus():
 
 
 def test_suffix_dedup(spark, corpus):
-    rows = sorted(corpus, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
-    for length, block in ((100, 8 << 20), (24, 700)):
-        got = suffix_dedup.remove_repeats(table(spark, corpus), length=length, block_bytes=block, carry=["lang", "block"]).collect()
-        if block > 1 << 20:  # rows without an id share one block
-            want = suffix_dedup.brute_force([(t or "").encode() for _, t in rows], length)
-            assert sorted((r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == sorted(want)
+    shared = prose(77, 40)
+    lone = [(None, f"{prose(80 + k, 20)} {shared} {prose(90 + k, 15)}") for k in range(6)]
+    odd = [(40, "ab" * 300), (41, "xyz" * 90 + prose(3, 30) + "xyz" * 90), (42, "a" * 700), (43, None), (44, prose(9, 3000))]
+    rows = [*corpus, *lone, *odd]
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, suffix_dedup.text_order((r[1] or "").encode()) if r[0] is None else 0, (r[1] or "").encode()))
+    for length, block in ((100, 8 << 20), (100, 3000), (24, 700)):
+        got = suffix_dedup.remove_repeats(table(spark, rows), length=length, block_bytes=block, carry=["lang", "block"]).collect()
+        want = suffix_dedup.brute_force([(t or "").encode() for _, t in ordered], length)
+        assert sorted((str(r.doc_id), r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == sorted((str(i), *w) for (i, _), w in zip(ordered, want, strict=True))
         assert {r.carried.block for r in got} == {"clash"}
     assert suffix_dedup.remove_repeats(table(spark, [])).count() == 0
 
 
+def test_suffix_slots_of_degenerate_text():
+    """A text of one letter, and parts of a long text: few slots, all windows covered once."""
+    for text in (b"a" * 4_000_000, b"abcab" * 200_000, prose(5, 60_000).encode()):
+        data = np.frombuffer(text, np.uint8)
+        row, first, count, _, gone_row, gone_first, gone_count = suffix_dedup.slots(data, np.array([0, len(data)]), 100)
+        whole = np.concatenate([np.stack([first, count], 1), np.stack([gone_first, gone_count], 1)])
+        whole = whole[np.argsort(whole[:, 0])]
+        assert whole[0, 0] == 0 and (whole[1:, 0] == whole[:-1, 0] + whole[:-1, 1]).all() and whole[-1].sum() == len(data) - 99
+        assert len(first) < len(data) / (3 if b" " in text else 10_000)
+
+
 def test_loser_tree_sorts_and_knows_prefixes():
     rng = random.Random(0)
     words = sorted("".join(rng.choice("ab") for _ in range(rng.randint(0, 12))).encode() for _ in range(300))
