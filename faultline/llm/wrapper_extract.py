@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html
 import json
+import math
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -26,8 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import keep_only, stored
+
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
-SKIPPED = frozenset("script style noscript template iframe object svg math canvas audio video select textarea button title head".split())
+SKIPPED = frozenset("script style noscript template iframe object svg canvas audio video select textarea button title head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ASIDE_TAGS = frozenset("nav footer aside form menu dialog search fieldset".split())
 ASIDE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related reply replies share sharing sidebar sidebars social sponsor sponsored subscribe toolbar widget".split())
@@ -35,29 +38,37 @@ ASIDE_ROLES = frozenset("navigation complementary contentinfo banner search form
 #: A start tag of the key closes an open one of its values (the nearest, within a container).
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 CONTAINERS = frozenset("ul ol menu dl table".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A tag ends at the first > outside of quoted values. Nothing is matched twice: only a page's last quote can lack its
+#: partner, and it is then a character like others.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 #: A text is template where at least this share of a node's pages has it, and the node has this many pages.
 CONSTANT, LEAST_PAGES = 0.9, 8
-#: Counters of a node's heavy-hitters summary, which undercounts by its slack at most.
-COUNTERS = 128
+#: Counters of a node's heavy-hitters summary: at least so many, and so many for each text that a page has there on
+#: average. A text undercounts by less than a sixteenth of the pages then, so none that nearly all pages have is lost.
+COUNTERS, PER_TEXT = 128, 16
+#: Elements nested deeper than this are no nodes of their own: their texts are blocks of the node at that depth.
+DEEPEST = 150
+#: How many open elements an end tag looks through for its start.
+FARTHEST = 2000
 
 
 class Node:
     """A block element: its label, whether its label sets it aside, and texts and nodes in page order."""
 
-    __slots__ = ("aside", "items", "label", "tag")
+    __slots__ = ("aside", "items", "label", "slot")
 
-    def __init__(self, tag: str, label: str, aside: bool) -> None:
-        self.tag, self.label, self.aside = tag, label, aside
+    def __init__(self, label: str, aside: bool) -> None:
+        self.label, self.aside = label, aside
         self.items: list[str | Node] = []
+        self.slot: Slot | None = None
 
 
 def _element(tag: str, attributes: str) -> Node:
     if not attributes.strip():
-        return Node(tag, tag, tag in ASIDE_TAGS)
+        return Node(tag, tag in ASIDE_TAGS)
     names: list[str] = []
     aside = tag in ASIDE_TAGS
     for name, a, b, c in _ATTR.findall(attributes):
@@ -71,26 +82,24 @@ def _element(tag: str, attributes: str) -> Node:
             aside = aside or value in ASIDE_ROLES
         elif name == "hidden":
             aside = True
-    return Node(tag, " ".join([tag, *names]), aside and tag not in ("html", "body", "article", "main"))
+    return Node(" ".join([tag, *names]), aside and tag not in ("html", "body", "article", "main"))
 
 
 def parse(page: str) -> Node:
-    """A tolerant parse: never fails, whatever is left open or closed twice."""
-    root = Node("html", "html", False)
-    stack = [root]
+    """A tolerant parse in linear time: never fails, whatever is left open, closed twice or nested deeply."""
+    root = Node("html", False)
+    stack: list[tuple[str, Node]] = [("html", root)]
     text: list[str] = []
-    at, skip_until = 0, None
+    at, skip_until, has_body = 0, None, False
 
     def flush() -> None:
         if text:
             words = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if words:
-                stack[-1].items.append(words)
+                stack[-1][1].items.append(words)
 
-    for token in _TOKEN.finditer(page):
-        if token.start() < at:
-            continue
+    while token := _TOKEN.search(page, at):
         if skip_until is None and token.start() > at:
             text.append(page[at : token.start()])
         at = token.end()
@@ -108,7 +117,7 @@ def parse(page: str) -> Node:
         if tag in SKIPPED:
             if not closing and not token[3].endswith("/"):
                 if tag in ("script", "style", "title", "textarea"):
-                    end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                    end = _END[tag].search(page, at)
                     at = end.end() if end else len(page)
                 else:
                     skip_until = tag
@@ -120,60 +129,62 @@ def parse(page: str) -> Node:
         elif tag in BLOCK:
             flush()
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        break
+                _close(stack, frozenset((tag,)), frozenset())
                 continue
-            if tag in ("html", "body") and any(n.tag == tag for n in stack):
+            if tag == "html" or (tag == "body" and has_body):
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("td", "th", "li", "div", "article", "section", "body"):
-                    break
+            has_body = has_body or tag == "body"
+            _close(stack, _P, _KEEPS_P)
             if tag in CLOSES:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in CONTAINERS:
-                        break
-                    if stack[k].tag in CLOSES[tag]:
-                        del stack[k:]
-                        break
-            node = _element(tag, token[3])
-            stack[-1].items.append(node)
-            stack.append(node)
+                _close(stack, CLOSES[tag], CONTAINERS)
+            above, node = stack[-1][1], _element(tag, token[3])
+            if len(stack) <= DEEPEST or (node.aside and not above.aside):
+                above.items.append(node)
+            else:
+                node = above
+            stack.append((tag, node))
     if skip_until is None and at < len(page):
         text.append(page[at:])
     flush()
     return root
 
 
+_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in ("script", "style", "title", "textarea")}
+_P, _KEEPS_P = frozenset(("p",)), frozenset("td th li div article section body".split())
+
+
+def _close(stack: list[tuple[str, Node]], tags: frozenset[str] | set[str], within: frozenset[str]) -> None:
+    """Closes the nearest open element of one of the tags, and what it holds, unless one of `within` is nearer."""
+    for k in range(len(stack) - 1, max(0, len(stack) - FARTHEST), -1):
+        if stack[k][0] in tags:
+            del stack[k:]
+            return
+        if stack[k][0] in within:
+            return
+
+
 # --- wrappers -----------------------------------------------------------------------------------------------------
 
 
 class Slot:
-    """A wrapper node: pages that have it, characters of own text, recurring texts (counts, each at most slack too
-    low), children in order."""
+    """A wrapper node: pages that have it, how many texts of its own they have there, recurring texts (counts, each at
+    most slack too low), children in order."""
 
-    __slots__ = ("aside", "chars", "kids", "label", "pages", "slack", "texts")
+    __slots__ = ("aside", "kids", "label", "pages", "slack", "texts", "total")
 
     def __init__(self, label: str, aside: bool) -> None:
         self.label, self.aside = label, aside
-        self.pages, self.chars, self.slack = 0, 0, 0
+        self.pages, self.total, self.slack = 0, 0, 0
         self.texts: dict[str, int] = {}
         self.kids: list[Slot] = []
 
-    def size(self) -> int:
-        return 1 + sum(k.size() for k in self.kids)
-
     def pack(self) -> list:
-        return [self.label, self.aside, self.pages, self.chars, self.texts, self.slack, [k.pack() for k in self.kids]]
+        return [self.label, self.aside, self.pages, self.total, self.texts, self.slack, [k.pack() for k in self.kids]]
 
     @staticmethod
     def unpack(row: list) -> Slot:
         out = Slot(row[0], row[1])
-        out.pages, out.chars, out.texts, out.slack = row[2], row[3], dict(row[4]), row[5]
+        out.pages, out.total, out.texts, out.slack = row[2], row[3], dict(row[4]), row[5]
         out.kids = [Slot.unpack(k) for k in row[6]]
         return out
 
@@ -183,11 +194,13 @@ def text_key(text: str) -> str:
 
 
 def skeleton(node: Node) -> Slot:
-    """A page's tree as a wrapper of one page: equal leaf siblings in a row are one slot."""
-    out = Slot(node.label, node.aside)
+    """A page's tree as a wrapper of one page: equal leaf siblings in a row are one slot. Made once for each node."""
+    if node.slot is not None:
+        return node.slot
+    out = node.slot = Slot(node.label, node.aside)
     out.pages = 1
     texts = [x for x in node.items if isinstance(x, str)]
-    out.chars = sum(map(len, texts))
+    out.total = len(texts)
     out.texts = {text_key(x): 1 for x in texts}
     for child in node.items:
         if isinstance(child, str):
@@ -195,8 +208,8 @@ def skeleton(node: Node) -> Slot:
         kid = skeleton(child)
         last = out.kids[-1] if out.kids else None
         if last is not None and last.label == kid.label and not last.kids and not kid.kids:
-            last.chars += kid.chars
-            last.texts = {**last.texts, **kid.texts}
+            last.total += kid.total
+            last.texts.update(kid.texts)
         else:
             out.kids.append(kid)
     return out
@@ -233,13 +246,14 @@ def matching(a: list[Slot], b: list[Slot]) -> tuple[int, list[tuple[int, int]]]:
 def merge(into: Slot, other: Slot) -> None:
     """Aligns other with the wrapper and adds it."""
     into.pages += other.pages
-    into.chars += other.chars
+    into.total += other.total
     into.slack += other.slack
     texts = into.texts
     for key, n in other.texts.items():
         texts[key] = texts.get(key, 0) + n
-    if len(texts) > COUNTERS:
-        cut = sorted(texts.values(), reverse=True)[COUNTERS]
+    most = max(COUNTERS, -(-PER_TEXT * into.total // into.pages))
+    if len(texts) > 2 * most:
+        cut = sorted(texts.values(), reverse=True)[most]
         into.texts = {k: n - cut for k, n in texts.items() if n > cut}
         into.slack += cut
     pairs = matching(into.kids, other.kids)[1]
@@ -314,13 +328,19 @@ def _host(url):
 
 
 def learn(pages: DataFrame, url_column: str = "url", html_column: str = "html") -> DataFrame:
-    """(host, wrapper) of every host, taught by all its pages. Pages without a host teach nothing."""
+    """(host, wrapper) of every host, taught by all its pages. Pages without a host teach nothing.
+
+    A host's partial wrappers, one or a few of each input partition, are merged in two rounds: in as many groups as the
+    root of the number of partitions, then the groups.
+    """
+    salts = max(16, math.isqrt(pages.rdd.getNumPartitions()))
 
     def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("wrappers")
         wrappers: dict[str, Slot] = {}
 
         def out() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(list(wrappers), pa.string()), pa.array([k % 16 for k in range(len(wrappers))], pa.int32()), pa.array([json.dumps(w.pack()) for w in wrappers.values()], pa.string())], names=["host", "salt", "wrapper"])
+            return pa.record_batch([pa.array(list(wrappers), pa.string()), pa.array([0] * len(wrappers), pa.int32()), pa.array([json.dumps(w.pack()) for w in wrappers.values()], pa.string())], names=["host", "salt", "wrapper"])
 
         for batch in batches:
             for host, page in zip(batch["host"].to_pylist(), batch["body"].to_pylist(), strict=True):
@@ -345,7 +365,7 @@ def learn(pages: DataFrame, url_column: str = "url", html_column: str = "html")
         return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "salt": pa.array([0], pa.int32()), "wrapper": pa.array([json.dumps(whole.pack())], pa.string())})
 
     rows = pages.select(_host(F.col(url_column)).alias("host"), F.coalesce(F.col(html_column).cast("string"), F.lit("")).alias("body")).where("host <> ''")
-    parts = rows.mapInArrow(teach, WRAPPERS).withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(16)).cast("int"))
+    parts = rows.mapInArrow(teach, WRAPPERS).withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts)).cast("int"))
     once = parts.groupBy("host", "salt").applyInArrow(join, WRAPPERS)
     return once.groupBy("host").applyInArrow(join, WRAPPERS).select("host", "wrapper")
 
@@ -360,6 +380,7 @@ def extract_pages(pages: DataFrame, id_column: str = "page_id", url_column: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("wrappers")
         made: dict[str, Slot] = {}
         for batch in batches:
             texts = []
@@ -374,7 +395,7 @@ def extract_pages(pages: DataFrame, id_column: str = "page_id", url_column: str
                 texts.append(extract(page, slot).encode("utf-8", "replace").decode())
             yield pa.record_batch([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    wrappers = learn(pages, url_column, html_column).persist()
+    wrappers = stored(learn(pages, url_column, html_column), "wrappers")
     size = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host")).alias("n")).first()["n"] or 0
     rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).cast("string").alias("url"), _host(F.col(url_column)).alias("host"), F.coalesce(F.col(html_column).cast("string"), F.lit("")).alias("body"))
     joined = rows.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host", "left")

@@ -437,3 +437,22 @@ def test_pipeline_keeps_one_row_of_each_group_whatever_its_id(spark):
     kept_b = {t for i, t in got if i is None and t and t.startswith(b)}
     assert len(kept_b) == 1
     assert got == {(1, a), *((None, t) for t in kept_b), (5, b[:20]), (6, c), (7, rows[7][1]), (None, None), (8, "")}
+
+
+def test_pages_of_any_shape(spark):
+    """Deep nesting, stray quotes, scripts with tags in them, and a node with more texts than it has counters."""
+    import time
+
+    deep = "<div>" * 20_000 + "core" + "</div>" * 10_000 + "<p>after</p><nav>menu</nav>"
+    assert wrapper_extract.extract(deep, None).split("\n\n") == ["core", "after"]
+    assert wrapper_extract.extract("<div>" * 300 + "<nav>" + "<div>" * 300 + "menu", None) == ""
+    for stray in ("<p a='x>", '<p a="', "<a b=", "<a '", "<!--", "<p></i"):
+        began = time.process_time()
+        wrapper_extract.extract(stray * (1_000_000 // len(stray)), None)
+        assert time.process_time() - began < 8
+    assert wrapper_extract.extract("<p>one</p><script>if (a<b && c=\"</p>') {}</script><p>two</p>", None) == "one\n\ntwo"
+    assert wrapper_extract.extract("<p it's>don't</p><p class='x'>can't</p>", None) == "don't\n\ncan't"
+    menu = "".join(f"<li>link {k}</li>" for k in range(400))
+    rows = [(k, "http://many.example/", f"<ul class=x>{menu}<li>text {k}</li></ul>") for k in range(40)]
+    got = wrapper_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {k: f"text {k}" for k in range(40)}
