@@ -14,31 +14,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm import decontaminate, jaccard_join, packing, suffix_dedup, toxicity
-from faultline.llm.common import scratch
+from faultline.llm.common import fresh, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is under 0.3, by a model of the `labels` that other folds' documents have."""
+    """Documents whose toxicity is under 0.3, by a model of the `labels` that other folds' documents have.
+
+    Null texts are scored as empty ones; repeated rows go or stay together; without labels of both kinds all rows get
+    the share of toxic labels as their score, and without any label half, so all go: nothing is known to be clean.
+    """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where("toxic = 0").select(*docs.columns)
+    return docs.where(toxicity.probability(model, F.col("text")) < 0.3)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group connected by links (five-word shingles, Jaccard 0.8 or more).
 
     Repeated rows (same id and text) are one. Rows are told apart by id and text; one without an id is kept only where
-    its group has none with an id, and of equal ids the text of the least hash is kept.
+    its group has none with an id, and of equal ids the text of the least hash is kept. Null and empty texts link with
+    nothing and stay.
     """
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text")).dropDuplicates(["_row"])
-    groups = jaccard_join.components_of(keyed, id_column="_row", words=5, percent=80).select(F.col("doc_id").alias("_row"), "component_id")
-    place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", F.xxhash64("text").alias("hash"), "_row")
-    first = groups.join(keyed.select("_row", place.alias("place")), "_row").groupBy("component_id").agg(F.min("place")["_row"].alias("_row"))
-    return keyed.join(first.select("_row"), "_row", "left_semi").select(*docs.columns)
+    row = fresh(docs, "row")
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text")).dropDuplicates([row])
+    groups = jaccard_join.components_of(keyed.select(row, "text"), id_column=row, words=5, percent=80).select(F.col("doc_id").alias("name"), "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", F.xxhash64("text").alias("hash"), F.col(row).alias("name"))
+    first = groups.join(keyed.select(F.col(row).alias("name"), place.alias("place")), "name").groupBy("component_id").agg(F.min("place")["name"].alias(row))
+    return keyed.join(first.select(row), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without what an earlier text has, too (100 bytes or more); characters that are cut go as a whole.
-    Texts of which nothing is left, though they had something, are dropped; n_chars is the new length."""
+    Texts of which nothing is left, though they had something, are dropped; n_chars is the new length.
+
+    Null and empty texts lose nothing and stay as they are; of repeated rows the first keeps its text.
+    """
     cut = suffix_dedup.remove_repeats(docs, carry=docs.columns)
     kept = cut.where((F.col("n_removed") == 0) | (F.trim(F.col("kept_text")) != ""))
     new = {"text": F.when(F.col("n_removed") == 0, F.col("carried.text")).otherwise(F.col("kept_text"))}
@@ -47,15 +56,20 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no ten-word window of a benchmark item occurs."""
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    found = decontaminate.decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_column="_row")
-    bad = found.where("contaminated").select(F.col("doc_id").alias("_row")).distinct()
-    return keyed.join(bad, "_row", "left_anti").select(*docs.columns)
+    """Documents in which no ten-word window of a benchmark item occurs.
+
+    Null and empty texts have no words and stay; repeated rows go or stay together; an empty benchmark drops nothing.
+    """
+    row = fresh(docs, "row")
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    found = decontaminate.decontaminate(keyed.select(row, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_column=row)
+    bad = found.where("contaminated").select(F.col("doc_id").alias(row)).distinct()
+    return keyed.join(bad, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1,024 tokens and their places in sequences."""
+    """Pieces of at most 1,024 tokens and their places in sequences; null and empty texts are the end id alone, and
+    repeated rows are packed each time."""
     return packing.pack_documents(docs)
 
 

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, keep_only, sql_ascii_lower
@@ -297,26 +297,39 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     return Model(landmarks, vectors, np.array([r["label"] for r in rows], np.int64))
 
 
-def score(docs: DataFrame, model: Model, text_column: str = "text", threshold: float = 0.3) -> DataFrame:
-    """Adds toxicity (0 to 1) and toxic (int) to every row, from its whole text; null counts as empty."""
-
-    names = [c for c in docs.columns if c.lower() not in ("toxicity", "toxic")]
-    schema = docs.select(names).schema.add("toxicity", "double").add("toxic", "integer")
+def probability(model: Model, text: Column) -> Column:
+    """The toxicity of whole texts, 0 to 1; null counts as empty. Only the texts go through Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         keep_only("toxicity")
         matcher = Matcher(model.landmarks)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                scores = model.scores(matcher.vectors(["" if t is None else t for t in part[text_column].to_pylist()]))
-                yield pa.record_batch([*part.columns, pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=[*part.schema.names, "toxicity", "toxic"])
+            found = [np.zeros(0)]
+            for at in range(0, len(batch), SLICE):
+                found.append(model.scores(matcher.vectors(["" if t is None else t for t in batch.slice(at, SLICE).to_pylist()])))
+            yield pa.array(np.concatenate(found))
 
-    return docs.select(names).mapInArrow(run, schema)
+    return scores.asNondeterministic()(text.cast("string"))
+
+
+def score(docs: DataFrame, model: Model, text_column: str = "text", threshold: float = 0.3) -> DataFrame:
+    """Adds toxicity (0 to 1) and toxic (int) to every row, from its whole text; columns of these names are replaced.
+
+    Null texts are scored as empty ones; repeated rows each get the same score; a score equal to the threshold is
+    toxic; an empty table gives no rows.
+    """
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("toxicity", "toxic")]
+    scored = docs.select(*kept, probability(model, F.col(text_column)).alias("toxicity"))
+    return scored.withColumn("toxic", (F.col("toxicity") >= threshold).cast("int"))
 
 
 def predictions(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document: a thin view of train() and score()."""
+    """doc_id, held_out, score and predicted of every document: a thin view of train() and score().
+
+    A missing id counts as the empty text in the fold's rule; nulls, repeated rows, ties and empty tables are as in
+    train() and score().
+    """
     model = train(docs, labels, folds=folds, held_fold=held_fold)
     scored = score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", (_fold("doc_id", folds) == held_fold).alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic").alias("predicted"))

@@ -456,3 +456,18 @@ def test_pages_of_any_shape(spark):
     rows = [(k, "http://many.example/", f"<ul class=x>{menu}<li>text {k}</li></ul>") for k in range(40)]
     got = wrapper_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in got} == {k: f"text {k}" for k in range(40)}
+
+
+def test_pipeline_stages_keep_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(100 + i, i % 2) for i in range(60)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "no such words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(100 + i, prose(3000 + i, 30) + (" moronic" * 4 if i % 2 else ""), "en", "s", 7, f"row {i}", f"_row {i}", 0.5, 9, "block") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string, _row string, toxicity double, toxic int, block string")
+    clean = {r[0]: r for r in rows if not r[0] % 2}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        got = {r.doc_id: tuple(r) for r in out.collect()}
+        assert all(got[i][5:] == r[5:] and got[i][1] == r[1] for i, r in clean.items()), name
