@@ -5,36 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: prefix-vMAJOR.MINOR.PATCH.STAMP_BUILD-suffix; the build and a platform mark after it may be missing.
-RUN = r"^([A-Za-z_]+)-v(\d+\.\d+\.\d+)\.(\d{12,14})(?:_(\d+)(?:_[a-z]+)?)?-(.+)$"
+# The forms of a run id, in order: with a build, with a build of another platform, without one, and whatever else names
+# a version and a stamp (its build ends at a hyphen, else at an underscore).
+_HEAD = r"^([A-Za-z_]+)-v(\d+\.\d+\.\d+)\.(\d{12,14})"
+FORMS = (rf"{_HEAD}_(\d+)()-(.+)$", rf"{_HEAD}_(\d+)(_win)-(.+)$", rf"{_HEAD}()()-(.+)$", r"^(.+?)-v(\d+\.\d+\.\d+)\.?(\d{12,14})_([^-]*)()-(.*)$", r"^(.+?)-v(\d+\.\d+\.\d+)\.?(\d{12,14})_([^-_]*)()_?([^-]*)$")
 # Ordered segment patterns.
 SEGMENTS = (("Compute", r"(?:^|[^a-z0-9])win(?:dows)?(?:[^a-z0-9]|$)"), ("Auto", r"(?:^|[^a-z0-9])auto(?:[^a-z0-9]|$)"), ("GenAI", r"(?:^|[^a-z0-9])llm(?:[^a-z0-9]|$)"), ("Mobile/IOT/XR", r"(?:^|[^a-z0-9])pt(?:[^a-z0-9]|$)"))
 
 
 def parse(run: Column) -> Column:
-    """SC11: the parts as a struct, NULL if the id has another form."""
+    """SC11: the parts as a struct, by the first form that matches; NULL if none does."""
 
-    def part(k: int) -> Column:
-        return F.regexp_extract(run, RUN, k)
-
-    suffix = part(5)
-    version = F.split(part(2), r"\.")
-    rc = F.regexp_extract(suffix, r"_RC(\d+)", 1)
-    return F.when(
-        run.rlike(RUN),
-        F.struct(
+    def by(form: str) -> Column:
+        part = lambda k: F.regexp_extract(run, form, k)
+        suffix, version = part(6), F.split(part(2), r"\.")
+        rc = F.regexp_extract(suffix, r"_RC(\d+)", 1)
+        return F.struct(
             part(1).alias("prefix"),
             part(2).alias("version"),
             part(3).alias("timestamp"),
-            part(4).alias("build_number"),
+            F.concat(part(4), part(5)).alias("build_number"),
             suffix.alias("suffix"),
             F.regexp_replace(suffix, r"_RC.*$", "").alias("suffix_base"),
             suffix.contains("_RC").alias("is_rc"),
             version[0].cast("int").alias("major"),
             version[1].cast("int").alias("minor"),
             F.when(rc != "", rc.cast("int")).otherwise(0).alias("rc"),
-        ),
-    )
+        )
+
+    return F.coalesce(*[F.when(run.rlike(form), by(form)) for form in FORMS])
+
+
+def failed_runs(log: Column) -> Column:
+    """SC38: the run ids that a log of failed runs names, in order."""
+    found = F.regexp_extract_all(log, F.lit(r"(?m)^Run ID:[ \t]*(.+)$"), F.lit(1))
+    return F.filter(F.transform(found, lambda r: F.trim(r)), lambda r: r != "")
 
 
 def embedded_time(run: Column) -> Column:

@@ -25,6 +25,7 @@ CLEANUP_STEPS = (
     (r"[\[\]'\"`]", " "),
     (r"(?Ud)^[^a-zA-Z]+", ""),
 )
+# Two further steps would look for names with an underscore in camel case; the first two steps leave none of these.
 SPARSE_STEPS = (
     (r"([a-z])([A-Z])", "$1 $2"),
     ("_", " "),
@@ -64,6 +65,7 @@ NOISE = (
     r"\bno\s+space\s+left\s+on\s+device\b",
     r"\bno\s+such\s+file\s+or\s+directory",
     r"\bfilenotfounderror\b",
+    r"\b\w+-net-run.exe\b",
 )
 ERROR_PATTERNS = ("error.*", "encountered error.*", "command exited with non-zero status.*", "traceback.*", "filenotfounderror.*")
 GARBAGE_TYPE, GARBAGE_PHRASES = "transformer_run", ("context size was exceeded", "segmentation fault")

@@ -18,20 +18,71 @@ def centroids(df: DataFrame, key: str = "label", vector: str = "embedding") -> D
     return whole.select(key, V.unit(F.col("mean")).alias("centroid"))
 
 
+#: Centroids of one packed row, at most: what a task holds of the state at once.
+PACKED = 2048
+
+
+def _numbered(cents: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """Centroids dealt to packs of about PACKED by a hash of their key, and the number of packs."""
+    n = max(1, -(-cents.count() // PACKED))
+    return cents.withColumn("_p", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), n
+
+
 def centroid_pairs(cents: DataFrame, least: float = 0.85, key: str = "label") -> DataFrame:
-    """Pairs of centroids (one row per cluster; the smaller key first) at least that similar."""
-    a = cents.select(F.col(key).alias("a"), F.col("centroid").alias("ca"))
-    b = cents.select(F.col(key).alias("b"), F.col("centroid").alias("cb"))
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", V.dot(F.col("ca"), F.col("cb")).alias("similarity")).where(F.col("similarity") >= least)
+    """Pairs of centroids (one row per cluster; the smaller key first) at least that similar. Packs of centroids
+    meet pack by pack, a triangle of them, so no task and no broadcast holds more than two."""
+    numbered, n = _numbered(cents, key)
+    other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sides = numbered.select(key, "centroid", "_p", other.alias("_q")).select(key, "centroid", F.least("_p", "_q").alias("_i"), F.greatest("_p", "_q").alias("_j"), "_p")
+    a = sides.where("_p = _i").select("_i", "_j", F.col(key).alias("a"), F.col("centroid").alias("ca"))
+    b = sides.where("_p = _j").select("_i", "_j", F.col(key).alias("b"), F.col("centroid").alias("cb"))
+    found = a.join(b, ["_i", "_j"]).where(F.when(F.col("_i") == F.col("_j"), F.col("a") < F.col("b")).otherwise(True))
+    pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), V.dot(F.col("ca"), F.col("cb")).alias("similarity"))
+    return pairs.where(F.col("similarity") >= least)
+
+
+def _best(u, cents, key: str):
+    """The most similar of an array of centroids, ties to the least key."""
+    scored = F.transform(cents, lambda x: F.struct(V.dot(u, x["c"]).alias("s"), (-x["k"]).alias("o"), x["k"].alias("k")))
+    top = F.array_max(scored)
+    return F.struct(top["s"].alias("similarity"), top["o"].alias("o"), top["k"].alias(key))
 
 
 def nearest_centroid(df: DataFrame, cents: DataFrame, row: str = "vec_id", key: str = "label", vector: str = "embedding") -> DataFrame:
-    """The most similar centroid of each row, ties to the least key. Centroids travel as one array per
-    task: the state of one type, which is checked for size where it is loaded."""
-    packed = cents.agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col("centroid").alias("c")))).alias("cents"))
-    joined = df.select(row, V.unit(F.col(vector)).alias("u")).join(F.broadcast(packed))
-    scored = joined.select(row, F.explode("cents").alias("x"), "u").select(row, F.col("x.k").alias(key), V.dot(F.col("u"), F.col("x.c")).alias("similarity"))
-    return scored.groupBy(row).agg(F.max_by(F.struct(key, "similarity"), F.struct(F.col("similarity"), -F.col(key))).alias("b")).select(row, f"b.{key}", "b.similarity")
+    """The most similar centroid of each row, ties to the least (numeric) key, found inside the row.
+
+    The state travels as packs of at most about PACKED centroids. With one pack, which is checked by a count, it is
+    broadcast and rows don't move; with more, each row meets the packs by their number, and its best of each are
+    compared.
+    """
+    numbered, n = _numbered(cents, key)
+    packs = numbered.groupBy("_p").agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col("centroid").alias("c"))).alias("cents"))
+    rows = df.select(row, V.unit(F.col(vector)).alias("u"))
+    if n == 1:
+        return rows.join(F.broadcast(packs)).select(row, _best(F.col("u"), F.col("cents"), key).alias("b")).select(row, f"b.{key}", "b.similarity")
+    spread = rows.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(packs, "_p")
+    best = spread.select(row, _best(F.col("u"), F.col("cents"), key).alias("b")).groupBy(row).agg(F.max("b").alias("b"))
+    return best.select(row, f"b.{key}", "b.similarity")
+
+
+def hybrid_scores(rows: DataFrame, cents: DataFrame) -> DataFrame:
+    """CL04, J15, SC27, W04: (row_id, type, cluster_name, cosine, sparse, score) of rows against the clusters of their
+    type. rows has row_id, type, embedding and weights (token to weight); cents type, cluster_name, centroid and
+    weights. The sparse product is scaled by the row's least and greatest over the clusters (none in range: 0); with one
+    cluster, or a cluster stored without weights, the cosine stands alone."""
+    u = rows.select("row_id", "type", V.unit(F.col("embedding")).alias("u"), F.map_entries("weights").alias("w"))
+    c = cents.select("type", "cluster_name", "centroid", F.col("weights").alias("cw"))
+    product = F.aggregate("w", F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("cw", e["key"]), F.lit(0.0)))
+    scored = u.join(c, "type").select("row_id", "type", "cluster_name", F.col("cw").isNull().alias("_bare"), V.dot(F.col("u"), F.col("centroid")).alias("cosine"), F.coalesce(product, F.lit(0.0)).alias("sparse"))
+    w = Window.partitionBy("row_id")
+    lo, hi, n = F.min("sparse").over(w), F.max("sparse").over(w), F.count(F.lit(1)).over(w)
+    scaled = F.when(hi - lo < 1e-9, 0.0).otherwise((F.col("sparse") - lo) / (hi - lo))
+    return scored.withColumns({"_s": scaled, "_n": n}).withColumn("score", F.when((F.col("_n") == 1) | F.col("_bare"), F.col("cosine")).otherwise(V.hybrid(F.col("cosine"), F.col("_s")))).drop("_s", "_n", "_bare")
+
+
+def weight_maps(weights: DataFrame, row: str) -> DataFrame:
+    """Long weights (row, token, weight) as one map for each row."""
+    return weights.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("weights"))
 
 
 def ranked(df: DataFrame, cents: DataFrame, row: str = "vec_id", key: str = "label", vector: str = "embedding") -> DataFrame:
@@ -93,21 +144,27 @@ def sparse_pairs(weights: DataFrame, row: str, least: float = 0.0, commonest: in
     return a.join(b, "token").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot")).where(F.col("dot") >= least)
 
 
-def hdbscan_labels(x: np.ndarray, min_size: int = 2, epsilon: float = 0.12) -> np.ndarray:
-    """CL10: density clusters by cosine distance: minimum spanning tree, single linkage, condensed tree, excess of
-    mass, and no split under epsilon. With one neighbour for the core distance, reachability is distance itself."""
+def hdbscan_labels(x: np.ndarray, min_size: int = 2, epsilon: float = 0.12, samples: int = 1, metric: str = "cosine") -> np.ndarray:
+    """CL10, CL11: density clusters: minimum spanning tree of reachability, single linkage, condensed tree, excess of
+    mass, and no split under epsilon. A point's core distance is that to its samples-th neighbour, itself being the
+    first: with one, reachability is distance itself. The alternate settings are 5, 0.0, 5, "euclidean"."""
     n = len(x)
     labels = np.full(n, -1)
     if n < min_size or n < 2:
         return labels
     norms = np.linalg.norm(x, axis=1, keepdims=True)
-    u = x / np.where(norms > 0, norms, 1)
+    u = x / np.where(norms > 0, norms, 1) if metric == "cosine" else x
+
+    def distances(k: int) -> np.ndarray:
+        return np.clip(1 - u @ u[k], 0, 2) if metric == "cosine" else np.sqrt(((u - u[k]) ** 2).sum(1))
+
+    core = np.array([np.partition(distances(k), samples - 1)[samples - 1] for k in range(n)]) if 1 < samples <= n else np.zeros(n)
     # Prim's algorithm, a row of distances at a time
     best, link, seen = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool)
     edges, at = [], 0
     for _ in range(n - 1):
         seen[at] = True
-        d = np.clip(1 - u @ u[at], 0, 2)
+        d = np.maximum(np.maximum(distances(at), core), core[at])
         closer = ~seen & (d < best)
         best[closer], link[closer] = d[closer], at
         nxt = int(np.where(seen, np.inf, best).argmin())
@@ -184,13 +241,13 @@ def hdbscan_labels(x: np.ndarray, min_size: int = 2, epsilon: float = 0.12) -> n
     return labels
 
 
-def density_clusters(df: DataFrame, group: str, row: str = "vec_id", vector: str = "embedding", min_size: int = 2, epsilon: float = 0.12) -> DataFrame:
-    """CL10 per group: needs all pairs of a group's leftovers, so groups are the small residue of earlier stages."""
+def density_clusters(df: DataFrame, group: str, row: str = "vec_id", vector: str = "embedding", min_size: int = 2, epsilon: float = 0.12, samples: int = 1, metric: str = "cosine") -> DataFrame:
+    """CL10, CL11 per group: needs all pairs of a group's leftovers, so groups are the small residue of earlier stages."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(row)
         x = np.array([np.asarray(v, float) for v in pdf[vector]])
-        return pd.DataFrame({group: pdf[group].to_numpy(), row: pdf[row].to_numpy(), "int_cluster": hdbscan_labels(x, min_size, epsilon).astype("int32")})
+        return pd.DataFrame({group: pdf[group].to_numpy(), row: pdf[row].to_numpy(), "int_cluster": hdbscan_labels(x, min_size, epsilon, samples, metric).astype("int32")})
 
     kinds = dict(df.dtypes)
     return df.where(F.col(vector).isNotNull()).select(group, row, vector).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {row} {kinds[row]}, int_cluster int")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # What a matrix shows, the bands of a heat map, the severities of a model.
-RUNTIMES = ("cpu", "gpu", "dsp", "hta")
+RUNTIMES = ("cpu", "gpu", "gpu_fp16", "dsp", "dsp_fp16", "npu", "npu_x86", "hta")
 BANDS = (0.10, 0.25, 0.50, 0.75)
 CRITICAL, HIGH = 200, 50
 

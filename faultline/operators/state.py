@@ -19,6 +19,20 @@ def updated_centroids(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFr
     return a.join(b, keys, "full_outer").select(*keys, F.when(F.col("_old").isNull(), F.col("_new")).when(F.col("_new").isNull(), F.col("_old")).otherwise(moved).alias("centroid"))
 
 
+def updated_weights(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """CL22's sparse half: token weights (maps) of known clusters move by the same average, a token that one side lacks
+    counting as 0 there, and aren't normalised again; new clusters are added, others stay."""
+    a, b = old.select(*keys, F.col("weights").alias("_old")), new.select(*keys, F.col("weights").alias("_new"))
+    zero = F.lit(0.0)
+    moved = F.map_zip_with("_old", "_new", lambda _, x, y: KEEP * F.coalesce(x, zero) + (1 - KEEP) * F.coalesce(y, zero))
+    return a.join(b, keys, "full_outer").select(*keys, F.when(F.col("_old").isNull(), F.col("_new")).when(F.col("_new").isNull(), F.col("_old")).otherwise(moved).alias("weights"))
+
+
+def added_members(members: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """SNK05, CL22's membership: rows that aren't there yet are added."""
+    return members.unionByName(new.select(members.columns).distinct().join(members, keys, "left_anti").select(members.columns))
+
+
 def upserted(dimension: DataFrame, incoming: DataFrame, keys: list[str], now: Column) -> DataFrame:
     """Rows matched on trimmed, lower-cased keys get a new updated_at, others are added; incoming rows of one key count once."""
 

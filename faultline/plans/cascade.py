@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from faultline.functions import text as T
 from faultline.functions import vectors as V
 from faultline.operators import cluster as C
+from faultline.operators import dedupe as D
 from faultline.operators import models as M
 from faultline.sources.shared import cut
 
@@ -29,12 +30,26 @@ def seeded(df: DataFrame) -> DataFrame:
 
 
 def known(df: DataFrame, cents: DataFrame, least: float = KNOWN, stage: str = "known") -> DataFrame:
-    """CL03, CL04: the best stored centroid of a row's type by cosine, if similar enough; ties to the least name. The
-    stored state is one row per cluster; it is joined by type, and broadcast only where Spark finds it small."""
-    u = df.where("cluster_name is null and embedding is not null").select("row_id", "type", V.unit(F.col("embedding")).alias("u"))
-    scored = u.join(cents.select("type", F.col("cluster_name").alias("k"), "centroid"), "type").select("row_id", "k", V.dot(F.col("u"), F.col("centroid")).alias("s"))
-    best = scored.where(F.col("s") >= least).groupBy("row_id").agg(F.min(F.struct((-F.col("s")).alias("s"), "k")).alias("b"))
-    return _assigned(df, best.select("row_id", F.col("b.k").alias("_k")), stage)
+    """CL03, CL04: the best stored cluster of a row's type, if similar enough; ties to the least name. Where the store
+    has token weights, the score is the hybrid of cosine and scaled sparse product, else the cosine. The state is one
+    row per cluster; it is joined by type, and broadcast only where Spark finds it small.
+
+    Rows that a store's clusters took are marked `already_seen`.
+    """
+    rows = df.where("cluster_name is null and embedding is not null")
+    if "weights" in cents.columns:
+        texts = rows.groupBy("type", "text").agg(F.min("row_id").alias("row_id"), F.first("embedding").alias("embedding"))
+        weights = C.weight_maps(C.token_weights(texts, "row_id", T.sparse_tokens(F.col("text"))), "row_id")
+        scored = C.hybrid_scores(texts.join(weights, "row_id", "left"), cents).select("row_id", F.col("cluster_name").alias("k"), F.col("score").alias("s"))
+        best = scored.where(F.col("s") >= least).groupBy("row_id").agg(F.min(F.struct((-F.col("s")).alias("s"), "k")).alias("b"))
+        named = best.join(texts, "row_id").select("type", "text", F.col("b.k").alias("_k"))
+        found = rows.select("row_id", "type", "text").join(named, ["type", "text"]).select("row_id", "_k")
+    else:
+        u = rows.select("row_id", "type", V.unit(F.col("embedding")).alias("u"))
+        scored = u.join(cents.select("type", F.col("cluster_name").alias("k"), "centroid"), "type").select("row_id", "k", V.dot(F.col("u"), F.col("centroid")).alias("s"))
+        best = scored.where(F.col("s") >= least).groupBy("row_id").agg(F.min(F.struct((-F.col("s")).alias("s"), "k")).alias("b"))
+        found = best.select("row_id", F.col("b.k").alias("_k"))
+    return _assigned(df, found, stage).withColumn("already_seen", F.coalesce(F.col("assigned_by") == "known", F.lit(False)))
 
 
 def _assigned(df: DataFrame, found: DataFrame, stage: str) -> DataFrame:
@@ -103,7 +118,7 @@ def centroids(df: DataFrame) -> DataFrame:
 
 
 def merged(cents: DataFrame, least: float = MERGE) -> DataFrame:
-    """CL12, CL18: (type, cluster_name, into) for clusters that greedily join an earlier one of their type. Clusters
+    """CL12: (type, cluster_name, into) for clusters that greedily join an earlier one of their type. Clusters
     of one type, hundreds at most, meet in one task; rows don't."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -141,21 +156,65 @@ def outliers(df: DataFrame, key: str = "label", row: str = "vec_id", vector: str
     return df.join(factors, row).join(C.centroids(df, key, vector), key).where((F.col("lof") > cut) & (V.cosine(F.col(vector), F.col("centroid")) < least)).select(key, row, "lof")
 
 
+def without_outliers(df: DataFrame) -> DataFrame:
+    """CL20's outlier step: rows of density clusters whose text is an outlier of its cluster lose it. Distinct texts are
+    compared, not rows."""
+    rows = df.where("assigned_by = 'density' and embedding is not null")
+    texts = rows.groupBy("type", "cluster_name", "text").agg(F.min("row_id").alias("row_id"), F.min_by("embedding", "row_id").alias("embedding"))
+    keyed = cut(texts.withColumn("_key", F.concat_ws("\x01", "type", "cluster_name")))
+    out = keyed.join(outliers(keyed, "_key", "row_id").select("row_id"), "row_id", "left_semi").select("type", "cluster_name", "text", F.lit(True).alias("_out"))
+    marked = df.join(out, ["type", "cluster_name", "text"], "left")
+    gone = F.coalesce("_out", F.lit(False)) & (F.col("assigned_by") == "density")
+    return marked.withColumns({"cluster_name": F.when(~gone, F.col("cluster_name")), "assigned_by": F.when(~gone, F.col("assigned_by"))}).drop("_out")
+
+
+def reclustered(df: DataFrame) -> DataFrame:
+    """CL20's last step, X06, X03: rows still without a cluster are grouped by masked text, and named by its tokens."""
+    left = df.where("cluster_name is null").select("row_id", "type", "text")
+    firsts = cut(left.groupBy("type", "text").agg(F.min("row_id").alias("first")))
+    named = M.token_namer(firsts, "first", "text")
+    found = firsts.join(named, "first", "left").select("type", "text", F.concat(F.coalesce("name", F.lit("Group")), F.lit("_s"), F.col("first").cast("string")).alias("_k"))
+    return _assigned(df, left.join(found, ["type", "text"]).select("row_id", "_k"), "single")
+
+
+def split_verifier(df: DataFrame, name: str = "VerifierFailed") -> DataFrame:
+    """CL21: rows under the rule of that name get sub-clusters."""
+    sub = D.subclustered(df, name).select("row_id", F.col("cluster_name").alias("_sub"))
+    return df.join(sub, "row_id", "left").withColumn("cluster_name", F.coalesce("_sub", "cluster_name")).drop("_sub")
+
+
 def classified(df: DataFrame) -> DataFrame:
-    """A class for clusters that have none: that of their first row's text."""
-    return df.withColumn("cluster_class", F.coalesce("cluster_class", M.rule_class(F.first("text").over(Window.partitionBy("type", "cluster_name").orderBy("row_id")))))
+    """A class for rows that have none: that of the text of their cluster's first row. One aggregate by cluster,
+    so a hot cluster is summed up before it moves."""
+    first = df.groupBy("type", "cluster_name").agg(M.rule_class(F.min_by("text", "row_id")).alias("_class"))
+    out = df.alias("d").join(first.alias("f"), F.col("d.type").eqNullSafe(F.col("f.type")) & F.col("d.cluster_name").eqNullSafe(F.col("f.cluster_name")), "left")
+    return out.select("d.*", "f._class").withColumn("cluster_class", F.coalesce("cluster_class", "_class")).drop("_class")
 
 
 def analyze(df: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """CL23, CL24: the whole cascade. df has row_id, type, reason and, optionally, embedding and cluster_class."""
+    """CL23, CL24: the whole cascade. df has row_id, type, reason and, optionally, embedding and cluster_class.
+
+    Rules, stored clusters, exact, sparse and density groups; then repair: similar density clusters merge (CL12, CL13),
+    noise goes to the best cluster (CL14), outliers leave theirs and are placed anew (CL15, CL20), what is left is
+    grouped by masked text, verifier failures are split (CL21), and near-duplicate names become one (CL18).
+    """
     rows = seeded(df.drop("cluster_name"))
     if "embedding" not in rows.columns:
         rows = M.hashed_embedding(rows, "text")
     if "cluster_class" not in rows.columns:
         rows = rows.withColumn("cluster_class", F.lit(None).cast("string"))
-    rows = cut(rows)
+    rows = cut(rows.withColumn("already_seen", F.lit(False)))
     if stored is not None:
         rows = cut(known(rows, stored))
     for stage in (exact, sparse, dense):
         rows = cut(stage(rows))
-    return classified(reassigned(rows))
+    density = rows.where("assigned_by = 'density'")
+    rows = cut(relabelled(rows, merged(centroids(density))))
+    for stage in (_placed, without_outliers, _placed, reclustered, split_verifier):
+        rows = cut(stage(rows))
+    return classified(D.deduplicated(rows, centroids(rows.where("assigned_by <> 'rule'"))))
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    seen = df.select("row_id", F.col("already_seen").alias("_seen"))
+    return reassigned(df.drop("already_seen")).drop("already_seen").join(seen, "row_id").withColumnRenamed("_seen", "already_seen")

@@ -33,7 +33,7 @@ class Engine:
         rows = self.run_clusters(run_id)
         done = self.store.ledger().where(F.col("run_id") == run_id).limit(1).count()
         if not done:
-            self.store.apply(rows.select("run_id", "type", "cluster_name", "embedding"), 0)
+            self.store.apply(rows.select("run_id", "type", "cluster_name", "embedding", "text"), 0)
         return rows
 
     def run_clusters(self, run_id: str, previous: str | None = None) -> DataFrame:

@@ -98,10 +98,10 @@ on_results("f14_not_containing", "SELECT row_id FROM results WHERE NOT coalesce(
 on_results("f17_required", "SELECT row_id FROM results WHERE reason IS NOT NULL AND result IS NOT NULL AND cluster_name IS NOT NULL")(lambda d: d.dropna(subset=["reason", "result", "cluster_name"]).select("row_id"))
 
 
-@register("f12_release_window", "SELECT o_orderkey FROM orders WHERE cast(o_orderdate AS date) BETWEEN DATE '1998-03-31' AND DATE '1998-09-30'")
+@register("f12_release_window", "SELECT o_orderkey FROM orders WHERE cast(o_orderdate AS date) BETWEEN DATE '1998-03-30' AND DATE '1998-09-30'")
 def _(spark, sf):
     ref = F.to_date(F.lit("1998-09-30"))
-    return table(spark, sf, "orders").where(F.to_date("o_orderdate").between(F.date_add(F.add_months(ref, -6), 1), ref)).select("o_orderkey")
+    return table(spark, sf, "orders").where(F.to_date("o_orderdate").between(F.add_months(ref, -6), ref)).select("o_orderkey")
 
 
 # --- joins -------------------------------------------------------------------------------------------------------
@@ -154,7 +154,7 @@ on_results("ag07_by_model", "SELECT model, count(*) AS n, min(row_id) AS first_r
 on_results("ag08_runtimes", "SELECT type, string_agg(DISTINCT runtime, ',' ORDER BY runtime) AS runtimes FROM results GROUP BY type")(lambda d: d.groupBy("type").agg(F.array_join(F.array_sort(F.collect_set("runtime")), ",").alias("runtimes")))
 on_results("ag09_by_soc", "SELECT lower(soc) AS key, count(*) AS n FROM results WHERE result = 'FAIL' AND soc IS NOT NULL GROUP BY 1")(lambda d: P.by_dimension(d.where("result = 'FAIL'"), "soc"))
 on_results("ag10_overview", "SELECT count(*) AS failures, count(DISTINCT (run_id, model)) AS models, count(DISTINCT run_id) AS runs, count(DISTINCT bu) AS bus, count(DISTINCT cluster_name) AS clusters FROM results WHERE result = 'FAIL'")(lambda d: P.overview(d.where("result = 'FAIL'")))
-on_results("ag11_matrix", "SELECT bu, count(*) FILTER (runtime = 'cpu') AS cpu, count(*) FILTER (runtime = 'gpu') AS gpu, count(*) FILTER (runtime = 'dsp') AS dsp, count(*) FILTER (runtime = 'hta') AS hta FROM results WHERE result = 'FAIL' GROUP BY bu")(lambda d: P.matrix(d.where("result = 'FAIL'")))
+on_results("ag11_matrix", "SELECT bu, count(*) FILTER (runtime = 'cpu') AS cpu, count(*) FILTER (runtime = 'gpu') AS gpu, count(*) FILTER (runtime = 'dsp') AS dsp, count(*) FILTER (runtime = 'hta') AS hta, count(*) FILTER (runtime = 'gpu_fp16') AS gpu_fp16, count(*) FILTER (runtime = 'dsp_fp16') AS dsp_fp16, count(*) FILTER (runtime = 'npu') AS npu, count(*) FILTER (runtime = 'npu_x86') AS npu_x86 FROM results WHERE result = 'FAIL' GROUP BY bu")(lambda d: P.matrix(d.where("result = 'FAIL'")))
 on_results("ag12_matrix_totals", "SELECT coalesce(bu, 'ALL') AS bu, coalesce(runtime, 'ALL') AS runtime, count(*) AS n FROM results WHERE result = 'FAIL' GROUP BY CUBE (bu, runtime)")(lambda d: P.matrix_totals(d.where("result = 'FAIL'")))
 on_results("ag13_metric_set", "SELECT dimension, key, count(*) AS n FROM (SELECT unnest(['soc','runtime','type','cluster_class','cluster_name','model','bu','host']) AS dimension, unnest([soc, runtime, type, cluster_class, cluster_name, model, bu, host]) AS key FROM results) WHERE key IS NOT NULL GROUP BY ALL")(P.metric_set)
 on_results("ag14_exact_groups", "SELECT CASE WHEN length(reason) <= 50 THEN '(0,50]' ELSE '(50,110]' END AS bin, min(row_id) AS first_row, count(*) AS n FROM results WHERE length(reason) BETWEEN 1 AND 110 GROUP BY 1, reason HAVING count(*) >= 2")(lambda d: C.exact_groups(d, "row_id", "reason"))

@@ -28,7 +28,7 @@ def test_cascade_keeps_every_row_once(spark):
     out = A.analyze(df.select("row_id", "type", "reason")).collect()
     assert sorted(r.row_id for r in out) == sorted(r.row_id for r in df.collect())
     by_row = {r.row_id: r for r in out}
-    assert by_row[1].cluster_name == "VerifierFailed" and by_row[5].cluster_name == "NoErrorLog" and by_row[9].cluster_name == "EmptyErrorLog"
+    assert by_row[1].cluster_name.startswith("VerifierFailed") and by_row[5].cluster_name == "NoErrorLog" and by_row[9].cluster_name == "EmptyErrorLog"
     assert all(r.cluster_name for r in out if r.row_id // 2 % 5 in (1, 3))
     assert A.analyze(df.select("row_id", "type", "reason").limit(0)).count() == 0
 
