@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.plans import registered
+from faultline.plans import registered, registered_more
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registered.QUERIES["j01_regressions"](spark, sf_dir)
 
 
+assert registered_more.register is registered.register  # both modules fill one registry
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(registered.QUERIES)
 

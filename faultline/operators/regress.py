@@ -122,6 +122,14 @@ def changes_between(changes: DataFrame, lo: Column, hi: Column, stamp: str) -> D
     return changes.where((F.col(stamp) > F.least(lo, hi)) & (F.col(stamp) <= F.greatest(lo, hi)))
 
 
+def type_changes(df: DataFrame, changes: DataFrame) -> DataFrame:
+    """The changes of each type's backends: those of its runtimes, or of itself for the tools; a backend without a
+    change stays, with none."""
+    low = F.lower("type")
+    backends = df.select(low.alias("type"), F.when(low.isin("converter", "quantizer"), low).otherwise(F.col("runtime")).alias("backend")).distinct()
+    return backends.join(changes, "backend", "left")
+
+
 def first_seen(df: DataFrame, key: str, *order: str) -> DataFrame:
     """The first row of each key in order."""
     w = Window.partitionBy(key).orderBy(*order)

@@ -58,7 +58,6 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 on_results("src02_run_ids", "SELECT DISTINCT run_id FROM results WHERE run_id NOT LIKE '%win%'")(lambda d: d.where(~F.col("run_id").contains("win")).select("run_id").distinct())
 on_results("src03_run_rows", "SELECT row_id, tc_uuid, result FROM results WHERE run_no = 5")(lambda d: _run(d, 5).select("row_id", "tc_uuid", "result"))
 on_results("src07_load_failures", "SELECT row_id, result FROM results WHERE result NOT IN ('PASS','NOT_RUN','PARENT_NOT_RUN','PARENT_FAIL') OR result IS NULL")(lambda d: G.failures(d).select("row_id", "result"))
-on_results("src08_execution_status", "SELECT run_id, cast(floor(100 * count(*) FILTER (exec_status = 'COMPLETED') / count(*)) AS int) AS completion FROM results GROUP BY run_id")(lambda d: G.completion(d, "run_id"))
 on_results("src09_all_runs", "SELECT DISTINCT run_id FROM results")(lambda d: d.select("run_id").distinct())
 
 
@@ -78,7 +77,6 @@ def _(spark, sf):
     return table(spark, sf, "documents").where("text is not null").select("doc_id", F.array_join(F.slice(lines, F.greatest(F.size(lines) - 2, F.lit(1)), F.lit(3)), "\n").alias("tail"))
 
 
-on_results("src18_group_id", "SELECT r.row_id, coalesce(substr(md5(r.cluster_name || '_' || r.type || '_' || r.runtime), 1, 10), '') AS group_id FROM results r WHERE run_no = 1")(lambda d: _run(d, 1).select("row_id", F.coalesce(F.when(F.col("cluster_name").isNotNull(), T.cluster_key(F.col("cluster_name"), F.col("type"), F.col("runtime"))), F.lit("")).alias("group_id")))
 on_results("src19_types", "SELECT DISTINCT type FROM results")(lambda d: d.select("type").distinct())
 
 # --- filters -----------------------------------------------------------------------------------------------------
@@ -88,10 +86,8 @@ on_results("f02_limiting_split", "SELECT contains(lower(coalesce(reason, '')), '
 on_results("f03_empty_log", "SELECT row_id, CASE WHEN lower(trim(coalesce(reason, 'nan'))) IN ('nan','none','null','') THEN 'NoErrorLog' WHEN NOT regexp_matches(reason, '[a-zA-Z]') THEN 'EmptyErrorLog' END AS seed FROM results")(lambda d: d.select("row_id", T.emptiness(F.col("reason")).alias("seed")))
 on_results("f04_garbage", "SELECT row_id, type = 'inference' AND contains(lower(coalesce(reason, '')), 'segmentation fault') AS garbage FROM results")(lambda d: d.select("row_id", T.garbage_rule(F.when(F.col("type") == "inference", "transformer_run").otherwise("other"), F.lower("reason")).alias("garbage")))
 on_results("f05_named_rules", "SELECT row_id, CASE WHEN regexp_matches(reason, '(?i)device creation failure') THEN 'Device creation Failure' WHEN regexp_matches(reason, '(?i)scheduledonsameworker') THEN 'Scheduled on Same worker' WHEN regexp_matches(reason, '(?i)batchtimerexpired') THEN 'Batch Timer Expired' WHEN regexp_matches(reason, '(?i)wait timeout') THEN 'Wait timeout' WHEN regexp_matches(reason, '(?i)failed to create dlc handle with code') THEN 'DLC Handle' WHEN regexp_matches(reason, '(?i)verifier failed') THEN 'Verifier Failed' END AS rule FROM results")(lambda d: d.select("row_id", T.named_rule(F.col("reason")).alias("rule")))
-on_results("f06_noise", "SELECT row_id FROM results WHERE NOT (reason IS NULL OR trim(reason) = '' OR regexp_matches(reason, '(?i)verifier\\s+failed|not\\s+found|timer\\s+expired'))")(lambda d: d.where(~T.is_noise(F.col("reason"))).select("row_id"))
 on_results("f07_report_rows", "SELECT row_id FROM results WHERE lower(type) NOT IN ('bm_regression','bm_verifier') AND cluster_name <> '' AND reason <> '' AND cluster_class = 'sdk_issue'")(lambda d: G.report_rows(d).select("row_id"))
 on_results("f08_excluded_types", "SELECT type, count(*) AS n FROM results WHERE lower(type) NOT IN ('bm_regression','bm_verifier') GROUP BY type")(lambda d: G.without_types(d).groupBy("type").agg(F.count(F.lit(1)).alias("n")))
-on_results("f10_prefix", "SELECT run_id, count(*) AS n FROM results WHERE starts_with(run_id, 'ALFA') GROUP BY run_id")(lambda d: d.where(F.col("run_id").startswith("ALFA")).groupBy("run_id").agg(F.count(F.lit(1)).alias("n")))
 on_results("f11_recent_runs", "SELECT DISTINCT run_id FROM results WHERE strptime('20' || regexp_extract(run_id, '\\.(\\d{12})_', 1), '%Y%m%d%H%M%S') >= TIMESTAMP '2025-01-08 00:00:00'")(lambda d: d.select("run_id").distinct().where(R.embedded_time(F.col("run_id")).cast("timestamp_ntz") >= F.lit("2025-01-08 00:00:00").cast("timestamp_ntz")))
 on_results("f13_job_filter", "SELECT DISTINCT run_id FROM results WHERE starts_with(run_id, 'ALFA') AND contains(run_id, 'auto')")(lambda d: d.where(F.col("run_id").startswith("ALFA") & F.col("run_id").contains("auto")).select("run_id").distinct())
 on_results("f14_not_containing", "SELECT row_id FROM results WHERE NOT coalesce(contains(lower(reason), 'timeout'), false)")(lambda d: G.not_containing(d, "reason", "TIMEOUT").select("row_id"))
@@ -130,7 +126,6 @@ def _(spark, sf):
     return parts.join(F.broadcast(config), "word", "left").select("p_partkey", F.coalesce("backend", F.lit("common")).alias("backend"))
 
 
-on_results("j22_cluster_class", "SELECT r.row_id, c.cls FROM results r LEFT JOIN (SELECT cluster_name, min(cluster_class) AS cls FROM results GROUP BY 1) c USING (cluster_name) WHERE r.run_no = 2")(lambda d: _run(d, 2).join(F.broadcast(d.where("cluster_name is not null").groupBy("cluster_name").agg(F.min("cluster_class").alias("cls"))), "cluster_name", "left").select("row_id", "cls"))
 
 
 @register("j06_upsert", "WITH d AS (SELECT n_name AS name, r_name AS kind FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey < 18), i AS (SELECT DISTINCT n_name || '  ' AS name, lower(r_name) AS kind FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey >= 12) SELECT coalesce(d.name, i.name) AS name, coalesce(d.kind, i.kind) AS kind, CASE WHEN d.name IS NULL THEN DATE '2025-02-02' ELSE DATE '2025-01-01' END AS created_at, CASE WHEN i.name IS NULL THEN DATE '2025-01-01' ELSE DATE '2025-02-02' END AS updated_at FROM d FULL JOIN i ON lower(trim(d.name)) = lower(trim(i.name)) AND lower(trim(d.kind)) = lower(trim(i.kind))")
@@ -160,18 +155,12 @@ on_results("ag13_metric_set", "SELECT dimension, key, count(*) AS n FROM (SELECT
 on_results("ag14_exact_groups", "SELECT CASE WHEN length(reason) <= 50 THEN '(0,50]' ELSE '(50,110]' END AS bin, min(row_id) AS first_row, count(*) AS n FROM results WHERE length(reason) BETWEEN 1 AND 110 GROUP BY 1, reason HAVING count(*) >= 2")(lambda d: C.exact_groups(d, "row_id", "reason"))
 on_results("ag21_duplicate_names", "SELECT cluster_name, count(DISTINCT type) AS types FROM results WHERE cluster_name IS NOT NULL GROUP BY 1 HAVING types > 1")(lambda d: d.where("cluster_name is not null").groupBy("cluster_name").agg(F.count_distinct("type").alias("types")).where("types > 1"))
 on_results("ag22_distinct_clusters", "SELECT DISTINCT type, cluster_name FROM results")(lambda d: d.select("type", "cluster_name").distinct())
-on_results("ag23_runs_per_bu", "SELECT bu, count(DISTINCT run_id) AS runs FROM results GROUP BY bu")(lambda d: d.groupBy("bu").agg(F.count_distinct("run_id").alias("runs")))
 on_results("ag25_first_reason", "SELECT type, runtime, cluster_name, reason FROM (SELECT *, row_number() OVER (PARTITION BY type, runtime, cluster_name ORDER BY row_id) AS rn FROM results) WHERE rn = 1 AND cluster_class = 'sdk_issue'")(lambda d: S.first_rows(d, ["type", "runtime", "cluster_name"], ["row_id"], 1).where("cluster_class = 'sdk_issue'").select("type", "runtime", "cluster_name", "reason"))
 on_results("ag26_cluster_counts", "SELECT cluster_name, count(*) AS n FROM results GROUP BY 1")(lambda d: d.groupBy("cluster_name").agg(F.count(F.lit(1)).alias("n")))
 on_results("ag27_run_details", "SELECT run_id, count(*) AS failures, count(DISTINCT model) AS models, count(DISTINCT soc) AS socs, count(DISTINCT runtime) AS runtimes FROM results WHERE result = 'FAIL' GROUP BY 1")(lambda d: d.where("result = 'FAIL'").groupBy("run_id").agg(F.count(F.lit(1)).alias("failures"), F.count_distinct("model").alias("models"), F.count_distinct("soc").alias("socs"), F.count_distinct("runtime").alias("runtimes")))
 on_results("ag29_shares", "SELECT key, n, round(100.0 * n / sum(n) OVER (), 6) AS percent FROM (SELECT lower(soc) AS key, count(*) AS n FROM results GROUP BY 1)")(lambda d: P.shares(P.by_dimension(d, "soc")))
 
 
-@register("ag19_unique_changes", "SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders) WHERE rn = 1")
-def _(spark, sf):
-    return P.unique_changes(table(spark, sf, "orders").withColumn("url", F.concat(F.lit("http://C/"), F.col("o_custkey"))), "url", "o_orderkey").select("o_orderkey", "o_custkey")
-
-
 # --- windows, top-k, sets ------------------------------------------------------------------------------------------
 
 on_results("w07_first_logs", "SELECT cluster_name, row_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY cluster_name ORDER BY row_id) AS rank FROM results WHERE cluster_name IS NOT NULL) WHERE rank <= 5")(lambda d: S.first_rows(d.where("cluster_name is not null"), ["cluster_name"], ["row_id"], 5).select("cluster_name", "row_id", "rank"))
@@ -186,7 +175,6 @@ on_results("w17_severity", "SELECT model, CASE WHEN count(*) > 200 THEN 'Critica
 on_results("w18_stops", "SELECT key, n, round(100.0 * sum(n) OVER (ORDER BY n DESC, key ROWS UNBOUNDED PRECEDING) / sum(n) OVER (), 6) AS stop FROM (SELECT lower(runtime) AS key, count(*) AS n FROM results GROUP BY 1)")(lambda d: P.stops(P.by_dimension(d, "runtime"), "n", F.col("n").desc(), "key"))
 on_results("t03_top_models", "SELECT key, n FROM (SELECT lower(model) AS key, count(*) AS n FROM results WHERE result = 'FAIL' GROUP BY 1) ORDER BY n DESC, key LIMIT 10")(lambda d: P.by_dimension(d.where("result = 'FAIL'"), "model").orderBy(F.col("n").desc(), "key").limit(10))
 on_results("t02_runs_after_first", "SELECT DISTINCT run_id FROM results WHERE run_no NOT IN (0, 1)")(lambda d: S.first_rows(d.select("run_id").distinct().withColumn("all", F.lit(1)).withColumn("t", R.embedded_time(F.col("run_id"))), ["all"], ["t", "run_id"], 1 << 30).where("rank > 2").select("run_id"))
-on_results("t05_flagged_first", f"SELECT type, n FROM (SELECT type, count(*) FILTER (result = 'FAIL') AS n FROM results GROUP BY type) ORDER BY n DESC, type LIMIT 3")(lambda d: d.groupBy("type").agg(F.count_if(F.col("result") == "FAIL").alias("n")).orderBy(F.col("n").desc(), "type").limit(3))
 on_results("t07_latest_match", "SELECT max(run_id) AS run_id FROM results WHERE run_id LIKE 'BETA%auto%'")(lambda d: d.where(F.col("run_id").like("BETA%auto%")).agg(F.max("run_id").alias("run_id")))
 on_results("u01_union", "SELECT row_id, run_no FROM results WHERE run_no IN (1, 2)")(lambda d: _run(d, 1).select("row_id", "run_no").unionByName(_run(d, 2).select("row_id", "run_no", "type"), allowMissingColumns=True).drop("type"))
 on_results("u03_shard_union", "SELECT DISTINCT run_id FROM results WHERE run_no < 6")(lambda d: d.where("run_no < 4").select("run_id").union(d.where("run_no between 2 and 5").select("run_id")).distinct())
@@ -196,16 +184,9 @@ on_results("u09_branches", "SELECT lower(type) IN ('converter','quantizer') AS t
 
 # --- scalars -----------------------------------------------------------------------------------------------------
 
-on_results("sc01_preprocess")(lambda d: d.select("row_id", T.preprocess(F.col("reason")).alias("text")))
-register("sc01_documents")(lambda s, f: table(s, f, "documents").select("doc_id", T.preprocess(F.col("text")).alias("text")))
 on_results("sc02_sparse_text", "SELECT row_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(coalesce(reason, ''), '([a-z])([A-Z])', '\\1 \\2', 'g'), '_', ' '), '(?i)Limiting Reason To \\d+ chars\\|', '', 'g'), '^\\d+:\\s+', ''), '(?i)pid:\\s*\\d+', '', 'g'), '\\b\\d{6,}\\b', '<NUM>', 'g'), '\\s+', ' ', 'g')) AS text FROM (SELECT row_id, regexp_replace(reason, '\\b0x[0-9a-fA-F]{4,}\\b', '<ADDR>', 'g') AS reason FROM results)")(lambda d: d.select("row_id", T.for_sparse(F.col("reason")).alias("text")))
-on_results("sc03_tokens")(lambda d: d.select("row_id", T.sparse_tokens(F.col("reason")).alias("tokens")))
-on_results("sc04_masked")(lambda d: d.select("row_id", T.mask_numbers(F.col("reason")).alias("text")))
 register("sc05_trimmed", "SELECT doc_id, CASE WHEN length(text) > 5000 THEN substr(text, 1, 1500) || ' ... ' || right(text, 3500) ELSE text END AS text FROM documents")(lambda s, f: table(s, f, "documents").select("doc_id", T.trimmed(F.col("text")).alias("text")))
 register("sc06_controls", "SELECT doc_id, regexp_replace(text, '[\\x00-\\x08\\x0B-\\x0C\\x0E-\\x1F\\x7F]', '', 'g') AS text FROM documents")(lambda s, f: table(s, f, "documents").select("doc_id", T.without_controls(F.col("text")).alias("text")))
-on_results("sc07_error_lines", "SELECT row_id, CASE WHEN regexp_matches(reason, '(?i)<e>|\\[ ?error ?\\]') THEN trim(reason) ELSE reason END AS text FROM results")(lambda d: d.select("row_id", T.error_lines(F.col("reason")).alias("text")))
-register("sc08_error_segments")(lambda s, f: table(s, f, "documents").select("doc_id", T.error_segments(F.col("text")).alias("text")))
-on_results("sc10_timestamps", "SELECT row_id, reason AS text FROM results")(lambda d: d.select("row_id", T.without_timestamp(F.concat(F.lit("2024-01-15T13:45:22.123 "), F.col("reason"))).alias("text")).withColumn("text", F.ltrim("text")))
 register("sc11_parse_run", f"{_WITH_PARTS} SELECT run_id, prefix, version, major, minor, suffix_base, rc, rc > 0 AS is_rc FROM p")(lambda s, f: G.run_table(results(s, f)).select("run_id", "prefix", "version", "major", "minor", "suffix_base", "rc", "is_rc"))
 on_results("sc12_embedded_time", "SELECT DISTINCT run_id, strptime('20' || regexp_extract(run_id, '\\.(\\d{12})_', 1), '%Y%m%d%H%M%S') AS run_ts FROM results")(lambda d: d.select("run_id").distinct().select("run_id", R.embedded_time(F.col("run_id")).cast("timestamp_ntz").alias("run_ts")))
 on_results("sc13_embedded_date", "SELECT DISTINCT run_id, cast(strptime('20' || regexp_extract(run_id, '\\.(\\d{12})_', 1), '%Y%m%d%H%M%S') AS date) AS run_date FROM results")(lambda d: d.select("run_id").distinct().select("run_id", R.embedded_date(F.col("run_id")).alias("run_date")))
@@ -217,7 +198,6 @@ on_results("sc19_release_rewrite", "SELECT DISTINCT run_id, regexp_replace(regex
 on_results("sc21_elapsed", "SELECT row_id, CASE WHEN m >= 1440 THEN (m // 1440)::bigint || 'd ' || (m // 60 - 24 * (m // 1440))::bigint || 'h' ELSE (m // 60)::bigint || 'h ' || (m % 60)::bigint || 'm' END AS label FROM (SELECT row_id, (row_id * 97) // 60 AS m FROM results)")(lambda d: d.select("row_id", R.elapsed_label(F.col("row_id") * 97).alias("label")))
 on_results("sc22_backoff", "SELECT row_id, cast(least(30, 5 * power(2, row_id % 6)) AS int) AS seconds FROM results")(lambda d: d.select("row_id", R.backoff_seconds(F.col("row_id") % 6 + 1).alias("seconds")))
 on_results("sc29_class", "SELECT row_id, CASE WHEN cluster_class = 'env_issue' THEN 'env_issue' WHEN cluster_class = 'setup_issue' THEN 'setup_issue' ELSE 'sdk_issue' END AS class FROM results")(lambda d: d.select("row_id", F.when(F.col("cluster_class") == "env_issue", "env_issue").when(F.col("cluster_class") == "setup_issue", "setup_issue").otherwise("sdk_issue").alias("class")))
-register("sc31_json_prefix", "SELECT event_id, cast(json_extract_string(props, '$.k') AS bigint) AS k FROM events")(lambda s, f: table(s, f, "events").select("event_id", F.from_json(F.regexp_replace(F.concat(F.lit(")]}'\n"), F.col("props")), r"^\)\]\}'\n", ""), "k bigint")["k"].alias("k")))
 on_results("sc37_month_name", "SELECT row_id, 'result_' || strftime(ts, '%Y_%m') AS name FROM results")(lambda d: d.select("row_id", F.concat(F.lit("result_"), F.date_format("ts", "yyyy_MM")).alias("name")))
 
 # --- vectors and clusters -------------------------------------------------------------------------------------------
@@ -241,18 +221,6 @@ def _(spark, sf):
     return out.select("label", F.posexplode("centroid").alias("pos", "x")).select("label", "pos", (F.round("x", 6) + 0.0).alias("x"))
 
 
-@on_results("x02_sparse_weights", "SELECT token, count(*) AS n FROM (SELECT DISTINCT row_id, unnest(list_transform(regexp_extract_all(reason, '[a-zA-Z][a-zA-Z0-9]{1,}'), lambda x: lower(x))) AS token FROM (SELECT row_id, CASE event_id_k WHEN 0 THEN 'segment fault' ELSE 'wait timeout here' END AS reason FROM (SELECT row_id, row_id % 3 AS event_id_k FROM results))) GROUP BY token")
-def _(d):
-    text = F.when(F.col("row_id") % 3 == 0, "segment fault").otherwise("wait timeout here")
-    return C.token_weights(d, "row_id", T.sparse_tokens(text)).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-
-
-@on_results("j17_sparse_pairs")
-def _(d):
-    reasons = d.groupBy("reason").agg(F.min("row_id").alias("row_id"))
-    return _rounded(C.sparse_pairs(C.token_weights(reasons, "row_id", T.sparse_tokens(F.col("reason"))), "row_id", 0.2), "dot")
-
-
 # --- cascade, models, stream -----------------------------------------------------------------------------------------
 
 
@@ -260,17 +228,6 @@ def _masked(d: DataFrame) -> DataFrame:
     return d.where("result = 'FAIL'").select("row_id", "run_id", "type", "reason")
 
 
-@on_results("cl01_seeded")
-def _(d):
-    return A.seeded(_masked(d)).select("row_id", "text", "cluster_name", "assigned_by")
-
-
-@on_results("cl06_exact_groups", "SELECT type, n FROM (SELECT type, reason, count(*) AS n FROM results WHERE result = 'FAIL' AND run_no < 2 AND length(reason) BETWEEN 1 AND 110 GROUP BY ALL) WHERE n >= 2")
-def _(d):
-    rows = _masked(d.where("run_no < 2")).select("row_id", "type", F.col("reason").alias("text"), F.lit(None).cast("string").alias("cluster_name"), F.lit(None).cast("string").alias("assigned_by"))
-    return A.exact(rows).where("cluster_name is not null").groupBy("type", "cluster_name").agg(F.count(F.lit(1)).alias("n")).select("type", "n")
-
-
 @on_results("cl08_sparse_groups")
 def _(d):
     rows = cut(A.seeded(_masked(d)))
@@ -290,7 +247,6 @@ def _(spark, sf):
     return A.relabelled(rows, F.broadcast(names)).groupBy(F.col("cluster_name").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-register("cl15_outliers")(lambda s, f: _rounded(A.outliers(table(s, f, "embeddings"), cut=1.005), "lof"))
 
 
 @on_results("cl23_cascade")
@@ -303,24 +259,6 @@ def _(d):
     return d.select("row_id", M.rule_class(F.col("reason")).alias("class"))
 
 
-@on_results("x09_summary", "SELECT cluster_name, pattern, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY cluster_name ORDER BY n DESC, pattern) AS rank FROM (SELECT cluster_name, regexp_replace(reason, '\\bpid: \\d+', 'pid: <NUM>') AS pattern, count(*) AS n FROM (SELECT cluster_name, CASE WHEN row_id % 2 = 0 THEN 'Wait pid: 7' ELSE 'Crash' END AS reason FROM results) GROUP BY ALL)) WHERE rank <= 5")
-def _(d):
-    rows = d.select("cluster_name", F.when(F.col("row_id") % 2 == 0, "Wait pid: 7").otherwise("Crash").alias("reason"))
-    return M.summary(rows, "cluster_name", "reason")
-
-
-@on_results("x06_masked_groups", "SELECT count(DISTINCT g) AS groups FROM (SELECT 'step ' || (row_id % 3 < 1) AS g FROM results)")
-def _(d):
-    rows = d.select("row_id", F.concat(F.lit("step "), (F.col("row_id") % 3 < 1).cast("string"), F.lit(" took "), F.col("row_id").cast("string"), F.lit(" ms")).alias("t"))
-    return M.masked_groups(rows, "row_id", "t").agg(F.count_distinct("group").alias("groups"))
-
-
-@on_results("sc32_approvals", "SELECT row_id, cast(row_id % 2 AS int) AS approvers FROM results WHERE run_no = 6")
-def _(d):
-    votes = F.array(F.struct(F.lit("a").alias("who"), (F.col("row_id") % 2 + 1).cast("int").alias("vote")), F.struct(F.lit("b").alias("who"), F.lit(-1).alias("vote")))
-    return _run(d, 6).select("row_id", F.size(F.filter(votes, lambda v: v["vote"] == 2)).alias("approvers"))
-
-
 # --- the rest of the filters, joins, sets and scalars ------------------------------------------------------------------
 
 on_results("f09_projection", "SELECT row_id, type AS test_type FROM results")(lambda d: d.drop(*[c for c in ("embedding", "bins") if c in d.columns]).select([c for c in ("row_id", "type", "absent") if c in d.columns]).withColumnRenamed("type", "test_type"))
@@ -328,7 +266,6 @@ on_results("f15_suppressed", "SELECT row_id FROM results WHERE NOT contains(coal
 on_results("f16_persisted", "SELECT row_id FROM results WHERE cluster_name NOT IN ('Cluster1', 'Cluster2') AND value IS NOT NULL")(lambda d: d.where(~F.col("cluster_name").isin("Cluster1", "Cluster2") & F.col("value").isNotNull()).select("row_id"))
 on_results("f18_valid_sheets", "SELECT DISTINCT cluster_name FROM results WHERE trim(cluster_name) <> ''")(lambda d: d.where(F.trim("cluster_name") != "").select("cluster_name").distinct())
 on_results("j05_requeue", "SELECT run_no FROM (SELECT DISTINCT run_no FROM results) WHERE run_no NOT IN (2, 3) ORDER BY run_no OFFSET 4")(lambda d: G.requeue(d.select("run_no").distinct(), d.where("run_no in (2, 3)").select("run_no").distinct(), "run_no", "run_no", most=5, trim=4))
-on_results("j09_type_changes", "SELECT DISTINCT type, runtime, CASE WHEN lower(type) IN ('converter','quantizer') THEN lower(type) ELSE runtime END AS change_key FROM results")(lambda d: d.select("type", "runtime").distinct().withColumn("change_key", F.when(F.lower("type").isin("converter", "quantizer"), F.lower("type")).otherwise(F.col("runtime"))))
 register("j13_valid_previous_release", f"{_WITH_PARTS}, c AS (SELECT run_id, floor(100 * count(*) FILTER (exec_status = 'COMPLETED') / count(*)) AS done FROM results GROUP BY run_id) SELECT a.run_id, (SELECT b.run_id FROM p b JOIN c USING (run_id) WHERE done >= 90 AND b.prefix = a.prefix AND (b.major, b.minor) < (a.major, a.minor) ORDER BY b.major DESC, b.minor DESC, b.rc DESC, b.run_id DESC LIMIT 1) AS previous_release FROM p a")(lambda s, f: G.valid_previous_releases(G.run_table(results(s, f)), G.completion(results(s, f), "run_id")))
 on_results("ag16_sparse_centroids", "SELECT type, token, round(sum(w) / any_value(m), 6) AS weight FROM (SELECT type, runtime AS token, value AS w, count(*) OVER (PARTITION BY type) AS m FROM results) GROUP BY type, token")(lambda d: _rounded(C.sparse_centroids(d.select("row_id", "type", F.col("runtime").alias("token"), F.col("value").alias("weight")), "row_id", "type"), "weight"))
 on_results("ag20_distinct_changes", "SELECT DISTINCT run_id || '/' || type AS url FROM results")(lambda d: d.select(F.concat_ws("/", "run_id", "type").alias("url")).dropDuplicates(["url"]))
@@ -340,10 +277,8 @@ on_results("t01_latest_runs", "SELECT DISTINCT run_id FROM results ORDER BY run_
 on_results("t08_samples", "SELECT cluster_class, row_id FROM (SELECT *, row_number() OVER (PARTITION BY cluster_class ORDER BY row_id) AS rn FROM results) WHERE rn <= 80")(lambda d: S.first_rows(d, ["cluster_class"], ["row_id"], 80).select("cluster_class", "row_id"))
 on_results("u02_tagged_union", "SELECT row_id, lower(type) AS cluster_type FROM results WHERE lower(type) IN ('inference', 'verifier')")(lambda d: d.where("type = 'inference'").select("row_id", F.lit("inference").alias("cluster_type")).unionByName(d.where("type = 'verifier'").select("row_id", F.lit("verifier").alias("cluster_type"))))
 on_results("u06_ordered_distinct", "SELECT row_id, array_to_string(CASE WHEN soc = host THEN [soc] ELSE [soc, host] END, ',') AS names FROM results")(lambda d: d.select("row_id", F.array_join(F.array_distinct(F.array("soc", "host", "soc")), ",").alias("names")))
-on_results("u07_merged_lists", "SELECT key, string_agg(DISTINCT v, ',' ORDER BY v) AS merged FROM (SELECT type AS key, runtime AS v FROM results UNION ALL SELECT type, soc FROM results) GROUP BY key")(lambda d: d.groupBy(F.col("type").alias("key")).agg(F.array_join(F.array_sort(F.array_union(F.collect_set("runtime"), F.collect_set("soc"))), ",").alias("merged")))
 register("sc14_months_back", "SELECT o_orderkey, cast(o_orderdate - INTERVAL 3 MONTH AS date) AS back FROM orders")(lambda s, f: table(s, f, "orders").select("o_orderkey", F.add_months(F.to_date("o_orderdate"), -3).alias("back")))
 on_results("sc20_primary_type", "SELECT DISTINCT type, replace(lower(type), '_', '') IN ('inference', 'verifier', 'unittesthost') AS is_primary FROM results")(lambda d: d.select("type").distinct().withColumn("is_primary", F.replace(F.lower("type"), F.lit("_"), F.lit("")).isin("inference", "verifier", "unittesthost")))
 register("sc25_cosine", f"WITH {_UNITS} SELECT a.vec_id AS a, b.vec_id AS b, round(sum(a.x * b.x), 6) + 0.0 AS cosine FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 AND a.pos = b.pos GROUP BY ALL")(lambda s, f: table(s, f, "embeddings").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")).join(table(s, f, "embeddings").select((F.col("vec_id") - 1).alias("a"), F.col("vec_id").alias("b"), F.col("embedding").alias("y")), "a").select("a", "b", (F.round(V.cosine(F.col("x"), F.col("y")), 6) + 0.0).alias("cosine")))
-on_results("sc27_hybrid", "SELECT row_id, round(5.5e-1 * (value / 1000) + 4.5e-1 * ((row_id % 10) / 10), 9) AS score FROM results")(lambda d: d.select("row_id", F.round(V.hybrid(F.col("value") / 1000, F.col("row_id") % 10 / 10), 9).alias("score")))
 register("sc33_length", "SELECT doc_id, length(text) AS n FROM documents")(lambda s, f: table(s, f, "documents").select("doc_id", F.length("text").cast("long").alias("n")))
 register("snk03_filled_class", "WITH d AS (SELECT n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'old' END AS c FROM nation) SELECT name, coalesce(c, 'new') AS cluster_class FROM d")(lambda s, f: U.filled_class(table(s, f, "nation").select(F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 2 == 0, "old").alias("cluster_class")), table(s, f, "nation").select(F.col("n_name").alias("name"), F.lit("new").alias("cluster_class")), "name"))
