@@ -9,22 +9,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_S = r"[\s\x1c-\x1f]"
+#: White space, digits and word characters of Unicode, spelt out: faster than a flag that makes short classes mean them.
+_SPACES = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_S, _NOT_S, _D = f"[{_SPACES}]", f"[^{_SPACES}]", r"\p{Nd}"
 _W = r"[\p{L}\p{N}_]"
-_B = rf"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
 
 # Thresholds, patterns and their order, which results depend on.
 RAW_CAP, RAW_HEAD, RAW_TAIL = 20_000, 6_000, 14_000
 TRIM_CAP, TRIM_HEAD, TRIM_TAIL = 5_000, 1_500, 3_500
 CLEANUP_STEPS = (
-    (rf"(?Ud){_B}\d{{1,4}}(\.\d+)?ms{_B}", ""),
-    (rf"(?Udm)^\d+[:\-]{_S}*", ""),
-    (r"(?Ud)(?<=[^\s\x1c-\x1f])\n(?=[^\s\x1c-\x1f])", " "),
-    (r"(?Udi)build version:.*?(,|$)", ""),
-    (r"(?Udi)version:.*?\\b", ""),
+    (rf"(?<!{_W}){_D}{{1,4}}(\.{_D}+)?ms(?!{_W})", ""),
+    (rf"(?dm)^{_D}+[:\-]{_S}*", ""),
+    (rf"\n(?<={_NOT_S}\n)(?={_NOT_S})", " "),
+    (r"(?diu)build version:.*?(,|$)", ""),
+    (r"(?diu)version:.*?\\b", ""),
     (r"[\[\]'\"`]", " "),
-    (r"(?Ud)^[^a-zA-Z]+", ""),
+    (r"^[^a-zA-Z]+", ""),
 )
+# What a text must have for a step to change it; the step is skipped where it has not.
+CLEANUP_NEEDS = (rf"{_D}ms", None, None, "(?i)ver[s\u017f][i\u0131\u0130]on:", "(?i)ver[s\u017f][i\u0131\u0130]on:", None, None)
 # Two further steps would look for names with an underscore in camel case; the first two steps leave none of these.
 SPARSE_STEPS = (
     (r"([a-z])([A-Z])", "$1 $2"),
@@ -82,7 +85,25 @@ def preprocess(reason: Column) -> Column:
     """SC01: cap, seven clean-up steps, white space collapsed, lower case. NULL is the text 'nan'."""
     text = F.coalesce(reason, F.lit("nan"))
     text = F.when(F.length(text) > RAW_CAP, F.concat(F.substring(text, 1, RAW_HEAD), F.lit(" ... "), F.right(text, F.lit(RAW_TAIL)))).otherwise(text)
-    return F.lower(F.trim(F.regexp_replace(_steps(text, CLEANUP_STEPS), F.lit(rf"(?Ud){_S}+"), F.lit(" "))))
+    return _cleaned(text)
+
+
+def _cleaned(text: Column) -> Column:
+    for (pattern, to), need in zip(CLEANUP_STEPS, CLEANUP_NEEDS, strict=True):
+        held = text
+        if pattern == r"[\[\]'\"`]":  # single characters by single characters
+            text = F.translate(held, "[]'\"`", "     ")
+        elif need is None:
+            text = F.regexp_replace(held, F.lit(pattern), F.lit(to))
+        else:  # bound by a one-element array, so that what is before is computed once
+            text = F.transform(F.array(held), _guarded(need, pattern, to))[0]
+    # Single spaces between words are as they should be; only other runs are matched.
+    runs = rf"(?: {_S}|[{_SPACES}&&[^ ]]){_S}*"
+    return F.lower(F.trim(F.regexp_replace(text, F.lit(runs), F.lit(" "))))
+
+
+def _guarded(need: str, pattern: str, to: str):
+    return lambda t: F.when(t.rlike(need), F.regexp_replace(t, F.lit(pattern), F.lit(to))).otherwise(t)
 
 
 def for_sparse(reason: Column) -> Column:
@@ -97,8 +118,8 @@ def sparse_tokens(reason: Column) -> Column:
 
 def mask_numbers(text: Column) -> Column:
     """SC04: numbers with a unit of time become <TIME>, other standing numbers <NUM>."""
-    text = F.regexp_replace(text, F.lit(rf"(?Udi){_B}\d+(?:\.\d+)?{_S}*(h|hr|hrs|m|min|s|sec|ms){_B}"), F.lit("<TIME>"))
-    return F.regexp_replace(text, F.lit(rf"(?Ud)(?<!{_W})(\d+(\.\d+)?)(?!{_W})"), F.lit("<NUM>"))
+    text = F.regexp_replace(text, F.lit(rf"(?diu)(?<!{_W}){_D}+(?:\.{_D}+)?{_S}*(h|hr|hrs|m|min|s|sec|ms)(?!{_W})"), F.lit("<TIME>"))
+    return F.regexp_replace(text, F.lit(rf"(?<!{_W})({_D}+(\.{_D}+)?)(?!{_W})"), F.lit("<NUM>"))
 
 
 def trimmed(text: Column) -> Column:
