@@ -34,12 +34,16 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     its group has none with an id, and of equal ids the text of the least hash is kept. Null and empty texts link with
     nothing and stay.
     """
-    row = fresh(docs, "row")
-    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text")).dropDuplicates([row])
-    groups = jaccard_join.components_of(keyed.select(row, "text"), id_column=row, words=5, percent=80).select(F.col("doc_id").alias("name"), "component_id")
+    row, times = fresh(docs, "row"), fresh(docs, "times")
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    groups = jaccard_join.components_of(keyed.select(row, "text"), id_column=row, words=5, percent=80)
+    names = groups.groupBy(F.col("doc_id").alias("name"), "component_id").agg(F.count(F.lit(1)).alias("n"))
     place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", F.xxhash64("text").alias("hash"), F.col(row).alias("name"))
-    first = groups.join(keyed.select(F.col(row).alias("name"), place.alias("place")), "name").groupBy("component_id").agg(F.min("place")["name"].alias(row))
-    return keyed.join(first.select(row), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    places = keyed.select(F.col(row).alias("name"), place.alias("place")).distinct()
+    first = names.join(places, "name").groupBy("component_id").agg(F.min(F.struct("place", "n")).alias("f"))
+    chosen = keyed.join(first.select(F.col("f.place.name").alias(row), F.col("f.n").alias(times)), row)
+    once = chosen.where(F.col(times) == 1).unionByName(chosen.where(F.col(times) > 1).dropDuplicates([row]))
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

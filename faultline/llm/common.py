@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 
 import numpy as np
@@ -12,6 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.sources.shared import cut, folder
+
+__all__ = ["cut"]
+
 #: Bytes between words: space and the controls tab, LF, VT, FF, CR.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -50,21 +53,9 @@ def give_back() -> None:
         return
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where that setting is missing, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        current = spark.sparkContext.getCheckpointDir()
-        if current:
-            return current
-        root = f"file://{tempfile.mkdtemp(prefix='faultline-')}"
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -74,12 +65,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint()
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """name, with as many underscores before it as tell it apart from df's columns."""
     taken = {c.lower() for c in df.columns}
@@ -92,10 +77,14 @@ def sql_ascii_lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def text_bytes(df: DataFrame, column: str) -> int:
+    """The bytes of all texts; one small aggregate over the whole table."""
+    return int(df.agg(F.sum(F.octet_length(F.col(column))).alias("n")).first()["n"] or 0)
+
+
 def bucket_count(df: DataFrame, column: str, target_bytes: int, least: int = 1) -> int:
-    """How many blocks of about target_bytes hold the column's bytes; one small aggregate over the whole table."""
-    total = df.agg(F.sum(F.octet_length(F.col(column))).alias("n")).first()["n"] or 0
-    return max(least, -(-int(total) // target_bytes))
+    """How many blocks of about target_bytes hold the column's bytes."""
+    return max(least, -(-text_bytes(df, column) // target_bytes))
 
 
 def blocked(df: DataFrame, id_column: str, text_column: str, blocks: int, *more: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocked, bucket_count, cached, counted, cut, distinct, from_planes, keep_only, to_planes
+from .common import blocked, cached, counted, cut, distinct, from_planes, keep_only, summed, text_bytes, to_planes
 
 LISTS = "bucket int, block int, planes binary, counts binary"
 CLASSES = "block int, bucket int, classes binary"
@@ -80,19 +80,26 @@ def shingler(words: int) -> Shingler:
     return _shinglers.setdefault(words, Shingler(words))
 
 
-def _dealt(sets: list[np.ndarray], buckets: int):
-    """A block's distinct shingles in order, in how many of its sets they are, and the edges of the buckets, which
-    are ranges of shingle numbers."""
+def _bits(total_bytes: int) -> int:
+    """Bits of a shingle's number by which its sets are counted: ten more than the corpus's bytes need, so that about
+    one in a thousand shingles meets another at any size of the corpus. One that does only seems shared: its sets are
+    compared in vain."""
+    return min(64, max(16, int(total_bytes).bit_length() + 10))
+
+
+def _dealt(sets: list[np.ndarray], buckets: int, bits: int):
+    """A block's distinct shingles (the leading bits of their numbers) in order, in how many of its sets they are, and
+    the edges of the buckets, which are ranges of numbers."""
     whole = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    values, n = counted(whole)
-    step = np.uint64((1 << 64) // buckets)
-    edges = np.searchsorted(values, np.arange(1, buckets, dtype=np.uint64) * step)
+    values, n = counted(whole >> np.uint64(64 - bits))
+    step = (1 << bits) // buckets + 1
+    edges = np.searchsorted(values, np.array([k * step for k in range(1, buckets)], np.uint64))
     return values, n, np.r_[0, edges, len(values)]
 
 
-def _lists(words: int, buckets: int):
+def _lists(words: int, buckets: int, bits: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        values, n, edges = _dealt(shingler(words).sets(table["body"].to_pylist()), buckets)
+        values, n, edges = _dealt(shingler(words).sets(table["body"].to_pylist()), buckets, bits)
         rows = [(b, key[0].as_py(), to_planes(values[x:y]), np.minimum(n[x:y], 255).astype(np.uint8).tobytes()) for b, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if x < y]
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table({c: pa.array([r[k] for r in rows], kinds[k]) for k, c in enumerate(("bucket", "block", "planes", "counts"))})
@@ -104,25 +111,26 @@ def _classes(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """For each block's shingles: 0 if no other set has it, else a class that grows with the number of sets."""
     lists = [from_planes(x) for x in table["planes"].to_pylist()]
     counts = np.concatenate([np.frombuffer(x, np.uint8) for x in table["counts"].to_pylist()])
-    values, at = np.unique(np.concatenate(lists), return_inverse=True)
-    total = np.bincount(at, weights=counts, minlength=len(values))
-    level = np.minimum(255, np.ceil(8 * np.log2(np.maximum(1, total)))).astype(np.uint8)[at]
+    keep_only("shingles")
+    whole = np.concatenate(lists)
+    values, total = summed(whole, counts)
+    level = np.minimum(255, np.ceil(8 * np.log2(np.maximum(1, total)))).astype(np.uint8)[np.searchsorted(values, whole)]
     edges = np.cumsum([0, *map(len, lists)])
     return pa.table({"block": table["block"], "bucket": table["bucket"], "classes": pa.array([level[x:y].tobytes() for x, y in zip(edges, edges[1:], strict=False)], pa.binary())})
 
 
-def _prefixes(words: int, buckets: int, percent: int):
+def _prefixes(words: int, buckets: int, percent: int, bits: int):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, classes: pa.Table) -> pa.Table:
         docs = docs.sort_by([("doc_id", "ascending"), ("body", "ascending")]) if docs.num_rows else docs
         sets = shingler(words).sets(docs["body"].to_pylist())
-        values, _, edges = _dealt(sets, buckets)
+        values, _, edges = _dealt(sets, buckets, bits)
         level = np.zeros(len(values), np.uint8)
         for b, raw in zip(classes["bucket"].to_pylist(), classes["classes"].to_pylist(), strict=True):
             level[edges[b] : edges[b + 1]] = np.frombuffer(raw, np.uint8)
         vertices, prefixes = [], []
         for own in sets:
             n = len(own)
-            rank = level[np.searchsorted(values, own)]
+            rank = level[np.searchsorted(values, own >> np.uint64(64 - bits))]
             take = n - -(-percent * n // 100) + 1 if n else 0
             first = np.lexsort((own, rank))[:take]
             shared = own[first[rank[first] > 0]]
@@ -393,12 +401,13 @@ def components_of(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     told apart by text; an empty table gives no rows; other columns are ignored. Shingles are told apart by 64-bit
     hashes of 64-bit word hashes.
     """
-    blocks = bucket_count(docs, text_column, block_bytes)
+    total = text_bytes(docs, text_column)
+    blocks, bits = max(1, -(-total // block_bytes)), _bits(total)
     buckets = max(4, blocks)
     rows = blocked(docs, id_column, text_column, blocks)
-    lists = rows.groupBy("block").applyInArrow(_lists(words, buckets), LISTS)
+    lists = rows.groupBy("block").applyInArrow(_lists(words, buckets, bits), LISTS)
     classes = lists.groupBy("bucket").applyInArrow(_classes, CLASSES)
-    sets = cut(rows.groupBy("block").cogroup(classes.groupBy("block")).applyInArrow(_prefixes(words, buckets, percent), SETS))
+    sets = cut(rows.groupBy("block").cogroup(classes.groupBy("block")).applyInArrow(_prefixes(words, buckets, percent, bits), SETS))
     vertices = sets.filter("v is not null").groupBy("v").agg(F.min(F.struct("block", "row")).alias("at"), F.first("prefix").alias("prefix"))
     tokens = cut(vertices.select("v", F.explode("prefix").alias("token")))
     pivots = tokens.groupBy("token").agg(F.min("v").alias("pivot"), F.max("v").alias("last")).filter("pivot < last").select("token", "pivot")
