@@ -45,6 +45,16 @@ def table(mart: DataFrame, title: str) -> str:
     return f"<section><h2>{html.escape(title)}</h2><table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table></section>"
 
 
+def change_list(changes: DataFrame) -> str:
+    """RP08: changes (repository, url, message) as a list of lists; a change without an address is plain text, and none
+    at all is a dash."""
+    out: dict[str, list[str]] = {}
+    for r in changes.limit(SHOWN).collect():
+        text = html.escape(r["message"] or r["url"] or "")
+        out.setdefault(r["repository"] or "", []).append(f"<li><a href='{html.escape(r['url'], quote=True)}'>{text}</a></li>" if r["url"] else f"<li>{text}</li>")
+    return "<ul>" + "".join(f"<li><b>{html.escape(k)}</b><ul>{''.join(v)}</ul></li>" for k, v in out.items()) + "</ul>" if out else "-"
+
+
 def bars(pairs: Iterable[tuple[str, int]]) -> str:
     """SC35: widths in percent of the largest; nothing for no pairs."""
     pairs = list(pairs)

@@ -95,3 +95,88 @@ def test_render_and_models():
 
     assert M.retried(flaky, sleep=lambda s: None) == "ok"
     assert M.halved(lambda x: x if len(x) < 3 else 1 / 0, list(range(8))) == list(range(8))
+
+
+def test_queue_works_in_order_and_goes_on_after_failures(spark, tmp_path):
+    import time
+
+    from faultline.streaming.queue import JobQueue
+
+    queue, seen = JobQueue(spark, f"file://{tmp_path}/q"), []
+
+    def work(run):
+        seen.append(run)
+        if run == "bad":
+            raise ValueError("no data")
+        if run == "slow":
+            time.sleep(3)
+
+    queue.add(["a", "bad", "a", "other"])
+    queue.add(["a", "slow"])
+    out = queue.drain(work, lambda r: r != "other", limit=1.0)
+    assert out == [("a", "done"), ("bad", "failed"), ("other", "skipped"), ("slow", "late")]
+    assert seen == ["a", "bad", "slow"] and queue.pending().count() == 0
+    assert queue.requeue() == ["bad", "slow"]
+    assert sorted(r.run_id for r in queue.pending().collect()) == ["bad", "slow"] and queue.failures().count() == 0
+
+
+def test_marts_are_kept_by_name(spark, tmp_path):
+    from faultline.sources import cache
+
+    store, built = cache.MartCache(spark, f"file://{tmp_path}/m"), []
+
+    def build(n):
+        built.append(n)
+        return spark.range(n)
+
+    assert store.get("x", lambda: build(3)).count() == 3 and store.get("x", lambda: build(4)).count() == 3
+    assert store.get("x", lambda: build(5), refresh=True).count() == 5 and built == [3, 5]
+    a, b = spark.range(4), spark.range(4).orderBy(F.col("id").desc())
+    assert cache.input_key(a, "id") == cache.input_key(b, "id") != cache.input_key(spark.range(5), "id")
+    (tmp_path / "c.yaml").write_text("a: 1\nb: [x]\n")
+    assert cache.read_config(str(tmp_path / "c.yaml")) == {"a": 1, "b": ["x"]}
+
+
+def test_client_answers_nested_or_nothing(spark, tmp_path):
+    import asyncio
+
+    from faultline.plans.client import RegressionClient, TooManyRows, nested
+
+    engine = Engine(spark, results(spark), f"file://{tmp_path}/state")
+    client = RegressionClient(engine)
+    answer = asyncio.run(client.cluster_info_async(OLD, NEW))
+    assert answer["status"] == 200 and sum(len(c) for t in answer["type"].values() for r in t.values() for c in r.values()) == 40
+    assert client.cluster_info(NEW, OLD) is answer and len(answer["model"]["m"]) == 40
+    engine.results = None
+    assert client.cluster_info(NEW, OLD) is answer and client.cluster_info(NEW, OLD, force=True) == {}
+    with pytest.raises(TooManyRows):
+        nested(results(spark), most=3)
+
+
+def test_repairs_chain_names_and_lose_no_row(spark):
+    from faultline.operators import dedupe as D
+
+    assert D.rename_chain([("a", "b", "a"), ("b", "c", "c"), ("c", "a", "a"), ("d", "e", "e")]) == {"b": "c", "a": "c", "d": "e"}
+    rows = spark.createDataFrame([(k, "t", f"n{k % 4}", [1.0, 0.02 * (k % 4)]) for k in range(12)] + [(99, "u", "z", [1.0, 0.0])], "row_id long, type string, cluster_name string, embedding array<double>")
+    out = D.deduplicated(rows, A.centroids(rows))
+    assert out.count() == 13 and {(r.type, r.cluster_name) for r in out.collect()} == {("t", "n0"), ("u", "z")}
+
+
+def test_reports_and_jobs(spark, tmp_path):
+    jobs = spark.createDataFrame([(NEW, "RUNNING"), ("ALFA-v2.30.0.250103103000_3-auto", "RUNNING"), ("BETA-x", "RUNNING")], "run_id string, state string")
+
+    class Jobs:
+        def jobs(self):
+            return jobs
+
+    engine = Engine(spark, results(spark), f"file://{tmp_path}/state")
+    got = {r.run_id: (r.status, r.failed) for r in engine.running_jobs(Jobs(), "ALFA", "auto").collect()}
+    assert got == {NEW: ("ok", 40), "ALFA-v2.30.0.250103103000_3-auto": ("no_data", None)}
+    rows = engine.run_clusters(NEW).cache()
+    names = engine.write_reports(f"file://{tmp_path}/r", "<t>", rows)
+    assert names == ["index", "model", "runtime", "soc", "stability", "type"]
+    assert "&lt;t&gt;" in "".join(r.value for r in spark.read.text(f"file://{tmp_path}/r/index").collect())
+    assert engine.health()["status"] == "ok"
+    assert engine.sparse_encode(spark.createDataFrame([(1, "Crash in node")], "row_id long, text string")).count() == 3
+    changes = spark.createDataFrame([("r", "http://A", "m<", 1), ("r", "http://a", "n", 2), (None, None, "o", 3)], "repository string, url string, message string, pos long")
+    assert "m&lt;" in engine.changes_page(changes) and ">n<" not in engine.changes_page(changes)

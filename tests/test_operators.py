@@ -65,3 +65,51 @@ def test_indel_ratio_by_definition():
 
     for a, b in (("abcdef", "abxdf"), ("", "x"), ("same", "same"), ("kitten", "sitting")):
         assert abs(C.indel_ratio(a, b) - 200 * lcs(a, b) / (len(a) + len(b))) < 1e-9
+
+
+def test_similar_texts_are_those_of_brute_force(spark):
+    import random
+
+    from faultline.operators import similar as N
+    from faultline.operators.cluster import indel_ratio
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab c1é") for _ in range(rng.randint(0, 40))) for _ in range(60)] + [f"crash in node {k} of {k * 7}" for k in range(40)]
+    df = spark.createDataFrame([(k, "t", x) for k, x in enumerate(texts)], "row_id long, type string, text string")
+    first = {}
+    for k, x in enumerate(texts):
+        first.setdefault(x, k)
+    names = {k: x for x, k in first.items() if x}
+    for least in (60.0, 85.0, 100.0):
+        want = {(a, b) for a in names for b in names if a < b and (len(names[a]) <= 50) == (len(names[b]) <= 50) and indel_ratio(names[a], names[b]) >= least}
+        assert {(r.a, r.b) for r in N.similar_texts(df, "type", "row_id", "text", least).collect()} == want
+
+
+def test_indel_ratio_by_dynamic_programming():
+    import random
+
+    from faultline.operators.cluster import indel_ratio
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b):
+                row[j + 1], before = (before + 1 if x == y else max(row[j + 1], row[j])), row[j + 1]
+        return row[-1]
+
+    rng = random.Random(1)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 12))) for _ in range(2))
+        assert indel_ratio(a, b) == (100.0 if not a + b else 200.0 * lcs(a, b) / (len(a) + len(b)))
+
+
+def test_density_clusters_with_core_distances(spark):
+    import numpy as np
+
+    from faultline.operators.cluster import hdbscan_labels
+
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(0, 0.1, (30, 2)), rng.normal(5, 0.1, (30, 2)), [[50.0, 50.0]]])
+    labels = hdbscan_labels(x, 5, 0.0, 5, "euclidean")
+    assert set(labels[:30]) == {0} and set(labels[30:60]) == {1} and labels[60] == -1
