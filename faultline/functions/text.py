@@ -26,8 +26,8 @@ CLEANUP_STEPS = (
     (r"[\[\]'\"`]", " "),
     (r"^[^a-zA-Z]+", ""),
 )
-# What a text must have for a step to change it; the step is skipped where it has not.
-CLEANUP_NEEDS = (rf"{_D}ms", None, None, "(?i)ver[s\u017f][i\u0131\u0130]on:", "(?i)ver[s\u017f][i\u0131\u0130]on:", None, None)
+# What a text must have, one of these, for a step to change it; found without a pattern, and the step skipped else.
+CLEANUP_NEEDS = (("ms",), (":", "-"), ("\n",), (":",), ("\\b",), (), ())
 # Two further steps would look for names with an underscore in camel case; the first two steps leave none of these.
 SPARSE_STEPS = (
     (r"([a-z])([A-Z])", "$1 $2"),
@@ -89,21 +89,22 @@ def preprocess(reason: Column) -> Column:
 
 
 def _cleaned(text: Column) -> Column:
-    for (pattern, to), need in zip(CLEANUP_STEPS, CLEANUP_NEEDS, strict=True):
-        held = text
-        if pattern == r"[\[\]'\"`]":  # single characters by single characters
-            text = F.translate(held, "[]'\"`", "     ")
-        elif need is None:
-            text = F.regexp_replace(held, F.lit(pattern), F.lit(to))
-        else:  # bound by a one-element array, so that what is before is computed once
-            text = F.transform(F.array(held), _guarded(need, pattern, to))[0]
+    for (pattern, to), needs in zip(CLEANUP_STEPS, CLEANUP_NEEDS, strict=True):
+        # Bound by a one-element array, so that what is before is computed once.
+        text = F.transform(F.array(text), _guarded(needs, pattern, to))[0] if needs else F.regexp_replace(text, F.lit(pattern), F.lit(to))
     # Single spaces between words are as they should be; only other runs are matched.
-    runs = rf"(?: {_S}|[{_SPACES}&&[^ ]]){_S}*"
-    return F.lower(F.trim(F.regexp_replace(text, F.lit(runs), F.lit(" "))))
+    other = _SPACES.replace(r"\s", r"\t-\r")
+    return F.lower(F.trim(F.regexp_replace(text, F.lit(rf"[{other}]{_S}*| {_S}+"), F.lit(" "))))
 
 
-def _guarded(need: str, pattern: str, to: str):
-    return lambda t: F.when(t.rlike(need), F.regexp_replace(t, F.lit(pattern), F.lit(to))).otherwise(t)
+def _guarded(needs: tuple[str, ...], pattern: str, to: str):
+    def step(text: Column) -> Column:
+        able = text.contains(needs[0])
+        for literal in needs[1:]:
+            able = able | text.contains(literal)
+        return F.when(able, F.regexp_replace(text, F.lit(pattern), F.lit(to))).otherwise(text)
+
+    return step
 
 
 def for_sparse(reason: Column) -> Column:
