@@ -153,6 +153,12 @@ def search(index: DataFrame, items: list[tuple[str, bytes]], width: int = 10, re
         for window in windows(text, width):
             where.setdefault(window, []).append(name)
     phrases = sorted(where.items())
+    # Each phrase as numbers of its terms, filled up by one that every shard has: a shard finds the phrases of which it
+    # has all terms at once, and looks at no others.
+    number = {t: k for k, t in enumerate(sorted({t for phrase, _ in phrases for t in phrase}))}
+    needs = np.full((len(phrases), max((len(p) for p, _ in phrases), default=1)), len(number), np.int32)
+    for k, (phrase, _) in enumerate(phrases):
+        needs[k, : len(phrase)] = [number[t] for t in phrase]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +166,12 @@ def search(index: DataFrame, items: list[tuple[str, bytes]], width: int = 10, re
                 shard = Shard(row)
                 names: list[set[str]] = [set() for _ in shard.ids]
                 spans: list[list[tuple[int, int]]] = [[] for _ in shard.ids]
-                for phrase, found in phrases:
+                present = np.zeros(len(number) + 1, bool)
+                present[[len(number), *(number[t] for t in shard.places if t in number)]] = True
+                able = np.ones(len(phrases), bool)
+                for column in needs.T:
+                    able &= present[column]
+                for phrase, found in (phrases[k] for k in np.flatnonzero(able).tolist()):
                     starts = shard.phrase(phrase) if reach is None else shard.near(phrase, reach)
                     if len(starts):
                         size = len(phrase) if reach is None else 1

@@ -264,7 +264,7 @@ def _joined(percent: int):
 
 # --- neighbourhoods too large for a task --------------------------------------------------------------------------
 
-ASSIGNED = "region long, v long, body binary, link long"
+ASSIGNED = "parent long, region long, v long, body binary, link long"
 
 
 def _assign(percent: int):
@@ -276,23 +276,24 @@ def _assign(percent: int):
         pv, vs = pivots["v"].to_pylist(), members["v"].to_pylist()
         sets = Sets([*pivots["body"].to_pylist(), *members["body"].to_pylist()])
         own = np.arange(len(pv), len(pv) + len(vs))
-        out: dict[str, list] = {"region": [], "v": [], "body": [], "link": []}
+        out: dict[str, list] = {"parent": [], "region": [], "v": [], "body": [], "link": []}
+        parent = key[0].as_py()
         distances = np.empty((len(pv), len(vs)))
         for i, p in enumerate(pv):
             distances[i], links = sets.measure(i, own, percent)
             for k in np.flatnonzero(links):
                 if vs[k] != p:
-                    for c, value in zip(out, (None, vs[k], None, p), strict=True):
+                    for c, value in zip(out, (parent, None, vs[k], None, p), strict=True):
                         out[c].append(value)
         inside = distances <= distances.min(0) + 2 * eps
         raws = members["body"].to_pylist()
         for i, p in enumerate(pv):
-            name = int.from_bytes(blake2b(f"{key[0].as_py()}/{p}".encode(), digest_size=8).digest(), "little", signed=True)
+            name = int.from_bytes(blake2b(f"{parent}/{p}".encode(), digest_size=8).digest(), "little", signed=True)
             for k in np.flatnonzero(inside[i]):
                 if vs[k] != p:  # its links are known
-                    for c, value in zip(out, (name, vs[k], raws[k], None), strict=True):
+                    for c, value in zip(out, (parent, name, vs[k], raws[k], None), strict=True):
                         out[c].append(value)
-        kinds = {"region": pa.int64(), "v": pa.int64(), "body": pa.binary(), "link": pa.int64()}
+        kinds = {"parent": pa.int64(), "region": pa.int64(), "v": pa.int64(), "body": pa.binary(), "link": pa.int64()}
         return pa.table({c: pa.array(out[c], kinds[c]) for c in kinds})
 
     return run
@@ -327,7 +328,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         near = both.join(labels.select(F.col("v").alias("y"), F.col("comp").alias("l")), "y").select(F.col("x").alias("v"), "l")
         lowest = near.groupBy("v").agg(F.min("l").alias("l")).join(labels, "v").select("v", "comp", F.least("l", "comp").alias("l"))
         hooks = lowest.filter("l < comp").groupBy(F.col("comp").alias("v")).agg(F.min("l").alias("h"))
-        hooked = lowest.join(hooks, "v", "left").select("v", "comp", F.least("l", F.coalesce("h", "l")).alias("l"))
+        # Cut here, so that the join by label reads plain rows of which Spark can split a hot label's.
+        hooked = cut(lowest.join(hooks, "v", "left").select("v", "comp", F.least("l", F.coalesce("h", "l")).alias("l")))
         jumped = hooked.join(hooked.select(F.col("v").alias("l"), F.col("l").alias("ll")), "l", "left").select("v", F.least("l", F.coalesce("ll", "l")).alias("new"), "comp")
         step = cut(jumped)
         changed = step.filter("new <> comp").limit(1).count()
@@ -364,20 +366,20 @@ def join_regions(members: DataFrame, percent: int, region_bytes: int = 16 << 20)
         pivots = chosen.withColumn("p", F.explode("p")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("region", "part", F.col("p.v").alias("v"), F.col("p.body").alias("body"))
         assigned = cut(large.select("region", "part", "v", "body").groupBy("region", "part").cogroup(pivots.groupBy("region", "part")).applyInArrow(_assign(percent), ASSIGNED))
         links.append(assigned.filter("link is not null").select("v", "link"))
-        cells = assigned.filter("link is null").select("region", "v", "body").distinct()
-        before = large.agg(F.max("m")).first()[0]
-        after = cells.groupBy("region").count().agg(F.max("count")).first()[0] or 0
-        if after <= 0.7 * before:
-            rest = cut(cells)
-            continue
+        cells = assigned.filter("link is null").select("parent", "region", "v", "body").distinct()
+        # Each region is judged for itself: one that its pivots don't make smaller isn't replicated any further.
+        after = cells.groupBy("parent", "region").count().groupBy("parent").agg(F.max("count").alias("after"))
+        before = large.groupBy(F.col("region").alias("parent")).agg(F.max("m").alias("before"))
+        smaller = cut(before.join(after, "parent", "left").filter(F.coalesce("after", F.lit(0)) <= 0.7 * F.col("before")).select("parent"))
+        rest = cut(cells.join(smaller, "parent", "left_semi").select("region", "v", "body"))
         # What pivots can't cut: portion against portion, a triangle of portions for each region.
-        left = large.select("region", "parts", "part", "v", "body")
+        dense = cut(large.join(smaller.withColumnRenamed("parent", "region"), "region", "left_anti"))
+        left = dense.select("region", "parts", "part", "v", "body")
         pair = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         upper = pair.select("region", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "v", "body")
         first = upper.filter("part = i").select("region", "i", "j", "v", "body")
         second = upper.filter("part = j").select("region", "i", "j", "v", "body")
         links.append(cut(first.groupBy("region", "i", "j").cogroup(second.groupBy("region", "i", "j")).applyInArrow(_links(percent), "v long, link long")))
-        break
     local = done[0]
     for more in done[1:]:
         local = local.union(more)

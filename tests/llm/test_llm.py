@@ -471,3 +471,37 @@ def test_pipeline_stages_keep_clashing_columns(spark, tmp_path):
         assert out.columns == docs.columns
         got = {r.doc_id: tuple(r) for r in out.collect()}
         assert all(got[i][5:] == r[5:] and got[i][1] == r[1] for i, r in clean.items()), name
+
+
+def test_region_that_pivots_cannot_cut_is_not_replicated(spark, monkeypatch):
+    """Beside a region in four groups, one of unrelated sets: the first is cut, the other compared portion by portion."""
+    rng = np.random.default_rng(0)
+    rows = []
+    for g in range(4):
+        base = rng.integers(1, 1 << 62, 60)
+        for k in range(40):
+            own = base.copy()
+            own[rng.integers(0, 60, 2)] = rng.integers(1, 1 << 62, 2)
+            rows.append((1, 100 * g + k, np.unique(own).astype("<u8").tobytes()))
+    rows += [(2, 1000 + k, np.unique(rng.integers(1, 1 << 62, 60)).astype("<u8").tobytes()) for k in range(60)]
+    seen = []
+    real = jaccard_join._portions
+    monkeypatch.setattr(jaccard_join, "_portions", lambda m, b: (seen.append(m.count()), real(m, b))[1])
+    members = spark.createDataFrame(rows, jaccard_join.MEMBERS)
+    got = {r.v: r.comp for r in jaccard_join.join_regions(members, 85, 12_000).collect()}
+    sets = {v: set(np.frombuffer(b, "<u8").tolist()) for _, v, b in rows}
+    up = {v: v for v in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    assert {v: got.get(v, v) for v in ids} == {v: root(v) for v in ids}
+    assert max(seen) <= 2 * len(rows)
