@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import vectors as V
+from faultline.sources.shared import cut
 
 
 def centroids(df: DataFrame, key: str = "label", vector: str = "embedding") -> DataFrame:
@@ -23,7 +24,9 @@ PACKED = 2048
 
 
 def _numbered(cents: DataFrame, key: str) -> tuple[DataFrame, int]:
-    """Centroids dealt to packs of about PACKED by a hash of their key, and the number of packs."""
+    """Centroids dealt to packs of about PACKED by a hash of their key, and the number of packs. They are computed once:
+    counted and used on two sides, they would else be made out of all rows each time."""
+    cents = cut(cents)
     n = max(1, -(-cents.count() // PACKED))
     return cents.withColumn("_p", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), n
 
@@ -31,7 +34,7 @@ def _numbered(cents: DataFrame, key: str) -> tuple[DataFrame, int]:
 def centroid_pairs(cents: DataFrame, least: float = 0.85, key: str = "label") -> DataFrame:
     """Pairs of centroids (one row per cluster; the smaller key first) at least that similar. Packs of centroids
     meet pack by pack, a triangle of them, so no task and no broadcast holds more than two."""
-    numbered, n = _numbered(cents, key)
+    numbered, n = _numbered(cents.select(key, "centroid"), key)
     other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     sides = numbered.select(key, "centroid", "_p", other.alias("_q")).select(key, "centroid", F.least("_p", "_q").alias("_i"), F.greatest("_p", "_q").alias("_j"), "_p")
     a = sides.where("_p = _i").select("_i", "_j", F.col(key).alias("a"), F.col("centroid").alias("ca"))
@@ -55,7 +58,7 @@ def nearest_centroid(df: DataFrame, cents: DataFrame, row: str = "vec_id", key:
     broadcast and rows don't move; with more, each row meets the packs by their number, and its best of each are
     compared.
     """
-    numbered, n = _numbered(cents, key)
+    numbered, n = _numbered(cents.select(key, "centroid"), key)
     packs = numbered.groupBy("_p").agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col("centroid").alias("c"))).alias("cents"))
     rows = df.select(row, V.unit(F.col(vector)).alias("u"))
     if n == 1:
