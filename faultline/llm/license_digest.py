@@ -33,13 +33,96 @@ _APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you
 http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
 
+#: SHA-256 digests of the canonical forms of whole licence texts as they are published, of the same without
+#: their title, and of those with an appendix up to the end of their terms. Made by canonical(); a test makes them again.
+FULL_TEXTS = {
+    "Apache-2.0": (
+        "7418686c7053aa062b5f4ba0ecd6a7e318f58c99e584c6faef82e5400e9ecd23",
+        "675dc18f238f72930d98e1cb805e32df9085613bf6dccfb3d51b23e641f6c967",
+        "e22c7971c97b3a0bbf2be043859105b303bf4d6ddfa29d6d427b5e0ee953ca34",
+        "3a9547b952a88ca54c78d2b60cdd623f1fa1ab2f45765429bd811c4bd77e143d",
+        "96e8ed74be80eab81f4c00b8f906e4f962b7c706dbadd8db22e2b6ae9d404877",
+        "3223f9b5aa8abc89c1782d3a81a1d6b15faf80dd6b0ebb6415cc0d5f2da3e2f2",
+    ),
+    "Artistic-1.0-Perl": (
+        "1357a9bd62a6cd762ce57365ccec76b0e1e966641d8088b1ac242233896ef822",
+        "021a8d650350dc85d47f74be350ce6e0e3c86412324cdfe03cc91504363cd596",
+    ),
+    "CC0-1.0": (
+        "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+        "a142ae38742c8c4c35f5fa19e0a40ebfa60fc38535daf9c570ca3d7e012e1e32",
+    ),
+    "GFDL-1.2": (
+        "84d1ed915e17aaa5b82f4ee40ec049ee8ad206bf2e5d2d146d1218be88602bbd",
+        "8b1a4faa5cfb09ff71e6d7c194241622454a6a000ea9167237e0158d7299646c",
+    ),
+    "GFDL-1.3": (
+        "d4a4f0fa89572488be676840e1bf655767a7dc5085a138f4abd486d1c1f5ae67",
+        "1dbda19c7aa7e1d135ce652fa6c7ee15ce34901ad543ef0e649687611d95fc36",
+    ),
+    "GPL-1.0": (
+        "88c0d32b6685976f91edcbb228c50498a7324b47880b82b90b4b86377ca82e38",
+        "3b5b36de4a3801680b9eb44e80739b3aeb71c4bf6ca623ee5f87b2e2b03d3ed9",
+        "4575f8cf583cfe5694de121df7d28ae3c2043234ee2357a6bc38c20fc1856cf0",
+        "256e3d0ecfa732097e9a5b95aea8d52bd362751f607c737310f3dde263b7686f",
+        "9c1cba0e3fa73a3af6aad956544deeda7b5f12c0251bbc82bd653495b9493dd8",
+    ),
+    "GPL-2.0": (
+        "5147a46525fc36b30edbb3469564d4930add19b5b86c56d8d58e084575fd474a",
+        "5e9874a182b8e50f136aed39c11d5b872aaa6c94c59b0780c37559869ffd0faa",
+        "86098a2eb6cf32b7d85f76517aa2010296c2522588f6d7676bde1230c5ac9041",
+        "df74d1d65189e3d4fe92e5b6d84a9591ee7a3460acfdb7914f9f390894824b94",
+        "ed2838971ab3081a30bbbbc62522626c6737322758a881149c0c282f6776b0e5",
+    ),
+    "GPL-3.0": (
+        "32d10c0db69b7ef80cac161389f3769156e6d1c8ed4ab85c436304f6a35e2809",
+        "e7be52dd11d32bcd4f9b2533565f279d2a271123489364950a2eb799a9545bd9",
+        "269d068058687f765d68282dcf5a4d0df2ebffa5be660a5748351d1aaeb192fa",
+        "b9dc8966112066c071df18ef9b6e395a8da51ec9d30444629b4043e359b868f5",
+        "564fc0bff911db6b69636a30f61b1e8dadd6b97b92e8061fdd112ae7c1d9f62b",
+    ),
+    "LGPL-2.0": (
+        "a0bf38390cb2f2420aab34355ffae4e3a040e7648b7ba67f1e34044403228cf9",
+        "c2cefe189596f86dbbdab4ca8b161c6262f8b0d574184ce87144b676eb4e7d0a",
+        "3bb3f2f987ac797968f7655d8946e3fb45c8ed8e489b8090b8c2957416070991",
+        "30913a2e1e0b7c556d1f0afd91152682987d924fdd3d4229e7829412ae7dbca8",
+        "303f01e47e25c79e2f6b8ba49344172a19ecce0d8873a95ddb7064acc425aa37",
+    ),
+    "LGPL-2.1": (
+        "775b78fea7d86d7b01dfe3028892476b10fc3f78b22fd69513911710f16d8da6",
+        "0948f7f91046d0736fbe4b1285c1418c43656d51b8a98c2690fd48e68a51284e",
+        "14d2766e74523a520125045c7df201c048aea2169d95faf662634c49a477ae7d",
+        "80522cf615b67581bddbc5ef23a34b8da91f63960c0a6380b830fa8f17c488ec",
+        "4b6c7487aa6d4349e99fdcc177fa3741d1237ff85e7906b1c8422d26d90b65a5",
+    ),
+    "LGPL-3.0": (
+        "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+        "13980739d6423be0921994d8ce3ce547437735b0e6733161f70b19c962f194b7",
+    ),
+    "MPL-1.1": (
+        "f7acdbee0d4664d81de2d7cd8ed816ec6b9a21e93ce84fb85ed3b6ec5ce41094",
+        "539b3cf06c59325232c8a47dd6cc32bde761f94266607c2f1b3ee76463137dc7",
+    ),
+    "MPL-2.0": (
+        "cdb5877b9b73b693216820ac5a0090510c6fd9df7c38876e551b865cce774ddd",
+        "90fcd23b0846624d43b899aae459ed8041d0feb90c23f403907654edfa397784",
+    ),
+    "Unlicense": (
+        "e2380bdfe57ca73b01d0b1848a4ee630998d729b260e63082b9267100b4a7229",
+    ),
+    "Zlib": (
+        "1b8c5cd52eceb19ab0bc3cb40be110b1c0e7fa2671a3fe5866e59dd1502e69c7",
+    ),
+}
+
 
 def _bsd(clauses: tuple[str, ...], marks: tuple[str, ...]) -> str:
     return _BSD_HEAD + "".join(f"{m} {c}" for m, c in zip(marks, clauses, strict=True)) + _BSD_TAIL
 
 
 def known_texts() -> list[tuple[str, str]]:
-    """(licence id, text): full texts of short licences, and the notices by which texts name a licence."""
+    """(licence id, text): full texts of short licences, and the notices by which texts name a licence. Those of long
+    licences are known by their digests alone (FULL_TEXTS)."""
     two, three = (_BSD_ONE, _BSD_TWO), (_BSD_ONE, _BSD_TWO, _BSD_THREE)
     out = [("MIT", _MIT), ("MIT", "MIT License\n" + _MIT), ("MIT", "The MIT License\n" + _MIT), ("MIT", "The MIT License (MIT)\n" + _MIT), ("ISC", _ISC), ("ISC", "ISC License\n" + _ISC), ("0BSD", _ZERO_BSD), ("Apache-2.0", _APACHE)]
     for name, clauses in (("BSD-2-Clause", two), ("BSD-3-Clause", three)):
@@ -80,7 +163,7 @@ def canonical_column(text: Column) -> Column:
 
 def known_digests() -> list[tuple[str, str]]:
     """(digest, licence id), each digest once; a few hundred rows, from fixed texts."""
-    out: dict[str, str] = {}
+    out: dict[str, str] = {digest: code for code, digests in FULL_TEXTS.items() for digest in digests}
     for code, text in known_texts():
         out.setdefault(hashlib.sha256(canonical(text).encode()).hexdigest(), code)
     return sorted(out.items())

@@ -505,3 +505,19 @@ def test_region_that_pivots_cannot_cut_is_not_replicated(spark, monkeypatch):
                 up[max(x, y)] = min(x, y)
     assert {v: got.get(v, v) for v in ids} == {v: root(v) for v in ids}
     assert max(seen) <= 2 * len(rows)
+
+
+def test_whole_licence_texts_are_known(spark):
+    """Texts that this machine has, as they are and with other case, white space and copyright lines."""
+    from pathlib import Path
+
+    folder = Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = [(code, (folder / name).read_text()) for name, code in names.items() if (folder / name).exists()]
+    if not texts:
+        pytest.skip("no licence texts here")
+    rows = []
+    for code, text in texts:
+        rows += [(len(rows), text), (len(rows) + 1, "Copyright (c) 2024 Someone\n\n" + text.upper().replace("\n", "\n  "))]
+    got = {r.doc_id: r.whole_license for r in license_digest.scan(table(spark, [*rows, (99, texts[0][1] + " and more")])).collect()}
+    assert got == {**{k: texts[k // 2][0] for k in range(len(rows))}, 99: None}
