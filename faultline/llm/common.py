@@ -54,8 +54,23 @@ def give_back() -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; what is written there is deleted when the application ends."""
+    root = f"{folder(spark)}/scratch-{spark.sparkContext.applicationId}"
+    files, at = _files(spark, root)
+    if files.mkdirs(at):
+        files.deleteOnExit(at)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more."""
+    files, at = _files(spark, path)
+    files.delete(at, True)
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -87,15 +102,16 @@ def bucket_count(df: DataFrame, column: str, target_bytes: int, least: int = 1)
     return max(least, -(-text_bytes(df, column) // target_bytes))
 
 
-def blocked(df: DataFrame, id_column: str, text_column: str, blocks: int, *more: str) -> DataFrame:
-    """(block, doc_id, body): rows dealt to blocks by a hash of the id, bodies as UTF-8 bytes, null as empty.
+def dealt(id_column: str, text_column: str, blocks: int) -> Column:
+    """A row's block: by a hash of its id and text, so that neither a hot id nor a hot text alone fills a block. Only
+    rows equal in both share one for sure; the same rows are in the same blocks whenever they are dealt."""
+    return F.pmod(F.xxhash64(F.col(id_column), F.col(text_column)), F.lit(blocks)).cast("int")
+
 
-    Rows with a missing id are dealt by their text's hash, so that they don't meet in one block; no text
-    decides for rows with an id, so rows that share an id share a block.
-    """
-    key = F.when(F.col(id_column).isNull(), F.xxhash64(F.col(text_column))).otherwise(F.xxhash64(F.col(id_column)))
+def blocked(df: DataFrame, id_column: str, text_column: str, blocks: int, *more: str) -> DataFrame:
+    """(block, doc_id, body): rows dealt to blocks, bodies as UTF-8 bytes, null as empty."""
     return df.select(
-        F.pmod(key, F.lit(blocks)).cast("int").alias("block"),
+        dealt(id_column, text_column, blocks).alias("block"),
         F.col(id_column).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary").alias("body"),
         *more,

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, counted, distinct, flat, from_planes, keep_only, stored, summed, to_planes
+from .common import bucket_count, counted, dealt, distinct, flat, from_planes, keep_only, stored, summed, to_planes
 
 END = 0xFF
 LN2 = float(np.log(2.0))
@@ -407,9 +407,8 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
         raise ValueError("depth must be from 2 to 7")
     blocks = bucket_count(docs, text_column, block_bytes)
     buckets = max(4, blocks)
-    key = F.when(F.col(id_column).isNull(), F.xxhash64(F.col(text_column))).otherwise(F.xxhash64(F.col(id_column)))
     rows = docs.select(
-        F.pmod(key, F.lit(blocks)).cast("int").alias("block"),
+        dealt(id_column, text_column, blocks).alias("block"),
         F.col(id_column).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary").alias("body"),
         (F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % folds != held_fold).alias("learn"),

@@ -202,8 +202,13 @@ def base_failed() -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", sample: int = SAMPLE) -> DecisionList:
-    """Learns from at most `sample` labelled documents that pass the base rules. Rows without a label or an id aren't
-    used; without any labelled row the list is empty and all is good."""
+    """Learns from at most `sample` labelled documents that pass the base rules.
+
+    Rows without a label or an id aren't used, null texts have no words and so fail the base rules. Of several labels of
+    an id the least counts; repeated rows of a labelled id each count. Of equal gains the first feature and threshold
+    wins, so the list is the same whenever it is learned. Without any labelled row, or an empty table, the list is empty
+    and all that passes the base rules is good.
+    """
     known = labels.select(F.col(id_column).alias("_id"), F.col(label_column).cast("int").alias("_label")).where("_id is not null and _label is not null").groupBy("_id").agg(F.min("_label").alias("_label"))
     present = known.join(docs.select(F.col(id_column).alias("_id")).distinct(), "_id", "left_semi")
     drawn = present.orderBy(F.xxhash64("_id"), "_id").limit(sample)
@@ -216,6 +221,10 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 
 
 def apply(docs: DataFrame, rules: DecisionList, text_column: str = "text") -> DataFrame:
-    """docs with statistics, base_failed, rule (the first that matches, 0: none) and kept."""
+    """docs with statistics, base_failed, rule (the first that matches, 0: none) and kept.
+
+    A row for each input row, repeated ones alike; null and empty texts fail the base rules; a value equal to a
+    threshold is on the side that the rule's condition says; an empty table gives no rows.
+    """
     out = statistics(docs, text_column).withColumn("base_failed", base_failed()).withColumn("rule", rules.column())
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))

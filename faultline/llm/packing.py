@@ -86,7 +86,10 @@ def assign(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each size, larger sizes first: what would be left open is then closed by small ones."""
     rule = SumOfSquares(capacity)
     bins, offsets = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-    for k in np.argsort(-sizes, kind="stable").tolist():
+    full = sizes == capacity  # a bin each, and no gap left to weigh
+    rule.bins = int(full.sum())
+    bins[full] = np.arange(rule.bins)
+    for k in np.argsort(-sizes, kind="stable")[rule.bins :].tolist():
         bins[k], offsets[k] = rule.place(int(sizes[k]))
     return bins, offsets
 
@@ -94,9 +97,9 @@ def assign(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 def pack(items: DataFrame, groups: int, capacity: int = 1024) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32).
 
-    Pieces are dealt over groups of bounded size by a hash of their place, and each group is packed on its own;
-    a group leaves at most a few bins open. Full pieces need no packing: each is a sequence of its own, numbered in
-    its group as well.
+    Pieces are dealt over groups of bounded size by a hash of themselves and of their row's place in the input, so
+    that equal rows are spread as well, and each group is packed on its own; a group leaves at most a few bins open.
+    Full pieces need no packing: each is a sequence of its own, numbered in its group as well.
     """
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -105,7 +108,7 @@ def pack(items: DataFrame, groups: int, capacity: int = 1024) -> DataFrame:
         table = table.drop_columns(["grp"])
         return table.append_column("sequence_id", pa.array(bins + (np.int64(key[0].as_py()) << np.int64(40)), pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
-    dealt = items.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
+    dealt = items.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
     return dealt.groupBy("grp").applyInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 

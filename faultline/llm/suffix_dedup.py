@@ -139,22 +139,16 @@ def in_order(table: pa.Table) -> pa.Table:
 
 
 def row_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row: its id (missing: the least), and its place among rows of that id.
-
-    Rows that share an id share a block, so their number there is their place. Rows without an id share a block only
-    if their texts are equal: their place is a hash of the text, and the number among rows of that hash.
-    """
-    missing = np.asarray(table["doc_id"].is_null())
-    ids = np.array([np.iinfo(np.int64).min if v is None else v for v in table["doc_id"].to_pylist()], np.int64) if missing.any() else table["doc_id"].to_numpy().astype(np.int64)
-    rank = _number(ids)
-    if missing.any():
-        names = np.array([text_order(t) for t in table["body"].filter(table["doc_id"].is_null()).to_pylist()], np.int64)
-        rank[missing] = names + np.minimum(_number(names), (1 << 24) - 1)
-    return ids, rank
+    """Of each row: its id (missing: the least), and its place among rows of that id: a hash of its text, then its
+    number among equal rows, which share a block."""
+    ids = np.array([np.iinfo(np.int64).min if v is None else v for v in table["doc_id"].to_pylist()], np.int64)
+    names = np.array([text_order(t) for t in table["body"].to_pylist()], np.int64)
+    _, pair = np.unique(np.stack([ids, names], 1), axis=0, return_inverse=True) if len(ids) else (None, ids)
+    return ids, names + np.minimum(_number(pair.ravel()), (1 << 24) - 1)
 
 
 def text_order(text: bytes) -> int:
-    """What orders rows without an id: 39 bits of a hash, with room for 24 more."""
+    """What orders rows that share an id, or lack one: 39 bits of a hash, with room for 24 more."""
     return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little") >> 25 << 24
 
 
@@ -455,8 +449,8 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """Removes every byte that lies in a `length` bytes long string which also starts earlier in the corpus.
 
     Texts count as UTF-8 bytes; earlier means a smaller id, or the same row and an earlier start; matches may
-    overlap and never cross rows; all strings are judged on the input. Rows that share an id are ordered by text, rows
-    without an id come before all others and are ordered by a hash of their text (text_order), equal rows in any way. Null and empty texts have no bytes and lose none. An empty table gives an
+    overlap and never cross rows; all strings are judged on the input. Rows without an id come before all others; rows
+    that share an id, or lack one, are ordered by a hash of their text (text_order), equal rows in any way. Null and empty texts have no bytes and lose none. An empty table gives an
     empty one; further columns are ignored.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (the remaining bytes), a row for

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .common import bucket_count
 from .token_ids import default_path, encoder
 
+#: Files at most: one row for each is summed up in one place, and sent to all tasks, to number documents throughout.
+MOST_FILES = 100_000
 ROWS = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
 #: Stripes small enough for many parallel readers; index entries every 1,000 rows.
 ORC_OPTIONS = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": str(16 << 20), "orc.row.index.stride": "1000", "orc.create.index": "true"}
@@ -23,10 +25,11 @@ def write(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: st
     Files hold disjoint ranges of ids (part numbers them in order); within a file rows are sorted, so stripe and row
     index statistics prune by id, and the Bloom filter answers point look-ups. Ids fit int and are stored as an
     array<int>, which ORC run-length encodes. local_start counts the ids of the file's earlier rows. Missing ids
-    come first; rows that share an id are ordered by text; null and empty texts are the end id alone.
+    come first; rows that share an id are ordered by a hash of their text; null and empty texts are the end id alone.
+    Files grow beyond file_bytes once there would be more than MOST_FILES of them.
     """
     file = tokenizer or default_path("word_bpe_49k.json")
-    parts = bucket_count(docs, text_column, file_bytes)
+    parts = min(MOST_FILES, bucket_count(docs, text_column, file_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, end = encoder(file), int(end_id).to_bytes(4, "little")
@@ -56,7 +59,7 @@ def write(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: st
                 yield rows(held, raws, part)
 
     flat = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("body"))
-    # Rows that share an id may not be split between ranges in another order than by text, hence the hash.
+    # Rows that share an id may be split between ranges: the hash orders them there, too.
     ranged = flat.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("body")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("body"))
     encoded = ranged.select(F.spark_partition_id().alias("part"), "doc_id", "body").mapInArrow(run, ROWS)
     encoded.write.mode("overwrite").options(**ORC_OPTIONS).orc(path)
@@ -70,7 +73,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def summary(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (the ids of all documents before it), n_tokens and ids_crc32, all from the files.
 
-    Only one row per file is summed up in one place.
+    Only one row per file, MOST_FILES at most, is summed up in one place and broadcast.
     """
 
     def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,6 +29,9 @@ GAP = 2
 LEAST = 0.3
 LANDMARKS = 96
 SAMPLE = 12_000
+#: Words of the sample from which landmarks are chosen, those most of toxic texts first; and of these again, by signed
+#: chi-square, so many for each landmark.
+CANDIDATES, FOR_EACH = 4_000, 6
 #: A word that similar to a stronger landmark is none itself.
 ALIKE = 0.9
 #: Texts of which a task holds the vectors at once.
@@ -244,7 +247,7 @@ def choose_landmarks(counts: list[tuple[str, int, int]], toxic: int, other: int,
         if a * other > 3 * b * toxic:
             expected = (a + b) * toxic / n
             scored.append(((a - expected) ** 2 / (expected + 0.5), word))
-    ranked = [word for _, word in sorted(scored, key=lambda s: (-s[0], s[1]))[: 6 * most]]
+    ranked = [word for _, word in sorted(scored, key=lambda s: (-s[0], s[1]))[: FOR_EACH * most]]
     alike = np.eye(len(ranked))
     if ranked:
         numbers, rows = Kernel(ranked).rows(ranked)
@@ -263,7 +266,7 @@ def _fold(id_column: str, folds: int):
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", folds: int = 4, held_fold: int = 2, sample: int = SAMPLE) -> Model:
     """Fits the model on at most `sample` labelled texts outside the held fold, those whose ids have the least hashes.
 
-    The bound keeps what the driver sees small: the counts of at most 4,000 words and the kernel vectors of the
+    The bound keeps what the driver sees small: the counts of at most CANDIDATES words and the kernel vectors of the
     sample. Rows without a label, an id or a text aren't used; with one class only, or none, the model returns the
     class's share.
     """
@@ -278,7 +281,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         toxic, other = sizes.get(1, 0), sizes.get(0, 0)
         words = texts.select((F.col("label") > 0).cast("long").alias("y"), F.explode(F.array_distinct(F.split(sql_ascii_lower(F.col("body")), SPACE))).alias("word")).where("word <> ''")
         counts = words.groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where("a >= 3")
-        counts = counts.orderBy((F.col("a") / (F.col("b") + 1)).desc(), "word").limit(4000).collect() if toxic and other else []
+        counts = counts.orderBy((F.col("a") / (F.col("b") + 1)).desc(), "word").limit(CANDIDATES).collect() if toxic and other else []
         landmarks = choose_landmarks([(r["word"], r["a"], r["b"]) for r in counts], toxic, other)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
