@@ -22,10 +22,11 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocked, cached, counted, cut, distinct, from_planes, keep_only, summed, text_bytes, to_planes
+from .common import blocked, counted, cut, distinct, from_planes, keep_only, summed, text_bytes, to_planes
 
 LISTS = "bucket int, block int, planes binary, counts binary"
 CLASSES = "block int, bucket int, classes binary"
@@ -36,48 +37,62 @@ PIVOTS = 16
 CELL = 48
 
 
-class Shingler:
-    """64-bit numbers of word shingles, the same in every process."""
-
-    def __init__(self, words: int) -> None:
-        self.words = words
-        self.known: dict[bytes, int] = {}
-
-    def sets(self, texts: list[bytes]) -> list[np.ndarray]:
-        known, out = self.known, []
-        if len(known) > 300_000:
-            known.clear()
-        for text in texts:
-            found = text.lower().split()
-            for w in found:
-                if w not in known:
-                    known[w] = int.from_bytes(blake2b(w, digest_size=8).digest(), "little")
-            codes = np.fromiter((known[w] for w in found), np.uint64, len(found))
-            k = self.words
-            with np.errstate(over="ignore"):
-                if len(codes) >= k:
-                    n = len(codes) - k + 1
-                    h = codes[:n].copy()
-                    for j in range(1, k):
-                        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + n]
-                elif len(codes):
-                    h = np.array([len(codes)], np.uint64)
-                    for c in codes:
-                        h = h * np.uint64(0xC2B2AE3D27D4EB4F) + c
-                else:
-                    h = codes
-                h = h ^ (h >> np.uint64(31))
-                h = h * np.uint64(0xBF58476D1CE4E5B9)
-                out.append(distinct(h ^ (h >> np.uint64(29))))
-        return out
-
-
-_shinglers: dict[int, Shingler] = cached("shingles", {})
-
-
-def shingler(words: int) -> Shingler:
-    keep_only("shingles")
-    return _shinglers.setdefault(words, Shingler(words))
+#: Bytes of text whose words are numbered at once.
+SLICE_BYTES = 4 << 20
+
+
+def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
+    """Each text's set of word shingles as sorted 64-bit numbers, the same in every process."""
+    out: list[np.ndarray] = []
+    some: list[bytes] = []
+    size = 0
+    for text in texts:
+        some.append(text)
+        size += len(text)
+        if size > SLICE_BYTES:
+            out += _shingles(some, words)
+            some, size = [], 0
+    return out + _shingles(some, words) if some else out
+
+
+def _shingles(texts: list[bytes], k: int) -> list[np.ndarray]:
+    lists = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.large_binary()).view(pa.large_string()))
+    coded = lists.flatten().dictionary_encode()
+    names = coded.dictionary.view(pa.large_binary()).to_pylist()
+    hashes = np.fromiter((int.from_bytes(blake2b(w, digest_size=8).digest(), "little") for w in names), np.uint64, len(names))
+    number = np.asarray(coded.indices)
+    owner = np.repeat(np.arange(len(texts)), np.diff(np.asarray(lists.offsets)))
+    if b"" in names:  # white space at a text's edge leaves an empty word
+        real = number != names.index(b"")
+        number, owner = number[real], owner[real]
+    codes = hashes[number]
+    counts = np.bincount(owner, minlength=len(texts))
+    ends = np.cumsum(counts)
+    begins = ends - counts
+    with np.errstate(over="ignore"):
+        n = max(0, len(codes) - k + 1)
+        h = codes[:n].copy()
+        for j in range(1, k):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[j : j + n]
+        h = _mixed(h)
+        out = []
+        for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
+            if b - a >= k:
+                out.append(distinct(h[a : b - k + 1]))
+            elif b > a:
+                whole = np.uint64(b - a)
+                for c in codes[a:b]:
+                    whole = whole * np.uint64(0xC2B2AE3D27D4EB4F) + c
+                out.append(_mixed(np.array([whole], np.uint64)))
+            else:
+                out.append(np.zeros(0, np.uint64))
+    return out
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(31))
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
 
 
 def _bits(total_bytes: int) -> int:
@@ -99,7 +114,8 @@ def _dealt(sets: list[np.ndarray], buckets: int, bits: int):
 
 def _lists(words: int, buckets: int, bits: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        values, n, edges = _dealt(shingler(words).sets(table["body"].to_pylist()), buckets, bits)
+        keep_only("shingles")
+        values, n, edges = _dealt(shingle_sets(table["body"].to_pylist(), words), buckets, bits)
         rows = [(b, key[0].as_py(), to_planes(values[x:y]), np.minimum(n[x:y], 255).astype(np.uint8).tobytes()) for b, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if x < y]
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table({c: pa.array([r[k] for r in rows], kinds[k]) for k, c in enumerate(("bucket", "block", "planes", "counts"))})
@@ -121,8 +137,9 @@ def _classes(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 def _prefixes(words: int, buckets: int, percent: int, bits: int):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, classes: pa.Table) -> pa.Table:
+        keep_only("shingles")
         docs = docs.sort_by([("doc_id", "ascending"), ("body", "ascending")]) if docs.num_rows else docs
-        sets = shingler(words).sets(docs["body"].to_pylist())
+        sets = shingle_sets(docs["body"].to_pylist(), words)
         values, _, edges = _dealt(sets, buckets, bits)
         level = np.zeros(len(values), np.uint8)
         for b, raw in zip(classes["bucket"].to_pylist(), classes["classes"].to_pylist(), strict=True):
@@ -152,10 +169,11 @@ def _prefixes(words: int, buckets: int, percent: int, bits: int):
 
 def _bodies(words: int):
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, wanted: pa.Table) -> pa.Table:
+        keep_only("shingles")
         docs = docs.sort_by([("doc_id", "ascending"), ("body", "ascending")]) if docs.num_rows else docs
         rows = wanted["row"].to_pylist()
         texts = docs["body"].take(pa.array(rows, pa.int64())).to_pylist() if rows else []
-        return pa.table({"region": wanted["region"], "v": wanted["v"], "body": pa.array([s.astype("<u8").tobytes() for s in shingler(words).sets(texts)], pa.binary())})
+        return pa.table({"region": wanted["region"], "v": wanted["v"], "body": pa.array([s.astype("<u8").tobytes() for s in shingle_sets(texts, words)], pa.binary())})
 
     return run
 
@@ -246,6 +264,7 @@ def join_cell(sets: Sets, members: np.ndarray, percent: int, union: Union) -> No
 
 def _joined(percent: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        keep_only("shingles")
         table = table.sort_by([("region", "ascending"), ("v", "ascending")])
         regions = table["region"].to_numpy()
         vs = table["v"].to_numpy()
