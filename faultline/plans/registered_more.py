@@ -250,9 +250,13 @@ def _(d):
     return _rounded(C.token_weights(_reasons(d), "row_id", T.sparse_tokens(F.col("reason"))), "weight")
 
 
-@on_results("j17_sparse_pairs", f"SELECT * FROM (WITH {_MASKED}, {Q.weights('m', 'row_id', 'text')} SELECT a.row_id AS a, b.row_id AS b, round(sum(a.weight * b.weight), 6) AS dot FROM u a JOIN u b USING (token) WHERE a.row_id < b.row_id GROUP BY ALL HAVING sum(a.weight * b.weight) >= 0.2)")
+_ALL_REASONS = "r AS (SELECT min(row_id) AS row_id, reason FROM results GROUP BY reason)"
+
+
+@on_results("j17_sparse_pairs", f"SELECT * FROM (WITH {_ALL_REASONS}, {Q.weights('r', 'row_id', 'reason')} SELECT a.row_id AS a, b.row_id AS b, round(sum(a.weight * b.weight), 6) AS dot FROM u a JOIN u b USING (token) WHERE a.row_id < b.row_id GROUP BY ALL HAVING sum(a.weight * b.weight) >= 0.2)")
 def _(d):
-    return _rounded(C.sparse_pairs(C.token_weights(_masked_texts(d), "row_id", T.sparse_tokens(F.col("text"))), "row_id", 0.2), "dot")
+    reasons = d.groupBy("reason").agg(F.min("row_id").alias("row_id"))
+    return _rounded(C.sparse_pairs(C.token_weights(reasons, "row_id", T.sparse_tokens(F.col("reason"))), "row_id", 0.2), "dot")
 
 
 @on_results("w05_anchor_minmax", f"""SELECT * FROM (WITH {_MASKED}, {Q.weights('m', 'row_id', 'text')},
