@@ -180,3 +180,39 @@ def test_reports_and_jobs(spark, tmp_path):
     assert engine.sparse_encode(spark.createDataFrame([(1, "Crash in node")], "row_id long, text string")).count() == 3
     changes = spark.createDataFrame([("r", "http://A", "m<", 1), ("r", "http://a", "n", 2), (None, None, "o", 3)], "repository string, url string, message string, pos long")
     assert "m&lt;" in engine.changes_page(changes) and ">n<" not in engine.changes_page(changes)
+
+
+def test_service_answers_requests(spark, tmp_path):
+    import io
+    import json
+
+    from faultline.service import Service
+    from faultline.streaming.queue import JobQueue
+
+    engine = Engine(spark, results(spark), f"file://{tmp_path}/state")
+    service = Service(engine, JobQueue(spark, f"file://{tmp_path}/q"))
+
+    def ask(method, path, body=None, query=""):
+        raw, seen = json.dumps(body or {}).encode(), []
+        out = service({"REQUEST_METHOD": method, "PATH_INFO": path, "QUERY_STRING": query, "CONTENT_LENGTH": str(len(raw)), "CONTENT_TYPE": "application/json", "wsgi.input": io.BytesIO(raw)}, lambda s, h: seen.append((s, dict(h)["Content-Type"])))
+        text = b"".join(out).decode()
+        return seen[0][0][:3], json.loads(text) if "json" in seen[0][1] else text
+
+    assert ask("GET", "/api/health")[1]["data"]["status"] == "ok"
+    assert ask("GET", "/regression")[1].count("<input") == 2 and ask("GET", "/nowhere")[0] == "404"
+    assert ask("POST", "/api/get_previous_run_ids/", {})[0] == "400"
+    assert ask("POST", "/api/get_previous_run_ids/", {"run_id": NEW})[1]["data"]["previous_run_id"] == OLD
+    status, answer = ask("GET", "/api/get_error_cluster_name/", query="_type=inference&runtime=cpu&error=Verifier+failed+at+12+ms")
+    assert status == "200" and answer["data"]["cluster_name"] == "VerifierFailed" and len(answer["data"]["error_group_id"]) == 10
+    assert ask("POST", "/api/consolidated_report_regression_analysis/", {"run_ids": ["r2", "r1", "r2"]})[1]["data"]["waiting"] == ["r2", "r1"]
+    assert ask("POST", "/api/sparse/encode/", {"texts": ["crash here", "!"]})[1]["data"][1] == {}
+    assert ask("POST", "/api/initiate_issue_grouping/", {"run_id": "none"})[1]["data"]["status"] == 404
+
+
+def test_report_command_writes_pages(spark, tmp_path):
+    from faultline import report
+
+    results(spark).withColumn("cluster_class", F.lit("sdk_issue")).write.parquet(f"{tmp_path}/results")
+    arguments = ["--results", f"{tmp_path}/results", "--release", "2.30.0", "--output", f"file://{tmp_path}/out", "--keep-summaries"]
+    assert report.main(arguments) == ["index", "model", "runtime", "soc", "stability", "type", "summaries"]
+    assert spark.read.json(f"file://{tmp_path}/out/summaries").where("rank = 1").count() > 0
