@@ -64,7 +64,10 @@ def _(spark, sf):
     return _scored(results(spark, sf)).select("row_id", "inference", "init", "deinit")
 
 
-@register("src08_execution_status", f"{WITH}, {_SCORES} SELECT run_id, cast(floor(100 * count(*) FILTER (exec_status = 'COMPLETED') / count(*)) AS int) AS completion, count(inference) AS timed, round(sum(inference), 6) AS inference, sum(init) AS init, sum(deinit) AS deinit FROM p GROUP BY run_id")
+@register("src08_execution_status",
+    f"{WITH}, {_SCORES} SELECT run_id, cast(floor(100 * count(*) FILTER (exec_status = 'COMPLETED') / count(*)) AS int) AS completion, "
+    f"count(inference) AS timed, round(sum(inference), 6) AS inference, sum(init) AS init, sum(deinit) AS deinit FROM p GROUP BY run_id"
+)
 def _(spark, sf):
     rows = _scored(results(spark, sf))
     sums = rows.groupBy("run_id").agg(F.count("inference").alias("timed"), F.round(F.sum("inference"), 6).alias("inference"), F.sum("init").alias("init"), F.sum("deinit").alias("deinit"))
@@ -133,7 +136,10 @@ register("sc01_documents", f"SELECT doc_id, {Q.preprocess('text')} AS text FROM
 on_results("sc03_tokens", f"SELECT row_id, array_to_string({Q.tokens('reason')}, ' ') AS tokens FROM results")(lambda d: d.select("row_id", F.array_join(T.sparse_tokens(F.col("reason")), " ").alias("tokens")))
 on_results("sc04_masked", f"SELECT row_id, {Q.masked('reason')} AS text FROM results")(lambda d: d.select("row_id", T.mask_numbers(F.col("reason")).alias("text")))
 
-_LOG = "concat('2024-01-15T13:45:22.123 [error] ', reason, chr(10), 'ready', chr(10), '2024-01-15 13:45:23 [Error] ', reason, chr(10), '2024-02-01 00:00:00 <E> code ', cast(row_id as string))"
+_LOG = (
+    "concat('2024-01-15T13:45:22.123 [error] ', reason, chr(10), 'ready', chr(10), '2024-01-15 13:45:23 [Error] ', reason, "
+    "chr(10), '2024-02-01 00:00:00 <E> code ', cast(row_id as string))"
+)
 
 
 @on_results("sc07_error_lines", f"SELECT row_id, {Q.error_lines('line')} AS text FROM (SELECT row_id, {_LOG} AS line FROM results WHERE reason IS NOT NULL)")
@@ -141,12 +147,20 @@ def _(d):
     return d.where("reason is not null").select("row_id", T.error_lines(F.expr(_LOG)).alias("text"))
 
 
-@register("sc08_error_segments", f"SELECT doc_id, array_to_string({Q.ordered_distinct('found')}, ' ') AS text FROM (SELECT doc_id, flatten(list_transform(range(0, len(text), 200), lambda i: {' || '.join(f'''regexp_extract_all(substr(text, i + 1, 250), '(?i){p}')''' for p in T.ERROR_PATTERNS)})) AS found FROM (SELECT doc_id, replace(text, '\\n', chr(10)) AS text FROM documents))")
+@register("sc08_error_segments",
+    f"SELECT doc_id, array_to_string({Q.ordered_distinct('found')}, ' ') AS text FROM (SELECT doc_id, flatten(list_transform(range(0, "
+    f"len(text), 200), "
+    f"lambda i: {' || '.join(f'''regexp_extract_all(substr(text, i + 1, 250), '(?i){p}')''' for p in T.ERROR_PATTERNS)})) AS found "
+    f"FROM (SELECT doc_id, replace(text, '\\n', chr(10)) AS text FROM documents))"
+)
 def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.error_segments(F.col("text")).alias("text"))
 
 
-@on_results("sc10_timestamps", "SELECT row_id, CASE WHEN row_id % 2 = 0 THEN reason ELSE 'at ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || reason END AS text FROM results")
+@on_results("sc10_timestamps",
+    "SELECT row_id, CASE WHEN row_id % 2 = 0 THEN reason ELSE 'at ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || reason END AS text "
+    "FROM results"
+)
 def _(d):
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     line = F.when(F.col("row_id") % 2 == 0, F.concat(stamp, F.lit(",250 "), "reason")).otherwise(F.concat(F.lit("at "), stamp, F.lit(" "), "reason"))
@@ -203,17 +217,26 @@ def _changes(spark, sf) -> DataFrame:
     return orders.select("o_orderkey", F.concat(F.lit(")]}'\n"), body).alias("body"))
 
 
-_VOTES = "v AS (SELECT o_orderkey, 'cust' || (o_custkey % 50) AS owner, 'cust' || (l_suppkey % 50) AS who, l_linenumber % 4 - 1 AS vote FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey)"
+_VOTES = (
+    "v AS (SELECT o_orderkey, 'cust' || (o_custkey % 50) AS owner, 'cust' || (l_suppkey % 50) AS who, l_linenumber % 4 - 1 AS vote FROM orders "
+    "LEFT JOIN lineitem ON l_orderkey = o_orderkey)"
+)
 
 
-@register("sc32_approvals", f"WITH {_VOTES} SELECT o_orderkey, coalesce(string_agg(who, ',' ORDER BY who) FILTER (vote = 2), '') AS approvers, coalesce(string_agg(who, ',' ORDER BY who) FILTER (vote = 1 AND who <> owner), '') AS reviewers FROM v GROUP BY o_orderkey")
+@register("sc32_approvals",
+    f"WITH {_VOTES} SELECT o_orderkey, coalesce(string_agg(who, ',' ORDER BY who) FILTER (vote = 2), '') AS approvers, "
+    f"coalesce(string_agg(who, ',' ORDER BY who) FILTER (vote = 1 AND who <> owner), '') AS reviewers FROM v GROUP BY o_orderkey"
+)
 def _(spark, sf):
     records = _changes(spark, sf).select("o_orderkey", H.record(F.col("body"), F.col("o_orderkey"), "http://c").alias("c"))
     names = lambda side: F.array_join(F.array_sort(F.transform(F.col(f"c.{side}"), lambda p: p["username"])), ",").alias(side)
     return records.select("o_orderkey", names("approvers"), names("reviewers"))
 
 
-@register("sc39_change_records", "SELECT o_orderkey, 'http://c/' || o_orderkey AS url, 'Fix ' || (o_custkey % 97) AS message, 'group/repo' || (o_custkey % 7) AS repository, 'cust' || (o_custkey % 50) AS owner, '' AS email FROM orders")
+@register("sc39_change_records",
+    "SELECT o_orderkey, 'http://c/' || o_orderkey AS url, 'Fix ' || (o_custkey % 97) AS message, 'group/repo' || (o_custkey % 7) AS repository, 'cust' || (o_custkey % 50) AS owner, '' AS email "
+    "FROM orders"
+)
 def _(spark, sf):
     records = _changes(spark, sf).select("o_orderkey", H.record(F.col("body"), F.col("o_orderkey"), "http://c").alias("c"))
     return records.select("o_orderkey", "c.url", "c.message", "c.repository", F.col("c.owner.username").alias("owner"), F.col("c.owner.email").alias("email"))
@@ -226,12 +249,22 @@ def _change_table(spark, sf) -> DataFrame:
     )
 
 
-_CHANGES = "c AS (SELECT 'repo' || (o_custkey % 7) AS repository, ['quantizer', 'cpu', 'converter', 'gpu'][o_custkey % 4 + 1] AS backend, 'http://C/' || (o_custkey % 211) AS url, CASE WHEN o_custkey % 5 > 0 THEN ' Fix ' || (o_custkey % 97) END AS message, o_orderkey AS pos FROM orders)"
+_CHANGES = (
+    "c AS (SELECT 'repo' || (o_custkey % 7) AS repository, ['quantizer', 'cpu', 'converter', 'gpu'][o_custkey % 4 + 1] AS backend, 'http://C/' || (o_custkey % 211) AS url, "
+    "CASE WHEN o_custkey % 5 > 0 THEN ' Fix ' || (o_custkey % 97) END AS message, o_orderkey AS pos FROM orders)"
+)
 
-register("ag19_unique_changes", f"WITH {_CHANGES}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(url) ORDER BY pos, url) AS n FROM c) WHERE n = 1) SELECT repository, row_number() OVER (PARTITION BY repository ORDER BY pos, url) AS line, url, message FROM f")(lambda s, f: K.changes_page(_change_table(s, f)))
+register("ag19_unique_changes",
+    f"WITH {_CHANGES}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(url) ORDER BY pos, url) AS n FROM c) WHERE n = 1) "
+    f"SELECT repository, row_number() OVER (PARTITION BY repository ORDER BY pos, url) AS line, url, message FROM f"
+)(lambda s, f: K.changes_page(_change_table(s, f)))
 
 
-@register("rp08_change_cell", f"WITH {_CHANGES}, o AS (SELECT repository, pos, url, trim(message) AS message FROM c WHERE backend IN ('quantizer', 'converter') AND message IS NOT NULL) SELECT repository, pos, url, message FROM (SELECT *, row_number() OVER (PARTITION BY lower(repository), lower(message) ORDER BY pos, url) AS n FROM o) WHERE n = 1")
+@register("rp08_change_cell",
+    f"WITH {_CHANGES}, o AS (SELECT repository, pos, url, trim(message) AS message FROM c WHERE backend IN ('quantizer', 'converter') "
+    f"AND message IS NOT NULL) SELECT repository, pos, url, message FROM (SELECT *, row_number() OVER (PARTITION BY lower(repository), "
+    f"lower(message) ORDER BY pos, url) AS n FROM o) WHERE n = 1"
+)
 def _(spark, sf):
     return K.change_cell(_change_table(spark, sf), "Tools")
 
@@ -253,7 +286,11 @@ def _(d):
 _ALL_REASONS = "r AS (SELECT min(row_id) AS row_id, reason FROM results GROUP BY reason)"
 
 
-@on_results("j17_sparse_pairs", f"SELECT * FROM (WITH {_ALL_REASONS}, {Q.weights('r', 'row_id', 'reason')} SELECT a.row_id AS a, b.row_id AS b, round(sum(a.weight * b.weight), 6) AS dot FROM u a JOIN u b USING (token) WHERE a.row_id < b.row_id GROUP BY ALL HAVING sum(a.weight * b.weight) >= 0.2)")
+@on_results("j17_sparse_pairs",
+    f"SELECT * FROM (WITH {_ALL_REASONS}, {Q.weights('r', 'row_id', 'reason')} SELECT a.row_id AS a, b.row_id AS b, "
+    f"round(sum(a.weight * b.weight), 6) AS dot FROM u a JOIN u b USING (token) WHERE a.row_id < b.row_id GROUP BY ALL "
+    f"HAVING sum(a.weight * b.weight) >= 0.2)"
+)
 def _(d):
     reasons = d.groupBy("reason").agg(F.min("row_id").alias("row_id"))
     return _rounded(C.sparse_pairs(C.token_weights(reasons, "row_id", T.sparse_tokens(F.col("reason"))), "row_id", 0.2), "dot")
@@ -290,7 +327,10 @@ def _hybrid(spark, sf) -> DataFrame:
     return C.hybrid_scores(queries, cents)
 
 
-@register("cl04_hybrid_search", f"{WITH}, {_HYBRID} SELECT vec_id AS row_id, k AS cluster_name, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, k) AS n FROM h) WHERE n = 1")
+@register("cl04_hybrid_search",
+    f"{WITH}, {_HYBRID} SELECT vec_id AS row_id, k AS cluster_name, round(score, 6) AS score FROM (SELECT *, "
+    f"row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, k) AS n FROM h) WHERE n = 1"
+)
 def _(spark, sf):
     best = _hybrid(spark, sf).groupBy("row_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "cluster_name")).alias("b"))
     return best.select("row_id", "b.cluster_name", F.round(-F.col("b.s"), 6).alias("score"))
@@ -307,7 +347,12 @@ def _clusters(spark, sf) -> DataFrame:
     return C.centroids(table(spark, sf, "embeddings")).select(F.lit("t").alias("type"), F.format_string("%02d", F.col("label")).alias("cluster_name"), "centroid")
 
 
-@register("x07_confirmed", f"WITH {_MEANS}, n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), p AS (SELECT a.label AS a, b.label AS b, sum(a.x * b.x) AS s FROM c a JOIN c b ON a.pos = b.pos AND a.label < b.label GROUP BY ALL) SELECT a, b, s >= 0.05 AS is_duplicate, CASE WHEN x.n >= y.n THEN a ELSE b END AS keep, cast(floor((row_number() OVER (ORDER BY s DESC, a, b) - 1) / 5) AS int) AS batch FROM p JOIN n x ON x.label = a JOIN n y ON y.label = b WHERE s >= 0.0")
+@register("x07_confirmed",
+    f"WITH {_MEANS}, n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), p AS (SELECT a.label AS a, b.label AS b, "
+    f"sum(a.x * b.x) AS s FROM c a JOIN c b ON a.pos = b.pos AND a.label < b.label GROUP BY ALL) SELECT a, b, s >= 0.05 AS is_duplicate, CASE "
+    f"WHEN x.n >= y.n THEN a ELSE b END AS keep, cast(floor((row_number() OVER (ORDER BY s DESC, a, b) - 1) / 5) AS int) AS batch FROM p "
+    f"JOIN n x ON x.label = a JOIN n y ON y.label = b WHERE s >= 0.0"
+)
 def _(spark, sf):
     sizes = table(spark, sf, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n")).select(F.lit("t").alias("type"), F.format_string("%02d", F.col("label")).alias("cluster_name"), "n")
     found = D.confirmed(D.candidate_pairs(_clusters(spark, sf), 0.0), sizes, 0.05)
@@ -320,7 +365,13 @@ def _(spark, sf):
     return D.deduplicated(rows, _clusters(spark, sf), 0.0, 0.05).groupBy("type", "cluster_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("cl19_pair_outliers", f"WITH {_UNITS}, p AS (SELECT * FROM e WHERE label IN (1, 2)), r AS (SELECT vec_id, unnest(embedding)::double AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings WHERE label IN (1, 2)), m AS (SELECT pos, avg(x) AS m FROM r GROUP BY pos), u AS (SELECT pos, m / sqrt(sum(m * m) OVER ()) AS x FROM m) SELECT (SELECT CASE WHEN count(*) FILTER (label = 1) >= count(*) FILTER (label = 2) THEN '01' ELSE '02' END FROM embeddings) AS merged_name, vec_id AS row_id, sum(p.x * u.x) < 0.5 AS is_outlier FROM p JOIN u USING (pos) GROUP BY vec_id")
+@register("cl19_pair_outliers",
+    f"WITH {_UNITS}, p AS (SELECT * FROM e WHERE label IN (1, 2)), r AS (SELECT vec_id, unnest(embedding)::double AS x, "
+    f"generate_subscripts(embedding, 1) AS pos FROM embeddings WHERE label IN (1, 2)), m AS (SELECT pos, avg(x) AS m FROM r GROUP BY pos), "
+    f"u AS (SELECT pos, m / sqrt(sum(m * m) OVER ()) AS x FROM m) SELECT (SELECT CASE "
+    f"WHEN count(*) FILTER (label = 1) >= count(*) FILTER (label = 2) THEN '01' ELSE '02' END FROM embeddings) AS merged_name, "
+    f"vec_id AS row_id, sum(p.x * u.x) < 0.5 AS is_outlier FROM p JOIN u USING (pos) GROUP BY vec_id"
+)
 def _(spark, sf):
     rows = table(spark, sf, "embeddings").select(F.lit("t").alias("type"), F.format_string("%02d", F.col("label")).alias("cluster_name"), F.col("vec_id").alias("row_id"), "embedding")
     return D.pair_outliers(rows, "t", "01", "02", 0.5)
@@ -348,7 +399,11 @@ def _(d):
 
 
 _LINES = f"SELECT row_id, type, {Q.error_lines('reason')} AS raw, reason FROM results WHERE result = 'FAIL'"
-_SEEDED = f"SELECT row_id, {Q.masked('clean')} AS text, coalesce({Q.emptiness('reason')}, CASE WHEN type = 'transformer_run' THEN 'GarbageOutput' END, replace({Q.named_rule('clean')}, ' ', '')) AS cluster_name FROM (SELECT row_id, type, reason, {Q.preprocess('raw')} AS clean FROM ({_LINES}))"
+_SEEDED = (
+    f"SELECT row_id, {Q.masked('clean')} AS text, coalesce({Q.emptiness('reason')}, CASE "
+    f"WHEN type = 'transformer_run' THEN 'GarbageOutput' END, replace({Q.named_rule('clean')}, ' ', '')) AS cluster_name FROM (SELECT row_id, "
+    f"type, reason, {Q.preprocess('raw')} AS clean FROM ({_LINES}))"
+)
 
 
 @on_results("cl01_seeded", f"SELECT *, CASE WHEN cluster_name IS NOT NULL THEN 'rule' END AS assigned_by FROM ({_SEEDED})")
@@ -365,12 +420,18 @@ def _unlabelled(d: DataFrame, *more: str) -> DataFrame:
     return _failed(d).select("row_id", "type", F.col("reason").alias("text"), nothing.alias("cluster_name"), nothing.alias("assigned_by"))
 
 
-@on_results("cl06_exact_groups", "SELECT type, n FROM (SELECT type, reason, count(*) AS n FROM results WHERE result = 'FAIL' AND length(reason) BETWEEN 1 AND 110 GROUP BY ALL) WHERE n >= 2")
+@on_results("cl06_exact_groups",
+    "SELECT type, n FROM (SELECT type, reason, count(*) AS n FROM results WHERE result = 'FAIL' AND length(reason) BETWEEN 1 AND 110 "
+    "GROUP BY ALL) WHERE n >= 2"
+)
 def _(d):
     return A.exact(_unlabelled(d)).where("cluster_name is not null").groupBy("type", "cluster_name").agg(F.count(F.lit(1)).alias("n")).select("type", "n")
 
 
-@on_results("cl20_same_names", "SELECT type, CASE WHEN cluster_name IN ('Cluster1', 'Cluster2', 'Cluster3') THEN 'Low' ELSE cluster_name END AS cluster_name, count(*) AS n FROM results WHERE cluster_name IS NOT NULL AND NOT coalesce(contains(reason, 'device'), false) GROUP BY ALL")
+@on_results("cl20_same_names",
+    "SELECT type, CASE WHEN cluster_name IN ('Cluster1', 'Cluster2', 'Cluster3') THEN 'Low' ELSE cluster_name END AS cluster_name, "
+    "count(*) AS n FROM results WHERE cluster_name IS NOT NULL AND NOT coalesce(contains(reason, 'device'), false) GROUP BY ALL"
+)
 def _(d):
     rows = d.where("cluster_name is not null").select("row_id", "type", "cluster_name", F.col("reason").alias("text"))
     wrong = D.analysed(rows, lambda t: t.contains("device"))
@@ -384,18 +445,28 @@ def _(d):
     return D.subclustered(d.where("reason is not null").select("row_id", "type", "cluster_name", F.col("reason").alias("text")), "Cluster1")
 
 
-@on_results("x04_analysis", "SELECT type, cluster_name, count(*) FILTER (contains(reason, 'device')) AS misclassified FROM results WHERE cluster_name IS NOT NULL GROUP BY ALL")
+@on_results("x04_analysis",
+    "SELECT type, cluster_name, count(*) FILTER (contains(reason, 'device')) AS misclassified FROM results WHERE cluster_name IS NOT NULL "
+    "GROUP BY ALL"
+)
 def _(d):
     rows = d.where("cluster_name is not null").select("row_id", "type", "cluster_name", F.col("reason").alias("text"))
     return D.analysed(rows, lambda t: t.contains("device")).select("type", "cluster_name", F.size("misclassified").cast("long").alias("misclassified"))
 
 
-@on_results("x06_masked_groups", f"SELECT row_id, min(row_id) OVER (PARTITION BY m) AS \"group\" FROM (SELECT row_id, {Q.masked('reason')} AS m FROM results WHERE reason IS NOT NULL)")
+@on_results("x06_masked_groups",
+    f"SELECT row_id, min(row_id) OVER (PARTITION BY m) AS \"group\" FROM (SELECT row_id, {Q.masked('reason')} AS m FROM results "
+    f"WHERE reason IS NOT NULL)"
+)
 def _(d):
     return M.masked_groups(d.where("reason is not null"), "row_id", "reason")
 
 
-@on_results("x09_summary", f"SELECT cluster_name, pattern, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY cluster_name ORDER BY n DESC, pattern) AS rank FROM (SELECT cluster_name, {Q.masked('reason')} AS pattern, count(*) AS n FROM results WHERE reason IS NOT NULL GROUP BY ALL)) WHERE rank <= 5")
+@on_results("x09_summary",
+    f"SELECT cluster_name, pattern, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY cluster_name ORDER BY n DESC, pattern) AS rank "
+    f"FROM (SELECT cluster_name, {Q.masked('reason')} AS pattern, count(*) AS n FROM results WHERE reason IS NOT NULL GROUP BY ALL)) "
+    f"WHERE rank <= 5"
+)
 def _(d):
     return M.summary(d.where("reason is not null").select("cluster_name", "reason"), "cluster_name", "reason")
 
@@ -410,7 +481,10 @@ def _(d):
     return M.token_namer(d.where("cluster_name is not null and reason is not null"), "cluster_name", "reason")
 
 
-@on_results("j22_cluster_class", "SELECT r.row_id, c.cls FROM results r LEFT JOIN (SELECT cluster_name, min(cluster_class) AS cls FROM results WHERE cluster_name IS NOT NULL GROUP BY 1) c USING (cluster_name)")
+@on_results("j22_cluster_class",
+    "SELECT r.row_id, c.cls FROM results r LEFT JOIN (SELECT cluster_name, min(cluster_class) AS cls FROM results "
+    "WHERE cluster_name IS NOT NULL GROUP BY 1) c USING (cluster_name)"
+)
 def _(d):
     classes = d.where("cluster_name is not null").groupBy("cluster_name").agg(F.min("cluster_class").alias("cls"))
     return d.join(classes, "cluster_name", "left").select("row_id", "cls")
@@ -428,22 +502,70 @@ def _(spark, sf):
 
 # --- report marts ----------------------------------------------------------------------------------------------------
 
-_COUNTED = "f AS (SELECT * FROM results WHERE lower(type) NOT IN ('bm_regression','bm_verifier') AND cluster_name <> '' AND reason <> '' AND cluster_class = 'sdk_issue')"
+_COUNTED = (
+    "f AS (SELECT * FROM results WHERE lower(type) NOT IN ('bm_regression','bm_verifier') AND cluster_name <> '' AND reason <> '' "
+    "AND cluster_class = 'sdk_issue')"
+)
 
-register("rp01_type_matrix", f"{WITH}, {_COUNTED}, c AS (SELECT type, runtime, cluster_name, count(*) AS n FROM f GROUP BY ALL) SELECT type, runtime, cast(sum(n) AS bigint) AS failures, count(*) AS clusters, arg_min(cluster_name, (-n, cluster_name)) AS top_cluster FROM c GROUP BY ALL")(lambda s, f: K.type_matrix(G.report_rows(results(s, f))))
-register("rp02_model_detail", f"{WITH}, {_COUNTED} SELECT model AS key, row_number() OVER (PARTITION BY model ORDER BY cluster_name, row_id) AS line, row_id, tc_uuid, cluster_name, reason FROM f")(lambda s, f: K.detail(G.report_rows(results(s, f)), "model"))
-register("rp02_soc_detail", f"{WITH}, {_COUNTED} SELECT soc AS key, row_number() OVER (PARTITION BY soc ORDER BY cluster_name, row_id) AS line, row_id, tc_uuid, cluster_name, reason FROM f")(lambda s, f: K.detail(G.report_rows(results(s, f)), "soc"))
-register("rp03_consolidated", f"{WITH}, {_COUNTED}, r AS (SELECT *, CASE WHEN lower(type) IN ('converter','quantizer') THEN 'Tools' WHEN runtime = 'cpu' AND lower(type) IN ('savecontext','graph_prepare') THEN 'Graph Prepare' WHEN runtime = 'cpu' AND lower(type) IN ('inference','verifier') THEN 'cpu' WHEN lower(type) = 'benchmark' THEN NULL WHEN runtime = 'cpu' THEN 'Core' ELSE runtime END AS report_row FROM f) SELECT report_row, CASE WHEN report_row = 'Tools' THEN runtime ELSE lower(type) END AS label, count(*) AS failures, count(DISTINCT cluster_name) AS clusters, arg_min(reason, row_id) AS first_reason FROM r WHERE report_row IS NOT NULL GROUP BY ALL")(lambda s, f: K.consolidated(G.report_rows(results(s, f))))
-on_results("rp04_segment_report", "SELECT bu, run_id, count(*) AS failures, count(DISTINCT model) AS models, count(DISTINCT soc) AS socs, count(DISTINCT runtime) AS runtimes FROM results WHERE result = 'FAIL' GROUP BY ALL")(lambda d: K.segment_report(d.where("result = 'FAIL'")))
-_LISTS = "x AS (SELECT dimension, key, count(*) AS n FROM (SELECT unnest(['soc','runtime','type','cluster_class','cluster_name','model']) AS dimension, unnest([soc, runtime, type, cluster_class, cluster_name, model]) AS key FROM results WHERE result = 'FAIL') WHERE key IS NOT NULL GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY n DESC, key) AS rank, round(100.0 * n / sum(n) OVER (PARTITION BY dimension), 6) AS percent, n / max(n) OVER (PARTITION BY dimension) AS ratio FROM x)"
+register("rp01_type_matrix",
+    f"{WITH}, {_COUNTED}, c AS (SELECT type, runtime, cluster_name, count(*) AS n FROM f GROUP BY ALL) SELECT type, runtime, "
+    f"cast(sum(n) AS bigint) AS failures, count(*) AS clusters, arg_min(cluster_name, (-n, cluster_name)) AS top_cluster FROM c GROUP BY ALL"
+)(lambda s, f: K.type_matrix(G.report_rows(results(s, f))))
+register("rp02_model_detail",
+    f"{WITH}, {_COUNTED} SELECT model AS key, row_number() OVER (PARTITION BY model ORDER BY cluster_name, row_id) AS line, row_id, tc_uuid, "
+    f"cluster_name, reason FROM f"
+)(lambda s, f: K.detail(G.report_rows(results(s, f)), "model"))
+register("rp02_soc_detail",
+    f"{WITH}, {_COUNTED} SELECT soc AS key, row_number() OVER (PARTITION BY soc ORDER BY cluster_name, row_id) AS line, row_id, tc_uuid, "
+    f"cluster_name, reason FROM f"
+)(lambda s, f: K.detail(G.report_rows(results(s, f)), "soc"))
+register("rp03_consolidated",
+    f"{WITH}, {_COUNTED}, r AS (SELECT *, CASE WHEN lower(type) IN ('converter','quantizer') THEN 'Tools' WHEN runtime = 'cpu' "
+    f"AND lower(type) IN ('savecontext','graph_prepare') THEN 'Graph Prepare' WHEN runtime = 'cpu' "
+    f"AND lower(type) IN ('inference','verifier') THEN 'cpu' WHEN lower(type) = 'benchmark' THEN NULL WHEN runtime = 'cpu' THEN 'Core' "
+    f"ELSE runtime END AS report_row FROM f) SELECT report_row, CASE WHEN report_row = 'Tools' THEN runtime ELSE lower(type) END AS label, "
+    f"count(*) AS failures, count(DISTINCT cluster_name) AS clusters, arg_min(reason, row_id) AS first_reason FROM r "
+    f"WHERE report_row IS NOT NULL GROUP BY ALL"
+)(lambda s, f: K.consolidated(G.report_rows(results(s, f))))
+on_results("rp04_segment_report",
+    "SELECT bu, run_id, count(*) AS failures, count(DISTINCT model) AS models, count(DISTINCT soc) AS socs, "
+    "count(DISTINCT runtime) AS runtimes FROM results WHERE result = 'FAIL' GROUP BY ALL"
+)(lambda d: K.segment_report(d.where("result = 'FAIL'")))
+_LISTS = (
+    "x AS (SELECT dimension, key, count(*) AS n "
+    "FROM (SELECT unnest(['soc','runtime','type','cluster_class','cluster_name','model']) AS dimension, unnest([soc, runtime, type, "
+    "cluster_class, cluster_name, model]) AS key FROM results WHERE result = 'FAIL') WHERE key IS NOT NULL GROUP BY ALL), k AS (SELECT *, "
+    "row_number() OVER (PARTITION BY dimension ORDER BY n DESC, key) AS rank, round(100.0 * n / sum(n) OVER (PARTITION BY dimension), "
+    "6) AS percent, n / max(n) OVER (PARTITION BY dimension) AS ratio FROM x)"
+)
 register("t04_dashboard_lists", f"{WITH}, {_LISTS} SELECT dimension, key, n, rank FROM k WHERE dimension NOT IN ('soc', 'cluster_name', 'model') OR rank <= 10")(lambda s, f: K.top_lists(results(s, f).where("result = 'FAIL'")))
-register("rp05_dashboard", f"{WITH}, {_LISTS} SELECT dimension, key, n, rank, percent, CASE WHEN ratio < 0.1 THEN 1 WHEN ratio < 0.25 THEN 2 WHEN ratio < 0.5 THEN 3 WHEN ratio < 0.75 THEN 4 ELSE 5 END AS band, CASE WHEN dimension <> 'model' THEN NULL WHEN n > 200 THEN 'Critical' WHEN n > 50 THEN 'High' ELSE 'Medium' END AS severity FROM k WHERE dimension NOT IN ('soc', 'cluster_name', 'model') OR rank <= 10")(lambda s, f: K.dashboard(results(s, f).where("result = 'FAIL'")))
-_RATES = "s AS (SELECT type, count(*) FILTER (upper(trim(result)) = 'FAIL') AS failed, count(*) - count(*) FILTER (upper(trim(result)) = 'PARENT_FAIL') - count(*) FILTER (upper(trim(result)) = 'NOT_RUN') AS effective FROM results WHERE type IS NOT NULL GROUP BY type), t AS (SELECT *, coalesce(CASE WHEN effective > 0 THEN failed / effective END, 0) AS rate FROM s)"
-register("t05_flagged_first", f"{WITH}, {_RATES} SELECT type, rate >= 0.35 AS flagged, round(rate, 6) AS rate, row_number() OVER (ORDER BY rate >= 0.35 DESC, rate DESC, type) AS place FROM t")(lambda s, f: _rounded(K.flagged_first(results(s, f), 0.35), "rate").select("type", "flagged", "rate", "place"))
-register("rp07_host_cards", f"{WITH}, {_RATES}, c AS (SELECT type, soc, host, count(*) FILTER (result = 'FAIL') AS failed, count(*) FILTER (result = 'PASS') AS passed FROM results JOIN (SELECT type FROM t WHERE rate >= 0.3) USING (type) GROUP BY ALL) SELECT type, soc, host, failed, passed, rank FROM (SELECT *, row_number() OVER (PARTITION BY type, soc ORDER BY failed DESC, host) AS rank FROM c WHERE failed > 0 OR passed > 0) WHERE rank <= 5")(lambda s, f: K.host_cards(results(s, f), 0.3))
-
-
-@on_results("ag06_rows", "SELECT type, runtime, cluster_name, row_id, count(*) OVER (PARTITION BY type, runtime, cluster_name) AS n FROM results WHERE cluster_name IS NOT NULL")
+register("rp05_dashboard",
+    f"{WITH}, {_LISTS} SELECT dimension, key, n, rank, percent, CASE WHEN ratio < 0.1 THEN 1 WHEN ratio < 0.25 THEN 2 WHEN ratio < 0.5 THEN 3 "
+    f"WHEN ratio < 0.75 THEN 4 ELSE 5 END AS band, CASE WHEN dimension <> 'model' THEN NULL WHEN n > 200 THEN 'Critical' "
+    f"WHEN n > 50 THEN 'High' ELSE 'Medium' END AS severity FROM k WHERE dimension NOT IN ('soc', 'cluster_name', 'model') OR rank <= 10"
+)(lambda s, f: K.dashboard(results(s, f).where("result = 'FAIL'")))
+_RATES = (
+    "s AS (SELECT type, count(*) FILTER (upper(trim(result)) = 'FAIL') AS failed, "
+    "count(*) - count(*) FILTER (upper(trim(result)) = 'PARENT_FAIL') - count(*) FILTER (upper(trim(result)) = 'NOT_RUN') AS effective "
+    "FROM results WHERE type IS NOT NULL GROUP BY type), t AS (SELECT *, coalesce(CASE WHEN effective > 0 THEN failed / effective END, "
+    "0) AS rate FROM s)"
+)
+register("t05_flagged_first",
+    f"{WITH}, {_RATES} SELECT type, rate >= 0.35 AS flagged, round(rate, 6) AS rate, row_number() OVER (ORDER BY rate >= 0.35 DESC, rate DESC, "
+    f"type) AS place FROM t"
+)(lambda s, f: _rounded(K.flagged_first(results(s, f), 0.35), "rate").select("type", "flagged", "rate", "place"))
+register("rp07_host_cards",
+    f"{WITH}, {_RATES}, c AS (SELECT type, soc, host, count(*) FILTER (result = 'FAIL') AS failed, count(*) FILTER (result = 'PASS') AS passed "
+    f"FROM results JOIN (SELECT type FROM t WHERE rate >= 0.3) USING (type) GROUP BY ALL) SELECT type, soc, host, failed, passed, rank "
+    f"FROM (SELECT *, row_number() OVER (PARTITION BY type, soc ORDER BY failed DESC, host) AS rank FROM c WHERE failed > 0 OR passed > 0) "
+    f"WHERE rank <= 5"
+)(lambda s, f: K.host_cards(results(s, f), 0.3))
+
+
+@on_results("ag06_rows",
+    "SELECT type, runtime, cluster_name, row_id, count(*) OVER (PARTITION BY type, runtime, cluster_name) AS n FROM results "
+    "WHERE cluster_name IS NOT NULL"
+)
 def _(d):
     rows = d.where("cluster_name is not null").select("type", "runtime", "cluster_name", "row_id")
     return rows.join(rows.groupBy("type", "runtime", "cluster_name").agg(F.count(F.lit(1)).alias("n")), ["type", "runtime", "cluster_name"])
@@ -455,7 +577,10 @@ def _(d):
     return rows.join(rows.groupBy("model").agg(F.count(F.lit(1)).alias("n")), "model")
 
 
-@on_results("ag24_soc_rows", "SELECT soc, runtime, row_id, count(*) OVER (PARTITION BY soc) AS of_soc, count(*) OVER (PARTITION BY runtime) AS of_runtime FROM results WHERE result = 'FAIL'")
+@on_results("ag24_soc_rows",
+    "SELECT soc, runtime, row_id, count(*) OVER (PARTITION BY soc) AS of_soc, count(*) OVER (PARTITION BY runtime) AS of_runtime FROM results "
+    "WHERE result = 'FAIL'"
+)
 def _(d):
     rows = d.where("result = 'FAIL'").select("soc", "runtime", "row_id")
     return rows.join(rows.groupBy("soc").agg(F.count(F.lit(1)).alias("of_soc")), "soc").join(rows.groupBy("runtime").agg(F.count(F.lit(1)).alias("of_runtime")), "runtime")
@@ -480,7 +605,10 @@ def _(spark, sf):
 
 on_results("w14_first_reason", "SELECT cluster_name, arg_min(reason, row_id) AS reason FROM results WHERE cluster_name IS NOT NULL AND reason IS NOT NULL GROUP BY 1")(lambda d: d.where("cluster_name is not null and reason is not null").groupBy("cluster_name").agg(F.min_by("reason", "row_id").alias("reason")))
 on_results("t08_preview", "SELECT row_id, run_id, type, result FROM results ORDER BY row_id LIMIT 5")(lambda d: d.select("row_id", "run_id", "type", "result").orderBy("row_id").limit(5))
-on_results("t09_releases", "SELECT version, row_number() OVER (ORDER BY version DESC) AS place FROM (SELECT DISTINCT regexp_extract(run_id, '-v(\\d+\\.\\d+\\.\\d+)', 1) AS version FROM results)")(lambda d: d.select("run_id").distinct().select(R.parse(F.col("run_id"))["version"].alias("version")).distinct().withColumn("place", F.row_number().over(Window.orderBy(F.col("version").desc()))))
+on_results("t09_releases",
+    "SELECT version, row_number() OVER (ORDER BY version DESC) AS place FROM (SELECT DISTINCT regexp_extract(run_id, '-v(\\d+\\.\\d+\\.\\d+)', "
+    "1) AS version FROM results)"
+)(lambda d: d.select("run_id").distinct().select(R.parse(F.col("run_id"))["version"].alias("version")).distinct().withColumn("place", F.row_number().over(Window.orderBy(F.col("version").desc()))))
 
 
 def _nested(rows: DataFrame) -> DataFrame:
