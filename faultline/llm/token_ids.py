@@ -14,10 +14,10 @@ import pyarrow.compute as pc
 
 from .common import cached, flat, keep_only
 
-#: Distinct words whose ids a worker remembers at most (some 40 MB); beyond that it keeps those of the latest batch.
-REMEMBERED = 800_000
+#: Distinct words whose ids a worker remembers at most (some 25 MB); beyond that it keeps those of the latest batch.
+REMEMBERED = 500_000
 #: Bytes of text handled at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 #: Words of these characters alone (no apostrophes, and line feeds only one by one inside) are cut into pre-tokens here:
 #: runs of letters, of digits (each alone in a word-level file), and of others, as both kinds of file have it.
