@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_tree, decision_list, decontaminate, jaccard_join, license_digest, packing, suffix_dedup, token_store, toxicity, wrapper_extract
+from . import context_tree, decision_list, decontaminate, jaccard_join, license_digest, oracles, packing, suffix_dedup, token_store, toxicity, wrapper_extract
 from .common import scratch
 
 
@@ -65,4 +65,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_license_digests": license_digest.sql()}
+    return {
+        "op4_jaccard_join": oracles.jaccard_join(4, 85),
+        "op7_decontamination": oracles.decontamination(10),
+        "op9_license_digests": license_digest.sql(),
+    }
