@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocked, counted, cut, distinct, from_planes, keep_only, summed, text_bytes, to_planes
+from .common import blocked, counted, cut, distinct, flat, from_planes, keep_only, summed, text_bytes, to_planes
 
 LISTS = "bucket int, block int, planes binary, counts binary"
 CLASSES = "block int, bucket int, classes binary"
@@ -39,6 +39,27 @@ CELL = 48
 
 #: Bytes of text whose words are numbered at once.
 SLICE_BYTES = 4 << 20
+#: A fixed random number of each place in a word.
+_PLACES = np.frombuffer(b"".join(blake2b(k.to_bytes(4, "little"), digest_size=8, person=b"place").digest() for k in range(64)), "<u8")
+
+
+def word_numbers(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """A 64-bit number of each word (bytes data[edges[k] : edges[k + 1]]), the same in every process: the sum of its
+    bytes times a fixed random number of their places, and of its end's. Long words are hashed one by one."""
+    size = np.diff(edges)
+    out = np.zeros(len(size), np.uint64)
+    short = np.flatnonzero((size > 0) & (size < len(_PLACES)))
+    with np.errstate(over="ignore"):
+        if len(short):
+            own, begin = size[short], edges[:-1][short]
+            first = np.cumsum(own) - own
+            place = np.arange(own.sum()) - np.repeat(first, own)
+            values = data[place + np.repeat(begin, own)].astype(np.uint64) + np.uint64(1)
+            values *= _PLACES[place]
+            out[short] = np.add.reduceat(values, first) + _PLACES[own]
+    for k in np.flatnonzero(size >= len(_PLACES)):
+        out[k] = int.from_bytes(blake2b(data[edges[k] : edges[k + 1]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -58,12 +79,13 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
 def _shingles(texts: list[bytes], k: int) -> list[np.ndarray]:
     lists = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.large_binary()).view(pa.large_string()))
     coded = lists.flatten().dictionary_encode()
-    names = coded.dictionary.view(pa.large_binary()).to_pylist()
-    hashes = np.fromiter((int.from_bytes(blake2b(w, digest_size=8).digest(), "little") for w in names), np.uint64, len(names))
+    data, edges = flat(coded.dictionary)
+    hashes = word_numbers(data, edges)
     number = np.asarray(coded.indices)
     owner = np.repeat(np.arange(len(texts)), np.diff(np.asarray(lists.offsets)))
-    if b"" in names:  # white space at a text's edge leaves an empty word
-        real = number != names.index(b"")
+    empty = np.flatnonzero(np.diff(edges) == 0)
+    if len(empty):  # white space at a text's edge leaves an empty word
+        real = number != empty[0]
         number, owner = number[real], owner[real]
     codes = hashes[number]
     counts = np.bincount(owner, minlength=len(texts))

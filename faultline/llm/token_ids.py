@@ -12,12 +12,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import cached, flat, keep_only
+from .common import cached, flat, give_back, keep_only
 
 #: Distinct words whose ids a worker remembers at most (some 25 MB); beyond that it keeps those of the latest batch.
 REMEMBERED = 500_000
 #: Bytes of text handled at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 #: Words of these characters alone (no apostrophes, and line feeds only one by one inside) are cut into pre-tokens here:
 #: runs of letters, of digits (each alone in a word-level file), and of others, as both kinds of file have it.
@@ -127,6 +127,7 @@ class WordEncoder:
         while at < len(column):
             end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BATCH_BYTES, "right")))
             yield from self._encode(column.slice(at, end - at))
+            give_back()  # three workers' free memory is a tenth of what an executor has
             at = end
 
     def _encode(self, column: pa.Array) -> Iterator[bytes]:

@@ -521,3 +521,27 @@ def test_whole_licence_texts_are_known(spark):
         rows += [(len(rows), text), (len(rows) + 1, "Copyright (c) 2024 Someone\n\n" + text.upper().replace("\n", "\n  "))]
     got = {r.doc_id: r.whole_license for r in license_digest.scan(table(spark, [*rows, (99, texts[0][1] + " and more")])).collect()}
     assert got == {**{k: texts[k // 2][0] for k in range(len(rows))}, 99: None}
+
+
+def test_word_numbers_depend_on_the_word_alone():
+    import random
+
+    rng = random.Random(5)
+    words = sorted({bytes(rng.choice(b"ab\xc3\xa9") for _ in range(rng.randint(1, 9))) for _ in range(3000)} | {b"x" * n for n in range(1, 140)})
+
+    def numbers(some):
+        return jaccard_join.word_numbers(np.frombuffer(b"".join(some), np.uint8), np.r_[0, np.cumsum([len(w) for w in some])]).tolist()
+
+    once = dict(zip(words, numbers(words), strict=True))
+    assert len(set(once.values())) == len(words)
+    assert numbers(words[::-1]) == [once[w] for w in reversed(words)]
+    assert len(numbers([b"", b"a", b""])) == 3 and numbers([b"", b"a", b""])[1] == once[b"a"]
+
+
+def test_encoder_gives_memory_back_between_batches(monkeypatch):
+    calls = []
+    monkeypatch.setattr(token_ids, "give_back", lambda: calls.append(1))
+    monkeypatch.setattr(token_ids, "BATCH_BYTES", 100)
+    code = token_ids.WordEncoder(token_ids.default_path("byte_bpe_50k.json"))
+    assert len(list(code.encode(["some words here " * 5] * 6))) == 6
+    assert len(calls) >= 5
