@@ -244,6 +244,57 @@ def hdbscan_labels(x: np.ndarray, min_size: int = 2, epsilon: float = 0.12, samp
     return labels
 
 
+#: Rows of a block, at most about: a task holds two blocks and one block's distances to the other.
+BLOCK = 1024
+
+
+def neighbours(df: DataFrame, key: str, row: str, vector: str, k: int, block: int = BLOCK) -> DataFrame:
+    """CL15: (a, b, d) of each row's k nearest rows of its cluster by cosine distance, ties to the least row.
+
+    Clusters are dealt to blocks by a hash of the row. Every block meets every other one of its cluster, a pair of
+    blocks for a task, by a product of matrices; only each row's k best of a block move on. Which are best is decided
+    on sums in order of the places, so that equal vectors tie.
+    """
+    rows = df.where(F.col(vector).isNotNull()).select(key, F.col(row).alias("a"), F.col(vector).cast("array<double>").alias("x"))
+    sizes = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_m"))
+    dealt = cut(rows.join(sizes, key).withColumn("_p", F.pmod(F.xxhash64("a"), F.col("_m")).cast("int")))
+    every = F.explode(F.sequence(F.lit(0), F.col("_m") - 1))
+    left = dealt.select(key, F.col("_p").alias("_i"), every.alias("_j"), "a", "x")
+    right = dealt.select(key, every.alias("_i"), F.col("_p").alias("_j"), "a", "x")
+    kinds = dict(rows.dtypes)
+
+    def units(pdf: pd.DataFrame) -> np.ndarray:
+        x = np.array([np.asarray(v, float) for v in pdf["x"]])
+        norms = np.sqrt((x * x).sum(1, keepdims=True))
+        return x / np.where(norms > 0, norms, 1)
+
+    def run(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        if one.empty or other.empty:
+            return pd.DataFrame({key: [], "a": [], "b": [], "d": []})
+        other = other.sort_values("a")
+        u, v, ids, names = units(one), units(other), one["a"].to_numpy(), other["a"].to_numpy()
+        own = ids[:, None] == names[None, :]
+        d = np.where(own, np.inf, 1 - u @ v.T)
+        most = min(k, len(names))
+        # A product's rounding differs by a few units in the last place: what is that near to the k-th is summed again.
+        edge = np.partition(d, most - 1, axis=1)[:, most - 1 : most] + 1e-9
+        at, to = np.nonzero((d <= edge) & ~own)
+        exact = np.zeros(len(at))
+        for p in range(u.shape[1]):
+            exact += u[at, p] * v[to, p]
+        exact = np.maximum(0.0, 1 - exact)
+        order = np.lexsort((names[to], exact, at))
+        at, to, exact = at[order], to[order], exact[order]
+        first = np.r_[True, at[1:] != at[:-1]]
+        place = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0)) if len(at) else at
+        kept = place < k
+        return pd.DataFrame({key: one[key].iloc[0], "a": ids[at[kept]], "b": names[to[kept]], "d": exact[kept]})
+
+    found = left.groupBy(key, "_i", "_j").cogroup(right.groupBy(key, "_i", "_j")).applyInPandas(run, f"{key} {kinds[key]}, a {kinds['a']}, b {kinds['a']}, d double")
+    best = Window.partitionBy(key, "a").orderBy("d", "b")
+    return found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n")
+
+
 def density_clusters(df: DataFrame, group: str, row: str = "vec_id", vector: str = "embedding", min_size: int = 2, epsilon: float = 0.12, samples: int = 1, metric: str = "cosine") -> DataFrame:
     """CL10, CL11 per group: needs all pairs of a group's leftovers, so groups are the small residue of earlier stages."""
 

@@ -17,6 +17,7 @@ from faultline.operators import cluster as C
 from faultline.operators import dedupe as D
 from faultline.operators import models as M
 from faultline.sources.shared import cut
+from faultline.sources.shared import cut as cut_off  # where `cut` is a threshold
 
 # Thresholds of the stages.
 KNOWN, MERGE, REASSIGN, SPARSE, NEAR, OUTLIER, LOF = 0.82, 0.87, 0.88, 0.80, 0.85, 0.7, 1.5
@@ -146,10 +147,7 @@ def reassigned(df: DataFrame, least: float = REASSIGN) -> DataFrame:
 def outliers(df: DataFrame, key: str = "label", row: str = "vec_id", vector: str = "embedding", k: int = 15, cut: float = LOF, least: float = OUTLIER) -> DataFrame:
     """CL15: rows of a cluster whose local outlier factor is over `cut` and whose cosine to the mean is under
     `least`. Distances are those inside a cluster."""
-    u = df.select(key, row, V.unit(F.col(vector)).alias("u"))
-    a, b = u.select(key, F.col(row).alias("a"), F.col("u").alias("ua")), u.select(key, F.col(row).alias("b"), F.col("u").alias("ub"))
-    pairs = a.join(b, key).where("a <> b").select(key, "a", "b", F.greatest(F.lit(0.0), 1 - V.dot(F.col("ua"), F.col("ub"))).alias("d"))
-    near = pairs.withColumn("n", F.row_number().over(Window.partitionBy(key, "a").orderBy("d", "b"))).where(F.col("n") <= k)
+    near = cut_off(C.neighbours(df, key, row, vector, k))
     reach_of = near.groupBy(F.col("a").alias("b")).agg(F.max("d").alias("kd"))
     density = near.join(reach_of, "b").groupBy("a").agg((1 / (F.avg(F.greatest("kd", "d")) + 1e-10)).alias("lrd"))
     factors = near.join(density.select(F.col("a").alias("b"), F.col("lrd").alias("lb")), "b").groupBy("a").agg(F.avg("lb").alias("lb")).join(density, "a").select(F.col("a").alias(row), (F.col("lb") / F.col("lrd")).alias("lof"))

@@ -113,3 +113,21 @@ def test_density_clusters_with_core_distances(spark):
     x = np.concatenate([rng.normal(0, 0.1, (30, 2)), rng.normal(5, 0.1, (30, 2)), [[50.0, 50.0]]])
     labels = hdbscan_labels(x, 5, 0.0, 5, "euclidean")
     assert set(labels[:30]) == {0} and set(labels[30:60]) == {1} and labels[60] == -1
+
+
+def test_outlier_neighbours_over_blocks_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (60, 4))
+    x[7], x[31], x[8] = x[3], x[3], 0  # ties and a zero vector
+    rows = [(k % 2, k, x[k].tolist()) for k in range(60)] + [(0, 99, None)]
+    df = spark.createDataFrame(rows, "label int, vec_id long, embedding array<double>")
+    norms = np.linalg.norm(x, axis=1, keepdims=True)
+    u = x / np.where(norms > 0, norms, 1)
+    want = {a: sorted((max(0.0, 1 - sum(p * q for p, q in zip(u[a], u[b], strict=True))), b) for b in range(a % 2, 60, 2) if b != a)[:5] for a in range(60)}
+    got = {}
+    for r in C.neighbours(df, "label", "vec_id", "embedding", 5, block=7).collect():
+        got.setdefault(r.a, []).append((r.d, r.b))
+    assert got.keys() == want.keys()
+    for a, near in got.items():
+        assert np.allclose([d for d, _ in sorted(near)], [d for d, _ in want[a]])
+        assert [b for _, b in sorted(near)] == [b for _, b in want[a]]
