@@ -136,15 +136,42 @@ def sparse_centroids(weights: DataFrame, row: str, key: str) -> DataFrame:
 
 
 def sparse_pairs(weights: DataFrame, row: str, least: float = 0.0, commonest: int | None = None) -> DataFrame:
-    """Dot products of rows that share a token, by token. With `commonest`, tokens of more rows than that don't
-    start a pair (an explicit parameter of the caller's; None computes all)."""
+    """Dot products of rows (a < b) that share a token. With `commonest`, tokens of more rows than that don't start
+    a pair (an explicit parameter of the caller's; None computes all)."""
     use = weights
     if commonest is not None:
         rare = weights.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= commonest).select("token")
         use = weights.join(rare, "token", "left_semi")
-    a = use.select("token", F.col(row).alias("a"), F.col("weight").alias("wa"))
-    b = use.select("token", F.col(row).alias("b"), F.col("weight").alias("wb"))
-    return a.join(b, "token").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot")).where(F.col("dot") >= least)
+    dots, members = sparse_classes(use, row)
+    return spelt_out(dots.where(F.col("dot") >= least), members, "dot").where("a < b")
+
+
+#: Rows of a class in one row of the exchange, at most, and the portions that a class is dealt to.
+CHUNK, PORTIONS = 4096, 64
+
+
+def sparse_classes(weights: DataFrame, row: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with the same weights are one class, named by its least row: (ca, cb, dot) of all ordered pairs of classes
+    that share a token, each with itself as well, and the classes' members (c, rows) in portions."""
+    vector = F.array_sort(F.collect_list(F.struct("token", "weight")))
+    of = weights.groupBy(F.col(row).alias("_r")).agg(vector.alias("_v"))
+    portions = of.groupBy("_v", F.pmod(F.xxhash64("_r", F.lit(11)), F.lit(PORTIONS)).alias("_h")).agg(F.collect_list("_r").alias("_rows"))
+    begins = F.sequence(F.lit(0), F.floor((F.size("_rows") - 1) / CHUNK).cast("int"))
+    chunked = cut(portions.withColumn("_k", F.explode(begins)).select("_v", F.slice("_rows", F.col("_k") * CHUNK + 1, F.lit(CHUNK)).alias("rows")))
+    names = cut(chunked.groupBy("_v").agg(F.min(F.array_min("rows")).alias("c")))
+    classes = cut(names.withColumn("_w", F.explode("_v")).select("c", "_w.token", "_w.weight"))
+    a, b = (classes.select("token", F.col("c").alias(c), F.col("weight").alias(f"w{c}")) for c in ("ca", "cb"))
+    dots = a.join(b, "token").groupBy("ca", "cb").agg(F.sum(F.col("wca") * F.col("wcb")).alias("dot"))
+    return dots, chunked.join(names, "_v").select("c", "rows")
+
+
+def spelt_out(pairs: DataFrame, members: DataFrame, value: str) -> DataFrame:
+    """(a, b, value) of all rows of pairs of classes (ca, cb, value), portion by portion: no join or aggregate sees them."""
+    left, right = (members.select(F.col("c").alias(c), F.col("rows").alias(f"_{c}")) for c in ("ca", "cb"))
+    # A number that is asked for isn't lowered: portions are small, what they become isn't.
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = pairs.join(left, "ca").join(right, "cb").repartition(tasks, "_ca", "_cb")
+    return both.select(F.explode("_ca").alias("a"), "_cb", value).select("a", F.explode("_cb").alias("b"), value)
 
 
 def hdbscan_labels(x: np.ndarray, min_size: int = 2, epsilon: float = 0.12, samples: int = 1, metric: str = "cosine") -> np.ndarray:

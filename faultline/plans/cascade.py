@@ -75,7 +75,7 @@ def sparse_groups(pairs: DataFrame, members: DataFrame, least: float = SPARSE) -
     both = pairs.select("type", "a", "b", "dot").union(pairs.select("type", F.col("b").alias("a"), F.col("a").alias("b"), "dot"))
     w = Window.partitionBy("type", "a")
     scaled = both.withColumns({"lo": F.least(F.lit(0.0), F.min("dot").over(w)), "hi": F.greatest(F.lit(1.0), F.max("dot").over(w))})
-    near = scaled.where((F.col("dot") - F.col("lo")) / (F.col("hi") - F.col("lo")) >= least).select("type", "a", "b")
+    near = scaled.where((F.col("dot") - F.col("lo")) / (F.col("hi") - F.col("lo")) >= least).select(F.col("type").alias("kind"), "a", "b")
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         groups = C.greedy_groups(list(zip(right["a"], right["b"], strict=True)), left["row_id"].tolist())
@@ -83,7 +83,7 @@ def sparse_groups(pairs: DataFrame, members: DataFrame, least: float = SPARSE) -
         rows = [(r, a) for r, a in groups.items() if sizes[a] >= 2]
         return pd.DataFrame(rows, columns=["row_id", "anchor"]).astype("int64")
 
-    return members.groupBy("type").cogroup(near.groupBy("type")).applyInPandas(run, "row_id long, anchor long")
+    return members.groupBy("type").cogroup(near.groupBy("kind")).applyInPandas(run, "row_id long, anchor long")
 
 
 def sparse(df: DataFrame) -> DataFrame:

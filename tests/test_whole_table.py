@@ -62,3 +62,18 @@ def test_sparse_pairs_of_all_runs(spark, small):
     got = {(r.a, r.b): r.dot for r in catalog.queries()["j17_sparse_pairs"](spark, folder).collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
+def test_sparse_pairs_of_classes_are_those_of_rows(spark, monkeypatch):
+    from faultline.operators import cluster as C
+
+    monkeypatch.setattr(C, "CHUNK", 2)
+    monkeypatch.setattr(C, "PORTIONS", 2)
+    weights = {k: {"a": 1.0} if k % 3 == 0 else {"a": 0.6, "b": 0.8} if k % 3 == 1 else {f"c{k}": 1.0} for k in range(30)}
+    df = spark.createDataFrame([(k, t, w) for k, own in weights.items() for t, w in own.items()], "row_id long, token string, weight double")
+    dots = {(a, b): sum(x * weights[b].get(t, 0.0) for t, x in weights[a].items()) for a in weights for b in weights if weights[a].keys() & weights[b].keys()}
+    got = [(r.a, r.b, round(r.dot, 9)) for r in C.sparse_pairs(df, "row_id", 0.5).collect()]
+    assert sorted(got) == sorted((a, b, round(d, 9)) for (a, b), d in dots.items() if a < b and d >= 0.5)
+    products, members = C.sparse_classes(df, "row_id")
+    assert products.count() == 4 + 10 and products.where("ca = 0").count() == 2  # not 20 * 20 + 10 pairs of rows
+    assert C.spelt_out(products, members, "dot").count() == len(dots)
