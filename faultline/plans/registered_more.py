@@ -301,9 +301,9 @@ def _(d):
     SELECT a, b, round(CASE WHEN max(dot) OVER w - min(dot) OVER w < 1e-9 THEN 0 ELSE (dot - min(dot) OVER w) / (max(dot) OVER w - min(dot) OVER w) END, 6) AS score FROM d WINDOW w AS (PARTITION BY a))""")
 def _(d):
     weights = cut(C.token_weights(_masked_texts(d), "row_id", T.sparse_tokens(F.col("text"))))
-    a, b = weights.select("token", F.col("row_id").alias("a"), F.col("weight").alias("wa")), weights.select("token", F.col("row_id").alias("b"), F.col("weight").alias("wb"))
-    dots = a.join(b, "token").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
-    return _rounded(P.minmax(dots, "a", "dot", 0.0).select("a", "b", "score"), "score")
+    # A row's least and greatest are those of its class, so classes are scaled.
+    dots, members = C.sparse_classes(weights, "row_id")
+    return _rounded(C.spelt_out(P.minmax(dots, "ca", "dot", 0.0).select("ca", "cb", "score"), members, "score"), "score")
 
 
 _HYBRID = f"""{_MEANS}, {_UNITS}, q AS (SELECT vec_id, {'reason'} FROM embeddings JOIN results ON row_id = vec_id WHERE reason IS NOT NULL), {Q.weights('q', 'vec_id', 'reason')},
