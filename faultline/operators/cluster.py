@@ -363,3 +363,29 @@ def indel_ratio(a: str, b: str) -> float:
         state = (state + hit | state - hit) & full
     lcs = len(a) - state.bit_count()
     return 100.0 * 2 * lcs / (len(a) + len(b))
+
+
+def indel_ratios(a: str, others: list[str]) -> np.ndarray:
+    """indel_ratio(a, b) of each b: the same bit-parallel steps on all others at once, for an a of up to 63 characters;
+    longer ones are taken one by one."""
+    n = len(a)
+    if n > 63 or not n:
+        return np.array([indel_ratio(a, b) for b in others])
+    lengths = np.fromiter(map(len, others), np.int64, len(others))
+    width = int(lengths.max(initial=0))
+    points = np.array(others, f"U{max(1, width)}").view(np.uint32).reshape(len(others), max(1, width))
+    masks: dict[str, int] = {}
+    for k, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << k
+    full = np.uint64((1 << n) - 1)
+    state = np.full(len(others), full)
+    # Texts end where they do: what pads them is character 0, which changes nothing unless a has it.
+    for p in range(width):
+        column, hits = points[:, p], np.zeros(len(others), np.uint64)
+        for c, mask in masks.items():
+            hits[column == ord(c)] = mask
+        hits[lengths <= p] = 0
+        hit = hits & state
+        state = (state + hit | state - hit) & full
+    lcs = n - np.bitwise_count(state).astype(np.int64)
+    return 100.0 * 2 * lcs / (n + lengths)

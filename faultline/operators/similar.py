@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.text import length_bin
-from faultline.operators.cluster import greedy_groups, indel_ratio
+from faultline.operators.cluster import indel_ratios
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
@@ -20,7 +21,12 @@ def ratio(a: Column, b: Column) -> Column:
     @F.pandas_udf("double")
     def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in parts:
-            yield pd.Series([None if x is None or y is None else indel_ratio(x, y) for x, y in zip(left, right, strict=True)], dtype="float64")
+            out = np.full(len(left), np.nan)
+            known = np.flatnonzero((left.notna() & right.notna()).to_numpy())
+            ys = right.to_numpy()
+            for x, at in left.iloc[known].groupby(left.iloc[known]).indices.items():
+                out[known[at]] = indel_ratios(x, list(ys[known[at]]))
+            yield pd.Series(out, dtype="float64")
 
     return run(a, b)
 
@@ -54,13 +60,27 @@ def similar_texts(df: DataFrame, group: str, row: str, text: str, least: float)
 
 def similar_groups(df: DataFrame, group: str, row: str, text: str, least: float) -> DataFrame:
     """CL07: (row of a distinct text, anchor): anchors in row order take all similar texts not yet taken, per group and
-    bin. Which texts an anchor takes depends on the anchors before it, so a bin's linked texts meet in one task; texts
-    without a partner don't."""
-    pairs = similar_texts(df, group, row, text, least)
+    bin. Which texts an anchor takes depends on the anchors before it, so a bin's distinct texts meet in one task: an
+    anchor is compared with what no anchor before it took, so work grows with texts times anchors, not with pairs."""
+    rows = df.select(group, row, F.col(text).alias("_t"), length_bin(F.col(text)).alias("bin")).where("bin is not null")
+    texts = rows.groupBy(group, "bin", "_t").agg(F.min(row).alias(row))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = greedy_groups(list(zip(pdf["a"], pdf["b"], strict=True)), sorted({*pdf["a"], *pdf["b"]}))
-        sizes = pd.Series(list(found.values())).value_counts()
-        return pd.DataFrame([(r, x) for r, x in found.items() if sizes[x] >= 2], columns=[row, "anchor"]).astype("int64")
-
-    return pairs.groupBy(group, "bin").applyInPandas(run, f"{row} long, anchor long")
+        pdf = pdf.sort_values(row)
+        names, words = pdf[row].to_numpy(), pdf["_t"].to_numpy()
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        bags = np.array([[w.count(c) for c in LETTERS] for w in words], np.int32).reshape(len(words), len(LETTERS))
+        bags = np.c_[bags, sizes - bags.sum(1)]
+        left, out = np.arange(len(words)), []
+        while len(left):
+            k, left = left[0], left[1:]
+            both = sizes[k] + sizes[left]
+            able = left[200.0 * np.minimum(sizes[k], sizes[left]) >= least * both - 1e-9]
+            able = able[200.0 * (np.minimum(bags[k], bags[able]).sum(1)) >= least * (sizes[k] + sizes[able]) - 1e-9]
+            taken = able[indel_ratios(words[k], list(words[able])) >= least - 1e-9] if len(able) else able
+            if len(taken):
+                out += [(names[k], names[k]), *((names[j], names[k]) for j in taken)]
+                left = np.setdiff1d(left, taken, assume_unique=True)
+        return pd.DataFrame(out, columns=[row, "anchor"]).astype("int64")
+
+    return texts.groupBy(group, "bin").applyInPandas(run, f"{row} long, anchor long")

@@ -131,3 +131,23 @@ def test_outlier_neighbours_over_blocks_are_those_of_brute_force(spark):
     for a, near in got.items():
         assert np.allclose([d for d, _ in sorted(near)], [d for d, _ in want[a]])
         assert [b for _, b in sorted(near)] == [b for _, b in want[a]]
+
+
+def test_ratios_of_many_texts_are_those_of_one(spark):
+    import random
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab c1é\0") for _ in range(rng.randint(0, 70))) for _ in range(80)]
+    for a in texts[:40]:
+        assert np.allclose(C.indel_ratios(a, texts), [C.indel_ratio(a, b) for b in texts])
+
+
+def test_similar_groups_are_those_of_all_pairs(spark):
+    from faultline.operators import similar as N
+
+    texts = [f"crash in node {k % 37} of {k * 7919 % 1000} by İx{k % 5}" for k in range(150)] + ["x", "x", "unlike all others here"]
+    df = spark.createDataFrame([(k, "t", x) for k, x in enumerate(texts)], "row_id long, type string, text string")
+    pairs = [(a, b) for a in range(150) for b in range(a + 1, 150) if C.indel_ratio(texts[a], texts[b]) >= 90.0]
+    found = C.greedy_groups(pairs, list(range(150)))
+    want = {(r, x) for r, x in found.items() if list(found.values()).count(x) >= 2}
+    assert {(r.row_id, r.anchor) for r in N.similar_groups(df, "type", "row_id", "text", 90.0).collect()} == want
