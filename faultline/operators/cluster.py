@@ -171,7 +171,10 @@ def spelt_out(pairs: DataFrame, members: DataFrame, value: str) -> DataFrame:
     # A number that is asked for isn't lowered: portions are small, what they become isn't.
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = pairs.join(left, "ca").join(right, "cb").repartition(tasks, "_ca", "_cb")
-    return both.select(F.explode("_ca").alias("a"), "_cb", value).select("a", F.explode("_cb").alias("b"), value)
+    # Compiled together, both explodes would hold copies of all pairs of two portions before one moves on. A lambda isn't
+    # compiled, so the first explode hands on row by row, and what waits are the pairs of one row with one portion.
+    rows = F.transform("_ca", lambda x: x)
+    return both.select(F.explode(rows).alias("a"), "_cb", value).select("a", F.explode("_cb").alias("b"), value)
 
 
 def hdbscan_labels(x: np.ndarray, min_size: int = 2, epsilon: float = 0.12, samples: int = 1, metric: str = "cosine") -> np.ndarray:

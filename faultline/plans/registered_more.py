@@ -40,8 +40,8 @@ _MASKED = f"m AS (SELECT min(row_id) AS row_id, {Q.masked('reason')} AS text FRO
 
 
 def _masked_texts(d: DataFrame) -> DataFrame:
-    """Distinct masked reasons, each with its least row."""
-    return d.where("reason is not null").groupBy(T.mask_numbers(F.col("reason")).alias("text")).agg(F.min("row_id").alias("row_id"))
+    """Distinct masked reasons, each with its least row. Only distinct reasons are masked."""
+    return _reasons(d).groupBy(T.mask_numbers(F.col("reason")).alias("text")).agg(F.min("row_id").alias("row_id"))
 
 
 # --- scans and sinks -----------------------------------------------------------------------------------------------
@@ -301,9 +301,9 @@ def _(d):
     SELECT a, b, round(CASE WHEN max(dot) OVER w - min(dot) OVER w < 1e-9 THEN 0 ELSE (dot - min(dot) OVER w) / (max(dot) OVER w - min(dot) OVER w) END, 6) AS score FROM d WINDOW w AS (PARTITION BY a))""")
 def _(d):
     weights = cut(C.token_weights(_masked_texts(d), "row_id", T.sparse_tokens(F.col("text"))))
-    # A row's least and greatest are those of its class, so classes are scaled.
+    # A row's least and greatest are those of its class, so classes are scaled, and rounded before they are spelt out.
     dots, members = C.sparse_classes(weights, "row_id")
-    return _rounded(C.spelt_out(P.minmax(dots, "ca", "dot", 0.0).select("ca", "cb", "score"), members, "score"), "score")
+    return C.spelt_out(_rounded(P.minmax(dots, "ca", "dot", 0.0).select("ca", "cb", "score"), "score"), members, "score")
 
 
 _HYBRID = f"""{_MEANS}, {_UNITS}, q AS (SELECT vec_id, {'reason'} FROM embeddings JOIN results ON row_id = vec_id WHERE reason IS NOT NULL), {Q.weights('q', 'vec_id', 'reason')},

@@ -77,3 +77,15 @@ def test_sparse_pairs_of_classes_are_those_of_rows(spark, monkeypatch):
     products, members = C.sparse_classes(df, "row_id")
     assert products.count() == 4 + 10 and products.where("ca = 0").count() == 2  # not 20 * 20 + 10 pairs of rows
     assert C.spelt_out(products, members, "dot").count() == len(dots)
+
+
+def test_minmax_pairs_are_rounded_and_streamed_before_they_are_spelt_out(spark, small):
+    folder, _ = small
+    got = catalog.queries()["w05_anchor_minmax"](spark, folder)
+    n = len({r.a for r in got.collect()})
+    assert n and got.count() > n
+    plan = got._jdf.queryExecution().executedPlan().toString().split("\n")
+    plan = plan[: next((k for k, line in enumerate(plan) if "Initial Plan" in line), len(plan))]
+    explodes = [k for k, line in enumerate(plan) if "Generate explode(" in line][:2]
+    assert not any("round(" in line for line in plan[: explodes[1]])  # once for a pair of classes, not for each pair of rows
+    assert ["*(" in plan[k] for k in explodes] == [True, False]  # compiled together they hold all pairs of two portions
