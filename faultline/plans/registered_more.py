@@ -390,7 +390,7 @@ register("cl11_euclidean")(lambda s, f: C.density_clusters(table(s, f, "embeddin
 
 @on_results("j16_similar_texts")
 def _(d):
-    return _rounded(N.similar_texts(d.where("result = 'FAIL'"), "type", "row_id", "reason", 85.0), "ratio")
+    return N.similar_pairs(_rounded(N.similar_lists(d.where("result = 'FAIL'"), "type", "row_id", "reason", 85.0), "ratio"), "type")
 
 
 @on_results("cl07_similar_groups")

@@ -151,3 +151,53 @@ def test_similar_groups_are_those_of_all_pairs(spark):
     found = C.greedy_groups(pairs, list(range(150)))
     want = {(r, x) for r, x in found.items() if list(found.values()).count(x) >= 2}
     assert {(r.row_id, r.anchor) for r in N.similar_groups(df, "type", "row_id", "text", 90.0).collect()} == want
+
+
+def test_near_texts_are_those_of_each_pair():
+    import random
+
+    from faultline.operators import similar as N
+
+    rng = random.Random(6)
+    for letters, low, high in (("ab c1é", 1, 50), ("ab\0", 1, 9), ("ab", 51, 110), ("abcd😀ü", 60, 110), ("abc", 1, 110)):
+        one, more = (["".join(rng.choice(letters) for _ in range(rng.randint(low, high))) for _ in range(n)] for n in (40, 25))
+        for least in (20.0, 60.0, 100.0):
+            for other in (one, more + one[:5]):
+                pairs = {(k, j): C.indel_ratio(a, b) for k, b in enumerate(other) for j, a in enumerate(one) if other is not one or j < k}
+                got = [((k, int(j)), ratio) for k, ratio, places in N.near_texts(one, other, least, other is one) for j in places]
+                assert len(got) == len(dict(got)) and dict(got) == {p: r for p, r in pairs.items() if r >= least}
+
+
+def test_similar_texts_meet_block_by_block(spark, monkeypatch):
+    from faultline.operators import similar as N
+
+    monkeypatch.setattr(N, "BLOCK", 16)
+    monkeypatch.setattr(N, "HELD", 64)
+    texts = [f"Wait timeout: code 0x{100000 + k * 37} pid: {k * 37}" for k in range(150)] + [f"{'long ' * 12}text of {k * 7919 % 1000}" for k in range(60)]
+    rows = [(f"r{k:04d}", kind, x) for kind in ("t", "u") for k, x in enumerate(texts)]
+    df = spark.createDataFrame([*rows, ("r9", "t", texts[0]), ("r8", None, texts[0]), ("r7", "t", None)], "row_id string, type string, text string")
+    want = {(a, b): round(C.indel_ratio(texts[a], texts[b]), 9) for b in range(210) for a in range(b) if (a < 150) == (b < 150) and C.indel_ratio(texts[a], texts[b]) >= 85.0}
+    lists = N.similar_lists(df, "type", "row_id", "text", 85.0).cache()
+    got = [(r.type, r.a, r.b, round(r.ratio, 9)) for r in N.similar_pairs(lists, "type").collect()]
+    assert len(want) > 2000 and sorted(got) == sorted((kind, f"r{a:04d}", f"r{b:04d}", r) for kind in ("t", "u") for (a, b), r in want.items())
+    assert lists.count() < len(got) / 2
+
+
+def test_similar_texts_of_a_large_type_have_no_row_for_each_pair(spark):
+    from faultline.operators import similar as N
+
+    df = spark.range(3000).selectExpr("id AS row_id", "'t' AS type", "concat('Wait timeout: code 0x', 100000 + id * 7, ' pid: ', id * 7) AS text")
+    pairs = N.similar_texts(df, "type", "row_id", "text", 85.0)
+    assert len(pairs.collect()) > 100_000
+    found, waiting = [], [pairs._jdf.queryExecution().executedPlan()]
+    while waiting:
+        node = waiting.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            waiting.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            waiting.append(node.plan())
+        elif "Join" in node.nodeName():
+            found.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        waiting += [children.apply(k) for k in range(children.size())]
+    assert 0 < sum(found) < 1000  # pairs of blocks; pairs of texts were 4.5 million rows
