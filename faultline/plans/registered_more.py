@@ -300,7 +300,7 @@ def _(d):
     d AS (SELECT a.row_id AS a, b.row_id AS b, sum(a.weight * b.weight) AS dot FROM u a JOIN u b USING (token) GROUP BY ALL)
     SELECT a, b, round(CASE WHEN max(dot) OVER w - min(dot) OVER w < 1e-9 THEN 0 ELSE (dot - min(dot) OVER w) / (max(dot) OVER w - min(dot) OVER w) END, 6) AS score FROM d WINDOW w AS (PARTITION BY a))""")
 def _(d):
-    weights = cut(C.token_weights(_masked_texts(d), "row_id", T.sparse_tokens(F.col("text"))))
+    weights = C.token_weights(cut(_masked_texts(d)), "row_id", T.sparse_tokens(F.col("text")))
     # A row's least and greatest are those of its class, so classes are scaled, and rounded before they are spelt out.
     dots, members = C.sparse_classes(weights, "row_id")
     return C.spelt_out(_rounded(P.minmax(dots, "ca", "dot", 0.0).select("ca", "cb", "score"), "score"), members, "score")
